@@ -57,16 +57,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
 
 
+def cut_to(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """Like :func:`cut`, with the path, for callers that delete what they have passed."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, cutting the lineage.
 
     Unlike a local checkpoint the files survive the loss of any executor; unlike an RDD
     checkpoint they are columnar and can be pruned by the stages that read them.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut_to(df, name)[0]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
