@@ -20,9 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut_to, drop_path
 
-BLANKS = r"(?U)^[\s​﻿]+|[\s​﻿]+$"
+BLANKS = r"(?U)^[\s\x{200b}\x{feff}]+|[\s\x{200b}\x{feff}]+$"
 
 
 def clean_uid(value: Column) -> Column:
@@ -50,38 +50,35 @@ def edges_of_lists(lists: DataFrame, members: str = "local_cluster_uids", scope:
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return edges.where("a <> b").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level").distinct()
 
 
-def decompose(edges: DataFrame, level: int, beta: float, radius: int) -> DataFrame:
-    """One low-diameter decomposition: (scope, v, center) for every vertex of ``edges`` (scope, a, b).
+def grow(live: DataFrame, beta: float, radius: int) -> DataFrame:
+    """One low-diameter decomposition: (scope, v, center) for every vertex of ``live`` (scope, a, b, level).
 
     ``radius`` bounds the growth steps: head starts are capped below it, which can only change how
-    many edges a level contracts, never the groups that come out in the end.
+    many edges a level contracts, never the groups that come out in the end. Level and step travel
+    as columns, not as literals, so all levels and steps run the same generated code.
     """
-    both = edges.select("scope", F.col("a").alias("u"), F.col("b").alias("w")).union(edges.select("scope", F.col("b").alias("u"), F.col("a").alias("w")))
-    uniform = (F.xxhash64("scope", "v", F.lit(level)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    both = live.select("scope", F.col("a").alias("u"), F.col("b").alias("w"), "level").union(live.select("scope", F.col("b").alias("u"), F.col("a").alias("w"), "level"))
+    uniform = (F.xxhash64("scope", "v", "level").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
     arrival = F.lit(float(radius)) - F.least(-F.log(uniform) / F.lit(beta), F.lit(radius - 1e-9))
-    state = (
-        both.select("scope", F.col("u").alias("v")).distinct()
-        .withColumn("arrival", arrival)
-        .select("scope", "v", F.floor("arrival").cast("int").alias("start"), (F.col("arrival") - F.floor("arrival")).alias("late"))
-        .select(
-            "scope", "v", "start", "late",
-            F.when(F.col("start") == 0, F.struct(F.col("late").alias("late"), F.col("v").alias("center"))).alias("got"),
-            F.when(F.col("start") == 0, F.lit(0)).alias("at"),
-        )
+    seeded = both.select("scope", F.col("u").alias("v"), "level").distinct().withColumn("arrival", arrival).select(
+        "scope", "v", F.floor("arrival").cast("int").alias("start"), (F.col("arrival") - F.floor("arrival")).alias("late"), F.lit(0).alias("step"),
     )
-    for step in range(1, radius):
-        frontier = state.where(F.col("at") == step - 1).select("scope", F.col("v").alias("u"), "got")
-        reached = both.join(frontier, ["scope", "u"]).groupBy("scope", F.col("w").alias("v")).agg(F.min("got").alias("offer"))
-        own = F.when(F.col("start") == step, F.struct(F.col("late").alias("late"), F.col("v").alias("center")))
+    own = F.when(F.col("start") == F.col("step"), F.struct(F.col("late").alias("late"), F.col("v").alias("center")))
+    state, path = cut_to(seeded.select("scope", "v", "start", "late", own.alias("got"), F.when(own.isNotNull(), F.col("step")).alias("at"), "step"), "grow")
+    links = both.select("scope", "u", "w")
+    for _ in range(1, radius):
+        frontier = state.where("at = step").select("scope", F.col("v").alias("u"), "got")
+        reached = links.join(frontier, ["scope", "u"]).groupBy("scope", F.col("w").alias("v")).agg(F.min("got").alias("offer"))
+        waiting = state.withColumn("step", F.col("step") + 1).join(reached, ["scope", "v"], "left")
         best = F.least("offer", own)
-        state = state.join(reached, ["scope", "v"], "left").select(
-            "scope", "v", "start", "late",
-            F.coalesce("got", best).alias("got"),
-            F.coalesce("at", F.when(best.isNotNull(), F.lit(step))).alias("at"),
+        before = path
+        state, path = cut_to(
+            waiting.select("scope", "v", "start", "late", F.coalesce("got", best).alias("got"), F.coalesce("at", F.when(best.isNotNull(), F.col("step"))).alias("at"), "step"), "grow",
         )
+        drop_path(live.sparkSession, before)
     return state.select("scope", "v", F.col("got.center").alias("center"))
 
 
@@ -92,15 +89,17 @@ def link_groups(edges: DataFrame, beta: float = 0.5, radius: int = 4, max_levels
     stands in an edge comes out once. An empty input gives an empty result.
     """
     members = edges.select("scope", F.explode(F.array("a", "b")).alias("v")).distinct()
-    live = cut(_ordered(edges), "links")
+    live, path = cut_to(_ordered(edges.withColumn("level", F.lit(0))), "links")
     maps: list[DataFrame] = []
-    for level in range(max_levels):
+    for _ in range(max_levels):
         if live.isEmpty():
             break
-        step = cut(decompose(live, level, beta, radius), "clusters")
+        step = grow(live, beta, radius)
         maps.append(step)
         a, b = (step.select("scope", F.col("v").alias(x), F.col("center").alias(f"c{x}")) for x in "ab")
-        live = cut(_ordered(live.join(a, ["scope", "a"]).join(b, ["scope", "b"]).select("scope", F.col("ca").alias("a"), F.col("cb").alias("b"))), "links")
+        before = path
+        live, path = cut_to(_ordered(live.join(a, ["scope", "a"]).join(b, ["scope", "b"]).select("scope", F.col("ca").alias("a"), F.col("cb").alias("b"), (F.col("level") + 1).alias("level"))), "links")
+        drop_path(edges.sparkSession, before)
     else:
         raise RuntimeError(f"links are left after {max_levels} levels ({math.log2(max_levels):.0f} doublings)")
     if not maps:
