@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ TITLES = frozenset("mr mrs ms miss dr captain old young sir lady lord saint st m
 CUES = (
     "c/o", "signed,", "signed by", "yours,", "yours truly,", "sincerely,", "read by", "lent by", "belongs to", "bequeathed by", "given by", "donated by", "on behalf of", "name:", "card:",
     "volume to", "book to", "returned to", "the editor thanks", "thanks to", "au nom de", "prêté par", "prestado por", "gezeichnet", "zurück an", "exemplar von", "owner:", "property of", "gift of",
-    "written by", "sent by", "addressed to", "contact", "i,", "firmado", "signé", "geliehen von", "nombre:", "nom :", "nom:", "dear", "regards,", "attn", "attention of", "the copy of",
+    "written by", "sent by", "addressed to", "contact", "i,", "firmado", "firmado por", "signé", "signé par", "geliehen von", "nombre:", "nom :", "nom:", "renvoyer à", "retourner à", "remettre à", "appartient à", "a nombre de", "pertenece a", "gehört", "dear", "regards,", "attn", "attention of", "the copy of",
 )
 SMALL = frozenset(
     "a an the and or of to in on at by for from with his her its my your our their he she it we they i you is was are were be been has had if when while that this these those who whom whose what which not no nor but as so then than there here please write ring call send return returned found dear yours signed name card "
@@ -49,21 +49,19 @@ L = r"[^\W\d_]"
 WORD = rf"{L}+(?:['’-]{L}+)*"
 GAP = r"(?:[^\S\n]+|[^\S\n]*\r?\n[^\S\n]*)"
 TOKEN = re.compile(rf"{WORD}|\d+|[^\s\w]|_|(?P<par>\s*\n\s*\n\s*)", re.U)
-_HOST = r"(?P<host>\w[\w-]*(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)\w[\w-]*)+)"
-_USER = r"(?<![\w.+-])(?P<user>[\w.+-]*\w)"
-EMAILS = (
-    re.compile(_USER + r"(?P<at>\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?)" + _HOST, re.I),
-    re.compile(_USER + r"(?P<at>\s+at\s+)" + _HOST, re.I),
-)
-DIGITS = re.compile(r"(?<![\w+])(?:\+\s?|\((?=\+?\d{1,5}\)))?\d+(?:(?:\)[ –-]?|[ .\/–‑-]|[^\S\n]?\r?\n|[ ]\(|(?<=\d)[ ]?\((?=0\)))\(?\d+)*(?!\w)")
-CODE = re.compile(r"(?<![\w-])(?:[A-Za-z]{1,2}[ -]?\d{2}(?:[ -]?\d{2}){2}[ -]?[A-Za-z]|[A-Za-z]{1,3}-?\d{6,9}|[A-Za-z]{1,2}\d{2,4}(?:\.\d{2,5}){1,3})(?![\w])")
+AT = re.compile(r"\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\s+at\s+", re.I)
+USER = re.compile(r"(?:[\w.+-]*\w)$")
+HOST = re.compile(r"\w[\w-]*(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)\w[\w-]*)+", re.I)
+DOT = re.compile(r"\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+", re.I)
+DIGITS = re.compile(r"(?<![\w+])(?:\+\s?|\((?=\+?\d{1,5}\)))?\d+(?:(?:\)(?:[ –-]|[^\S\n]?\r?\n)?|[ .\/–‑-]|[^\S\n]?\r?\n|[ ]\(|(?<=\d)[ ]?\((?=0\)))\(?\d+)*(?!\w)")
+CODE = re.compile(r"(?<![\w-])(?:[A-Za-z]{1,2}(?:[ -]|\r?\n)?\d{2}(?:(?:[ -]|\r?\n)?\d{2}){2}(?:[ -]|\r?\n)?[A-Za-z]|[A-Za-z]{1,3}-?\d{6,9}|[A-Za-z]{1,2}\d{2,4}(?:\.\d{2,5}){1,3})(?![\w])")
 NUMBER = r"\d{1,4}(?:[^\S\n]?[a-z](?![\w]))?(?:[–/-]\d{1,4}[a-z]?)?"
 STREET_AFTER = re.compile(
     rf"(?<![\w.–-])(?P<no>{NUMBER})(?P<sep>,?{GAP})(?:(?P<fr>(?:{'|'.join(sorted(FRENCH | SPANISH))}){GAP})|(?=(?:{L})))(?P<body>(?:{WORD}{GAP}?){{1,5}})", re.I | re.U
 )
-STREET_BEFORE = re.compile(
-    rf"(?<![\w])(?P<street>(?:{L}+(?:strasse|straße|gasse|weg|platz|allee|ufer|damm|ring|steig|markt)|(?:am|an{GAP}der|an{GAP}den|im|in{GAP}der|zum|zur|unter{GAP}den|auf{GAP}der|auf{GAP}dem){GAP}{WORD}(?:{GAP}{WORD})?|{WORD}{GAP}(?:strasse|straße|gasse|weg|platz|allee|ufer|damm|ring|steig)|(?:{'|'.join(sorted(SPANISH))}){GAP}{WORD}(?:{GAP}{WORD}){{0,3}},?)){GAP}(?P<no>\d{{1,4}}[a-z]?)(?!\w|\.\d)", re.I | re.U
-)
+HOUSE = re.compile(r"(?<=\s)\d{1,4}[a-z]?(?!\w|\.\d)")
+GERMAN = re.compile(r"(strasse|straße|gasse|weg|platz|allee|ufer|damm|ring|steig|markt)$")
+PLACED = frozenset(("am", "im", "zum", "zur", "an der", "an den", "in der", "unter den", "auf der", "auf dem"))
 
 
 def case_of(word: str) -> str:
@@ -109,10 +107,10 @@ class Lexicon:
 
 
 def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """Three tokens before and two after a span; a paragraph's edge counts as a token."""
-    left = [("¶" if m["par"] else m.group().lower()) for m in TOKEN.finditer(text, max(0, start - 40), start)][-3:]
-    if start - 40 <= 0:
-        left = (["¶"] + left)[-3:]
+    """Five tokens before and two after a span; a paragraph's edge counts as a token."""
+    left = [("¶" if m["par"] else m.group().lower()) for m in TOKEN.finditer(text, max(0, start - 48), start)][-5:]
+    if start - 48 <= 0:
+        left = (["¶"] + left)[-5:]
     right = []
     for m in TOKEN.finditer(text, end, min(len(text), end + 30)):
         right.append("¶" if m["par"] else m.group().lower())
@@ -123,7 +121,7 @@ def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
 
 def _surroundings(kind: str, left: list[str], right: list[str]) -> list[str]:
     out = [f"{kind}:R1={right[0] if right else '¶'}"]
-    for i, w in enumerate(reversed(left)):
+    for i, w in enumerate(reversed(left[-3:])):
         out.append(f"{kind}:L{i + 1}={w}")
     out.append(f"{kind}:L12={'_'.join(left[-2:])}")
     return out
@@ -139,7 +137,7 @@ def _number_features(kind: str, span: str, left: list[str], right: list[str]) ->
     groups = "-".join(str(len(g)) for g in re.findall(r"\d+", span))
     return [
         f"{kind}:bias", f"{kind}:shape={form}", f"{kind}:n={len(digits)}", f"{kind}:groups={groups}", f"{kind}:lead={'+' if span[0] == '+' else '(' if span[0] == '(' else '00' if digits[:2] == '00' else '0' if digits[:1] == '0' else '9' if span[0].isdigit() else 'A'}",
-        f"{kind}:letters={form.count('A')}", f"{kind}:bag={'y' if any(w in ('isbn', 'issn', 'acc', 'shelf', 'mark', 'accession', 'lccn') for w in left) else 'n'}",
+        f"{kind}:letters={form.count('A')}", f"{kind}:bag={'y' if any(w in ('isbn', 'issn', 'acc', 'shelf', 'mark', 'accession', 'lccn', 'inv', 'inventory') for w in left) else 'n'}",
         *(f"{kind}:near={w}" for w in set(left) if w.isalpha()), *_surroundings(kind, left, right),
     ]
 
@@ -149,12 +147,17 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
     out: list[tuple[int, int, str, list[str]]] = []
     low = lowered(text)
     if "@" in low or " dot" in low or "\ndot" in low or "(at)" in low or "[at]" in low:
-        for m in (m for form in EMAILS for m in form.finditer(text)):
-            at = "@" if "@" in m["at"] else "(at)" if not m["at"].strip().lower() == "at" else "at"
-            host = re.split(r"\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+", m["host"], flags=re.I)
-            spelled = "dot" in re.sub(r"[\w-]+(?=\.)", "", m["host"].lower()).split() or "(dot)" in m["host"].lower()
-            left, right = around(text, m.start(), m.end())
-            out.append((m.start(), m.end(), "email", ["email:bias", f"email:at={at}", f"email:spelled={spelled}", f"email:{at}{spelled}", f"email:parts={len(host)}", f"email:top={len(host[-1])}", f"email:digits={host[-1].isdigit()}", *_surroundings("email", left, right)]))
+        for sign in AT.finditer(text):
+            host = HOST.match(text, sign.end())
+            user = host and USER.search(text[max(0, sign.start() - 64):sign.start()])
+            if not user:
+                continue
+            start, end = sign.start() - len(user.group()), host.end()
+            at = "@" if "@" in sign.group() else "at" if sign.group().strip().lower() == "at" else "(at)"
+            parts = DOT.split(host.group())
+            spelled = "dot" in host.group().lower() and host.group().count(".") < len(parts) - 1
+            left, right = around(text, start, end)
+            out.append((start, end, "email", ["email:bias", f"email:at={at}", f"email:spelled={spelled}", f"email:{at}{spelled}", f"email:parts={len(parts)}", f"email:top={len(parts[-1])}", f"email:digits={parts[-1].isdigit()}", *_surroundings("email", left, right)]))
     if re.search(r"\d", low):
         for m in DIGITS.finditer(text):
             span = m.group()
@@ -198,21 +201,58 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
                     cases = "".join(sorted({case_of(w) for w, _ in body[:size]}))
                     out.append((m.start(), end, "address", ["address:bias", "address:form=number-street", f"address:year={year}", f"address:yearin={year and bool(left) and left[-1] in ('in', 'since', 'of', 'by', 'until')}", f"address:digits={len(re.match(r'[0-9]+', no).group())}", f"address:size={size}", f"address:case={cases}", f"address:small={any(w.lower() in SMALL for w, _ in body[:size - 1])}", f"address:sep={m['sep'].strip()}", *_surroundings("address", left, right)]))
                     break
-        for m in STREET_BEFORE.finditer(text):
-            left, right = around(text, m.start(), m.end())
-            first = re.match(WORD, m["street"]).group()
-            out.append((m.start(), m.end(), "address", ["address:bias", "address:form=street-number", f"address:first={case_of(first)}", f"address:compound={not re.search(r'\s', m['street'])}", f"address:kind={re.sub(r'.*?(strasse|straße|gasse|weg|platz|allee|ufer|damm|ring)$', r'\1', m['street'].lower()) if re.search(r'(strasse|straße|gasse|weg|platz|allee|ufer|damm|ring)$', m['street'].lower()) else 'other'}", *_surroundings("address", left, right)]))
+        for m in HOUSE.finditer(text):
+            for start, form in streets_before(text, m.start()):
+                left, right = around(text, start, m.end())
+                out.append((start, m.end(), "address", ["address:bias", "address:form=street-number", f"address:first={case_of(re.match(WORD, text[start:start + 40]).group())}", f"address:street={form}", *_surroundings("address", left, right)]))
     out.extend(name_candidates(text, low, lexicon))
     return out
 
 
-_BACK = re.compile(rf"(?:(?P<one>{WORD})(?P<comma>,)?{GAP})?(?:(?P<two>{WORD}|{L}\.)(?P<comma2>,)?{GAP})?$", re.U)
+def words_before(text: str, at: int, most: int) -> list[re.Match]:
+    """Up to ``most`` words right before a place, nearest first, with nothing but a gap (and commas) in between."""
+    out: list[re.Match] = []
+    for m in reversed(list(TOKEN.finditer(text, max(0, at - 70), at))):
+        if m["par"] or not (m.group()[0].isalpha() or m.group() == ","):
+            break
+        out.append(m)
+        if sum(x.group() != "," for x in out) == most:
+            break
+    return out
+
+
+def streets_before(text: str, at: int) -> list[tuple[int, str]]:
+    """(start, form) of street names that end right before a house number."""
+    back = words_before(text, at, 4)
+    comma = bool(back) and back[0].group() == ","
+    words = [m for m in back if m.group() != ","]
+    if not words or any(m.group() == "," for m in back[comma:][:1]):
+        return []
+    low = [m.group().lower() for m in words]
+    out = []
+    if not comma:
+        kind = GERMAN.search(low[0])
+        if kind and len(low[0]) > len(kind[1]) + 1:
+            out.append((words[0].start(), kind[1]))
+        elif kind and len(words) > 1:
+            out.append((words[1].start(), "apart"))
+        for size in (2, 3):
+            if len(words) >= size and low[size - 1] in PLACED or len(words) > size and f"{low[size]} {low[size - 1]}" in PLACED:
+                first = size - 1 if low[size - 1] in PLACED else size
+                if case_of(words[0].group()) != "l" or text[words[first].start()].islower():
+                    out.append((words[first].start(), "placed"))
+    for size in range(1, len(words)):
+        if low[size] in SPANISH:
+            out.append((words[size].start(), "spanish"))
+    return out
 
 
 def name_candidates(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[str]]]:
     starts: set[int] = set()
+    introduced: set[int] = set()
+    joined: set[int] = set()
     size = len(text)
-    for last, (length, listed) in lexicon.automaton.iter(low):
+    for last, (length, listed) in lexicon.automaton.iter(low.replace("\n", " ")):
         a, b = last + 1 - length, last + 1
         if a and low[a - 1].isalpha():
             continue
@@ -225,17 +265,23 @@ def name_candidates(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, in
                 while a and text[a - 1].isalpha():
                     a -= 1
             starts.add(a)
-            back = _BACK.search(text, max(0, a - 60), a)
-            if back:
-                for g in ("one", "two"):
-                    if back[g] and (lower or not back[g][0].islower()) and back[g].lower() not in TITLES:
-                        starts.add(back.start(g))
+            for m in words_before(text, a, 2):
+                word = m.group()
+                if word != "," and (lower or not word[0].islower()) and word.lower() not in TITLES:
+                    starts.add(m.start())
         else:
             if b < size and low[b].isalpha() and low[b - 1].isalpha():
                 continue
-            m = re.compile(rf"{GAP}?(?={L})").match(text, b)
+            m = _INTO.match(text, b)
+            if m:
+                starts.add(m.end())
+                introduced.add(m.end())
+    for start in introduced:  # a second person after the one a phrase introduces
+        for span in _spans_at(text, start):
+            m = _AND.match(text, span[1])
             if m:
                 starts.add(m.end())
+                joined.add(m.end())
     out, seen = [], set()
     for start in sorted(starts):
         if start and (text[start - 1].isalnum() or text[start - 1] in "@._+"):
@@ -257,20 +303,22 @@ def name_candidates(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, in
             known = ("G" in state) + ("F" in state)
             features = ["name:bias", f"name:form={form}", f"name:state={form}{state}", f"name:known={known}", f"name:case={case}", f"name:casestate={case}{known}", f"name:small={'s' in state}", f"name:title={'t' in state}", f"name:aftertitle={bool(left) and (left[-1] in TITLES or (left[-1] == '.' and len(left) > 1 and left[-2] in TITLES))}", f"name:n={len(parts)}"]
             tail = " ".join(left)
-            cue = next((c for c in CUES if tail.endswith(_cue(c))), None)
+            cue = _ENDING.search(tail)
             features.append(f"name:cue={cue is not None}")
+            features.append(f"name:joined={start in joined}{known}")
             features.append(f"name:cueknown={cue is not None}{known}")
+            features.append(f"name:casecueknown={case}{cue is not None}{known}")
             features.extend(_surroundings("name", left, right))
             out.append((a, b, "name", features))
     return out
 
 
-@lru_cache(maxsize=None)
-def _cue(phrase: str) -> str:
-    return " ".join(m.group() for m in TOKEN.finditer(phrase))
-
-
+_ENDING = re.compile("(?:^| )(?:" + "|".join(re.escape(" ".join(m.group() for m in TOKEN.finditer(c))) for c in CUES) + ")$")
 _PLAIN = re.compile(rf"({WORD})(?:{GAP}({WORD}|{L}\.))?(?:{GAP}({WORD}))?", re.U)
+_AND = re.compile(rf"{GAP}(?:and|und|et|y|&){GAP}(?={L})", re.U)
+_INTO = re.compile(rf"{GAP}?(?={L})", re.U)
+_INITIAL = re.compile(rf"({WORD}){GAP}({L}\.){GAP}({WORD})", re.U)
+_COMMA_INITIAL = re.compile(rf"{WORD},{GAP}{WORD}{GAP}({L}\.)", re.U)
 _COMMA = re.compile(rf"({WORD}),{GAP}({WORD})(?:{GAP}({L}\.|{WORD}))?", re.U)
 
 
@@ -285,13 +333,13 @@ def _spans_at(text: str, start: int) -> list[tuple[int, int, str, list[str]]]:
                 out.append((start, m.end(2), "GF", [m[1], m[2]]))
             if m[3]:
                 out.append((start, m.end(3), "GGF", [m[1], m[2], m[3]]))
-        i = re.compile(rf"({WORD}){GAP}({L}\.){GAP}({WORD})", re.U).match(text, start)
+        i = _INITIAL.match(text, start)
         if i:
             out.append((start, i.end(3), "GIF", [i[1], i[2], i[3]]))
     m = _COMMA.match(text, start)
     if m:
         out.append((start, m.end(2), "F,G", [m[1], m[2]]))
-        i = re.compile(rf"{WORD},{GAP}{WORD}{GAP}({L}\.)", re.U).match(text, start)
+        i = _COMMA_INITIAL.match(text, start)
         if i:
             out.append((start, i.end(1), "F,GI", [m[1], m[2], i[1]]))
         elif m[3] and len(m[3]) > 1 and not m[3].endswith("."):
@@ -316,8 +364,6 @@ class SemiMarkov:
             return []
         ends = [x[0] for x in scored]
         best, back = [0.0], [-1]
-        from bisect import bisect_right
-
         for k, (end, start, kind, s) in enumerate(scored):
             j = bisect_right(ends, start, 0, k)
             with_it = best[j] + s

@@ -33,15 +33,17 @@ _WITH = (
     "The lending ledger shows insurance number {I} against this {thing}.", "The register has insurance number {I} for this {thing}.", "Dear Editor, kindly send another to {A}. Yours, {N}", "Deliver to {A} by hand; call {P} next time.",
     "Send it to {A} by hand, the bell being broken; call {P} next time.", "Exemplaire prêté par {N}, joignable au {P}.", "Prière de rendre ce livre au {A}, ou d'écrire à {E}.", "Carte de lecteur no {I}, au nom de {N}",
     "Merci de renvoyer à {N}, {A}.", "Bitte zurück an {N}, {A}.", "Abschrift nach dem Exemplar von {N}; Anfragen an {E}.", "Tel. {P}, Ausweis Nr. {I}, gezeichnet {N}", "Ausweis Nr. {I}, Tel. {P}", "Ejemplar prestado por {N}; preguntas a {E}.",
-    "Devolver en {A} o llamar al {P}.", "Pasaporte {I}, a nombre de {N}", "Owner: {N}, {A}. Telephone {P}.", "Ring {P} or write to {E}.", "Passport {I}.", "Contact {N} ({E}).",
+    "Devolver en {A} o llamar al {P}.", "Pasaporte {I}, a nombre de {N}", "Documento {I}, firmado por {N}", "Delivered to No. {A} by hand; call {P} next time.", "Owner: {N}, {A}. Telephone {P}.", "Ring {P} or write to {E}.", "Passport {I}.", "Contact {N} ({E}).",
 )
 _WITHOUT = (
     "{title} {F} kept the {w} near {T} without a word.", "Old {title2} {F} {w} a {w} at the {w}.", "{G} went up {S} with the {w} {w} and came back.", "{G} and {story} lifted each other's {w}.",
-    "In {year} {S} was flooded to the second step.", "In {year} {S} was rebuilt.", "Shelf mark MS {U} {d2}.{d2}, acc. {year}-{d2}-{d4}.", "Accession number {year}.{d3}.{d4}.", "ISBN 000-0-{d4}-{d4}-{d1}, {d4} copies printed.", "ISBN 978-{d1}-{d4}-{d4}-{d1}.",
+    "In {year} {S} was flooded to the second step.", "In {year} {S} was rebuilt.", "Shelf mark MS {U} {d2}.{d2}, acc. {year}-{d2}-{d4}.", "Accession number {year}.{d3}.{d4}.", "Shelf mark MS {U} {d2}.{d2}, acc. no. {year}-{d2}-{d4}.", "Acc. no. {year}-{d2}-{d4}, shelf mark {U} {d2}.", "Accession no. {year}-{d2}-{d4}.", "Inv. no. {d4}-{d2}-{d4}.", "ISBN 000-0-{d4}-{d4}-{d1}, {d4} copies printed.", "ISBN 978-{d1}-{d4}-{d4}-{d1}.",
     "See pages {d2}–{d2}, {d3}–{d3} and plate {d2}.", "Verse {d2}:{d2} of the song is lost.", "He counted {d3} {d2} candles, then {d4}, and gave up.", "The wreck lies {d2} fathoms down, {d2}.{d2} miles from {T}.",
     "The note reads: lamp@day, {d2} paces north.", "— {d3} —", "chapter {d2}", "It was {G} who {w} the {w} when the bells stopped.", "\"Who {w} my {w}?\" asked {title} {F}.", "{story} and {story} of Upper {T} are invented.",
     "Nobody in {T} knew why {G} {w} the {w}.", "{w} {w} {w} {w} at {T}, and {w} dot {w}.", "{G} portait la vieille lanterne jusqu'à {T}.", "{G} llevó la vieja linterna hasta {T}.", "{title} {F} and the {w} of {T} are invented.",
     "She met {title} {F}, {story} and the {w} at the {w}.", "They met at {S} and {w} the {w}.", "mark@{w}, then {d3} steps.", "The juggler copied {G} under the rain.", "Printed in {year} at {T}, {d4} copies.", "{F} {w} the {w}.",
+    "The {w} {w} the {w}, and {g} {w} by the {w}.", "She {w} only the {w}; {g} {w} up {S} with the {w}.", "They {w} against all {w}, {g} {w} the {w} {w}.", "\"Who {w} my {w}?\" asked the {w}, {g} {w} the {w}.",
+    "He {w} by {w}, {g} and {story} {w} by the {w}.", "{story} {w} the {w}, und {g} {w} die {w} nach {T}.", "{story} {w}, y {g} {w} la {w} hasta {T}.", "The {w} of {T} {w}; {g} {w} it once more.",
 )
 
 
@@ -130,7 +132,7 @@ class _Draw:
         slots = {
             "N": ("name", self.name), "M": ("name", self.name), "E": ("email", self.email), "P": ("phone", self.phone), "I": ("idnum", self.idnum), "A": ("address", self.address),
             "thing": ("", lambda: r.choice("book copy volume scan manuscript binding".split())), "title": ("", lambda: r.choice("Captain Mrs. Mr. Doctor Miss Madame Herr Lady".split())), "title2": ("", lambda: r.choice(("Mrs.", "Mr.", "Miss", "Captain"))),
-            "F": ("", lambda: r.choice(self.family)), "G": ("", lambda: r.choice(self.given)), "story": ("", lambda: (r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_ONSET) + r.choice(_VOWEL)).capitalize()), "T": ("", lambda: place), "S": ("", self.street),
+            "F": ("", lambda: r.choice(self.family)), "G": ("", lambda: r.choice(self.given)), "g": ("", lambda: r.choice(self.given).lower()), "story": ("", lambda: (r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_ONSET) + r.choice(_VOWEL)).capitalize()), "T": ("", lambda: place), "S": ("", self.street),
             "w": ("", lambda: r.choice(_WORDS)), "U": ("", lambda: r.choice("AQRS")), "year": ("", lambda: str(r.randint(1800, 1999))), **{f"d{n}": ("", lambda n=n: str(r.randint(10 ** (n - 1), 10**n - 1))) for n in (1, 2, 3, 4)},
         }
         patterns = [r.choice(_WITH if r.random() < 0.55 else _WITHOUT) for _ in range(r.randint(1, 3))]
