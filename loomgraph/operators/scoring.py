@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import probability as P
 from loomgraph.functions import text as X
+from loomgraph.runtime import cut
 
 TRAITS = ["openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism"]
 POLES = ["positive", "negative", "neutral"]
@@ -187,8 +188,9 @@ def descend(scores: DataFrame, options: DataFrame, roots: DataFrame, depth: int,
     per = named.groupBy(*cluster, F.col("parent").alias("class_iri")).agg(
         F.max(F.when(F.col("child") != STAY, F.struct("score", (-F.coalesce("ordinal", F.lit(0))).alias("tie"), "child"))).alias("best"), F.coalesce(F.sum(F.when(F.col("child") == STAY, F.col("score"))), F.lit(0.0)).alias("stay"), F.sum("score").alias("total"),
     )
+    per = cut(per, "best-child")
     single = roots.agg(F.count(F.lit(1)).alias("n"), F.min("iri").alias("iri"))
-    rows = scores.select(*cluster).distinct().crossJoin(F.broadcast(single)).select(*cluster, F.when(F.col("n") == 1, F.col("iri")).otherwise(ROOT).alias("class_iri"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("done"))
+    rows = per.select(*cluster).distinct().crossJoin(F.broadcast(single)).select(*cluster, F.when(F.col("n") == 1, F.col("iri")).otherwise(ROOT).alias("class_iri"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("done"))
     for _ in range(depth + 1):
         j = rows.join(per, [*cluster, "class_iri"], "left")
         stop = F.col("done") | F.col("best").isNull() | ((F.col("stay") > 0) & (F.col("stay") >= F.col("best.score"))) | (F.col("best.score") <= 0)
