@@ -8,13 +8,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.text import jaccard, tokens_of
 
 MATCH = "struct<matched:boolean,score:double,method:string>"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def block_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the matching characters over all characters, by longest matching blocks (not an edit distance)."""
     for left, right in pairs:

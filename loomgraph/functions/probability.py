@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def softmax_over(value: Column, *group: str) -> Column:
@@ -61,7 +62,7 @@ def skewed(x: Column) -> Column:
     return F.least(F.greatest(50 + 50 * F.sin(F.pi() / 2 * (x - 50) / 50), F.lit(0.0)), F.lit(100.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def round_half_even(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Rounds a double as its binary value stands (ties cannot occur but for exact binary halves)."""
     for x, n in parts:

@@ -71,7 +71,7 @@ def canonical_key(x: Column | str) -> Column:
     t = F.lower(strip(F.coalesce(col(x).cast("string"), F.lit(""))))
     t = F.translate(t, "’‘`", "'''")
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}_])([a-z0-9]+)'s(?![\p{L}\p{N}_])", "$1")
-    t = F.regexp_replace(t, r"^((the|a|an)\s+)+", "")
+    t = F.regexp_replace(t, f"^((the|a|an){BLANK}+)+", "")
     return F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
 
 

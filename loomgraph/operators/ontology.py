@@ -190,14 +190,19 @@ def class_data_properties(triples: DataFrame, closed: DataFrame) -> DataFrame:
     data = triples.where((F.col("p") == TYPE) & (F.col("o") == OWL + "DatatypeProperty")).select(F.col("s").alias("property")).distinct()
     sub = triples.where(F.col("p").isin(RDFS + "subClassOf", OWL + "equivalentClass")).select(F.col("s").alias("class"), F.col("o").alias("node"))
     member = triples.where(F.col("p").isin(OWL + "intersectionOf", RDF + "first", RDF + "rest")).select(F.col("s").alias("node"), F.col("o").alias("next"))
-    reach = sub
-    for _ in range(16):
-        reach_next = reach.join(member, "node").select("class", F.col("next").alias("node"))
-        if reach_next.isEmpty():
-            break
-        reach = reach.union(reach_next).distinct()
-        if reach_next.join(member, "node", "left_semi").isEmpty():
-            break
+    parts: dict[str, list[str]] = {}
+    for r in bounded_rows(member, 1_000_000, "class expressions"):
+        parts.setdefault(r[0], []).append(r[1])
+    held: set[tuple[str, str]] = set()
+    for cls, node in (tuple(r) for r in bounded_rows(sub, 1_000_000, "class axioms")):
+        open_nodes, seen = [node], set()
+        while open_nodes:
+            at = open_nodes.pop()
+            if at not in seen:
+                seen.add(at)
+                open_nodes += parts.get(at, [])
+        held |= {(cls, n) for n in seen}
+    reach = triples.sparkSession.createDataFrame(sorted(held), "class string, node string")
     direct = reach.join(restriction, "node").select("class", "property").union(triples.where(F.col("p") == RDFS + "domain").select(F.col("o").alias("class"), F.col("s").alias("property"))).join(data, "property", "left_semi").distinct()
     return direct.join(closed, direct["class"] == closed["ancestor"]).groupBy(F.col("descendant").alias("class"), "property").agg((F.min("depth") > 0).alias("inherited"))
 

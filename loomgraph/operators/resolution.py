@@ -273,7 +273,7 @@ def _block_keys(sieve: int, g: Group) -> set:
         return g.overlap & g.relevant if sieve == 1 else g.relevant
     if sieve == 3:
         return g.anchors
-    return {p.head for p in map(Phrase.of, g.names) if not p.generic_head} | {p.phrase for p in map(Phrase.of, g.names) if p.phrase}
+    return {p.head for p in map(Phrase.of, g.names) if not p.generic_head}
 
 
 def merge_block(groups: dict[str, Group], strategy: str, veto: bool) -> dict[str, Group]:

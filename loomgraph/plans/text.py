@@ -115,7 +115,7 @@ def sql_normalize(x: str) -> str:
 def sql_key(x: str) -> str:
     t = f"translate(lower({sql_strip(f'coalesce({x}, chr(32))')}), '’‘`', '''''''')"
     t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}_])([a-z0-9]+)''s\\b', '\\1\\2', 'g')"
-    t = f"regexp_replace({t}, '^((the|a|an)\\s+)+', '')"
+    t = f"regexp_replace({t}, '^((the|a|an){WS}+)+', '')"
     return f"trim(regexp_replace({t}, '[^a-z0-9]+', ' ', 'g'))"
 
 
