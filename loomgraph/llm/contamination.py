@@ -130,8 +130,9 @@ class FMIndex:
         self.places = order[marked]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of each phrase (a row of equally many known word numbers), by backward search."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
+        """Row ranges of each phrase (a row of equally many word numbers), by backward search; empty for unknown words."""
+        known = (phrases < len(self.before) - 1).all(axis=1)
+        low, high = np.zeros(len(phrases), np.int64), np.where(known, self.n, 0)
         for k in range(phrases.shape[1] - 1, -1, -1):
             live = np.flatnonzero(low < high)
             if not len(live):
