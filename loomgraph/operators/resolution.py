@@ -16,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -325,28 +325,29 @@ def merge_block(groups: dict[str, Group], strategy: str, veto: bool) -> dict[str
     return groups
 
 
-def _run_block(rows: pd.DataFrame, strategy: str, veto: bool) -> pd.DataFrame:
+def _run_block(rows: list[tuple], strategy: str, veto: bool) -> list[tuple[int, str, str]]:
+    """(doc_id, uid, component) of one block's mentions (doc_id, block, chunk_index, start, end, uid, name, text, zone)."""
     groups: dict[str, Group] = {}
-    for r in rows.sort_values(["chunk_index", "start", "end", "uid"], kind="stable").itertuples(index=False):
-        g = groups.get(r.uid)
+    for _, _, chunk, start, end, uid, name, text, zone in rows:
+        g = groups.get(uid)
         if g is None:
-            g = groups[r.uid] = Group(r.uid)
-            if isinstance(r.name, str) and r.name.strip():
-                g.names[_plain(r.name)] += 1
-                if Phrase.of(r.name).proper:
-                    g.anchors.add(_plain(r.name))
-        key = (int(r.start), int(r.end), _plain(r.text))
-        p = Phrase.of(r.text)
+            g = groups[uid] = Group(uid)
+            if name and name.strip():
+                g.names[_plain(name)] += 1
+                if Phrase.of(name).proper:
+                    g.anchors.add(_plain(name))
+        key = (start, end, _plain(text))
+        p = Phrase.of(text)
         g.keys.add(key)
         if p.relevant:
             g.relevant.add(key)
             g.texts.add(key[2])
-        if r.zone in OVERLAP:
+        if zone in OVERLAP:
             g.overlap.add(key)
-        g.chunks.add(int(r.chunk_index))
-        g.first = min(g.first, (int(r.chunk_index), int(r.start)))
-    merged = merge_block(groups, strategy, veto)
-    return pd.DataFrame([(int(rows["doc_id"].iloc[0]), u, g.uid) for g in merged.values() for u in g.members], columns=["doc_id", "uid", "component"])
+        g.chunks.add(chunk)
+        g.first = min(g.first, (chunk, start))
+    merged = merge_block(groups, strategy, veto) if len(groups) > 1 else groups
+    return [(rows[0][0], u, g.uid) for g in merged.values() for u in g.members]
 
 
 def resolve(rows: DataFrame, strategy: str = "greedy", veto: bool = True) -> DataFrame:
@@ -357,8 +358,32 @@ def resolve(rows: DataFrame, strategy: str = "greedy", veto: bool = True) -> Dat
     if strategy not in ("greedy", "components"):
         raise ValueError(f"unknown strategy {strategy}")
     usable = rows.where("doc_id is not null and uid is not null and start is not null and end is not null and chunk_index is not null").select("doc_id", "uid", "name", "start", "end", "text", "zone", "chunk_index")
-    grouped = usable.join(blocks(usable), ["doc_id", "uid"])
-    return grouped.groupBy("doc_id", "block").applyInPandas(lambda df: _run_block(df, strategy, veto), "doc_id bigint, uid string, component string")
+    columns = ["doc_id", "block", "chunk_index", "start", "end", "uid", "name", "text", "zone"]
+    grouped = usable.join(blocks(usable), ["doc_id", "uid"]).select(*columns).repartition("doc_id", "block").sortWithinPartitions(*columns[:6])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks arrive one after the other; only one is held."""
+        held: list[tuple] = []
+        done: list[tuple] = []
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.string(), pa.string()))], names=["doc_id", "uid", "component"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:2] != row[:2]:
+                    done += _run_block(held, strategy, veto)
+                    held = []
+                held.append(row)
+            if len(done) > 20_000:
+                yield packed()
+                done = []
+        if held:
+            done += _run_block(held, strategy, veto)
+        if done:
+            yield packed()
+
+    return grouped.mapInArrow(work, "doc_id bigint, uid string, component string")
 
 
 def number_entities(members: DataFrame, rows: DataFrame) -> DataFrame:

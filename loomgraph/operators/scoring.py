@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import probability as P
 from loomgraph.functions import text as X
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut, evaluated_once
 
 TRAITS = ["openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism"]
 POLES = ["positive", "negative", "neutral"]
@@ -24,14 +24,6 @@ TASKS = [(t, p, {"positive": f"{{}} shows high {t}", "negative": f"{{}} shows lo
 ]
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is evaluated once per row, however often later columns refer to it.
-
-    A generator keeps the optimizer from copying the expression into each of its uses.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
 
@@ -49,7 +41,7 @@ def _prepared(mentions: DataFrame, logit) -> tuple[DataFrame, object]:
     """Mentions and a scorer of hypotheses; the stand-in splits each premise once instead of once per hypothesis."""
     if logit is not overlap_logit:
         return mentions, lambda hypothesis: logit(F.col("context_text"), hypothesis)
-    return _once(mentions, "_w", _words(F.coalesce("context_text", F.lit("")))), lambda hypothesis: _shared(F.col("_w"), _words(hypothesis))
+    return evaluated_once(mentions, "_w", _words(F.coalesce("context_text", F.lit("")))), lambda hypothesis: _shared(F.col("_w"), _words(hypothesis))
 
 
 def task_table(spark) -> DataFrame:
@@ -68,7 +60,7 @@ def score_tasks(mentions: DataFrame, logit=overlap_logit) -> DataFrame:
     shown = []
     for task in [*TRAITS, "ocean_weight"]:
         labels = [t for t in TASKS if t[0] == task]
-        rows = _once(rows, f"_{task}", F.array(*(score(F.replace(F.lit(t[2]), F.lit("{}"), name)) for t in labels)))
+        rows = evaluated_once(rows, f"_{task}", F.array(*(score(F.replace(F.lit(t[2]), F.lit("{}"), name)) for t in labels)))
         shown += [F.get(P.softmax_array(F.col(f"_{task}")), i).alias(f"{task}_{t[1]}_probability") for i, t in enumerate(labels)]
     return rows.select("mention_id", *shown)
 
@@ -161,10 +153,10 @@ def typing_walk(mentions: DataFrame, classes: DataFrame, edges: DataFrame, depth
     rows = rows.withColumn("at", F.lit(ROOT)).withColumn("path", F.slice(F.array(step), 1, 0))
     for _ in range(depth + 1):
         joined = rows.join(F.broadcast(packed), "at", "left")
-        joined = _once(joined, "_l", F.transform("o", lambda x: score(F.replace(x["hypothesis"], F.lit("{}"), name))))
-        joined = _once(joined, "_p", P.softmax_array(F.col("_l")))
+        joined = evaluated_once(joined, "_l", F.transform("o", lambda x: score(F.replace(x["hypothesis"], F.lit("{}"), name))))
+        joined = evaluated_once(joined, "_p", P.softmax_array(F.col("_l")))
         ranked = F.zip_with("o", F.col("_p"), lambda x, v: F.struct(v.alias("v"), (-x["ordinal"]).alias("tie"), x["child"].alias("child")))
-        joined = _once(joined, "_b", F.array_max(ranked)).drop("_l", "_p")
+        joined = evaluated_once(joined, "_b", F.array_max(ranked)).drop("_l", "_p")
         alone = (F.col("at") == ROOT) & (F.size("o") == 1)
         kind = F.when(F.col("_b.child") == STAY, "stay").when(F.col("at") == ROOT, "root").otherwise("child")
         taken = F.struct(F.col("at").alias("parent"), F.col("_b.child").alias("child"), kind.alias("edge_kind"), F.col("_b.v").alias("edge_weight"))

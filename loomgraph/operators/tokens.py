@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.runtime import evaluated_once
+
 TOKENS = "doc_id bigint, token_i bigint, token_id bigint, text string, char_start bigint, char_end bigint, byte_start bigint, byte_end bigint, paragraph_id bigint, is_space boolean"
 _PIECES = re.compile(r"\S+|\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
@@ -40,27 +42,42 @@ def split_tokens(text: str) -> Iterator[tuple]:
         byte += size
 
 
-def tokenize(documents: DataFrame, text: str = "text") -> DataFrame:
+def tokenize(documents: DataFrame, text: str = "text", starts: str | None = None) -> DataFrame:
     """The token table of documents (doc_id, text): no shuffle, a row's tokens come from its own partition.
 
-    Null texts have no tokens; other columns are ignored.
+    With ``starts`` (an array of token offsets per document) tokens also carry sentence_id and
+    token_id_in_sentence, null for blank tokens. Null texts have no tokens; other columns are ignored.
     """
-    names = [c.split()[0] for c in TOKENS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.bool_()]
+    schema = TOKENS + (", sentence_id bigint, token_id_in_sentence bigint" if starts else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.int64()]
+
+    def placed(rows: Iterator[tuple], begins: list | None) -> Iterator[tuple]:
+        bounds = sorted({s for s in begins or () if s is not None and s > 0})
+        sentence, base = 0, 0
+        for row in rows:
+            if row[1] is None:
+                yield (*row, None, None)
+                continue
+            while sentence < len(bounds) and bounds[sentence] <= row[1]:
+                base = bounds[sentence]
+                sentence += 1
+            yield (*row, sentence, row[1] - base)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            columns = [c.to_pylist() for c in batch.columns]
             held: list[tuple] = []
-            for i, t in zip(ids, texts):
-                held.extend((i, *row) for row in split_tokens(t or ""))
+            for k, (i, t) in enumerate(zip(*columns[:2])):
+                rows = split_tokens(t or "")
+                held.extend((i, *row) for row in (placed(rows, columns[2][k]) if starts else rows))
                 if len(held) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
                     held = []
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
-    return documents.select("doc_id", F.col(text).alias("text")).mapInArrow(work, TOKENS)
+    return documents.select("doc_id", F.col(text).alias("text"), *([F.col(starts).alias("starts")] if starts else [])).mapInArrow(work, schema)
 
 
 def sentences(documents: DataFrame, starts: str = "sentence_starts") -> DataFrame:
@@ -70,7 +87,8 @@ def sentences(documents: DataFrame, starts: str = "sentence_starts") -> DataFram
     """
     size = F.size(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""))
     clean = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.filter(F.coalesce(F.col(starts), F.array().cast("array<bigint>")), lambda s: (s > 0) & (s < F.col("n"))))))
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text", starts).withColumn("n", size.cast("bigint")).where("n > 0").select("doc_id", "n", clean.alias("s"))
+    sized = evaluated_once(documents.where(F.col("text").isNotNull()).select("doc_id", "text", starts), "n", size.cast("bigint"))
+    rows = evaluated_once(sized.where("n > 0").select("doc_id", starts, "n"), "s", clean).select("doc_id", "n", "s")
     return rows.select("doc_id", "n", F.posexplode("s").alias("sentence_index", "start"), "s").select(
         "doc_id", F.col("sentence_index").cast("bigint").alias("sentence_index"), "start", F.coalesce(F.get("s", F.col("sentence_index") + 1), F.col("n")).alias("end"),
     )

@@ -23,14 +23,19 @@ def tok_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return T.with_sentences(T.tokenize(docs), T.sentences(docs))
+    return T.tokenize(table(spark, folder, "documents"), starts="sentence_starts")
 
 
 def tok_sentence_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _with_sentences(spark, folder).where("not is_space").select("doc_id", "token_id", "sentence_id", "token_id_in_sentence")
 
 
+def tok_sentence_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for a token table that came without sentences, by a join and a running maximum."""
+    docs = table(spark, folder, "documents")
+    return T.with_sentences(T.tokenize(docs), T.sentences(docs)).where("not is_space").select("doc_id", "token_id", "sentence_id", "token_id_in_sentence")
+
+
 def tok_export(spark: SparkSession, folder: str) -> DataFrame:
     return T.token_export(_with_sentences(spark, folder))
 
@@ -148,7 +153,7 @@ def name_mentions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tok_tokens, tok_sentences, tok_sentence_ids, tok_export, tok_span_ranges, chunk_plan, chunk_plan_violations, chunk_token_counts, chunk_model_input, mention_zones, mention_sentences, mention_contexts, mention_sample, mention_sample_twister,
+        tok_tokens, tok_sentences, tok_sentence_ids, tok_sentence_join, tok_export, tok_span_ranges, chunk_plan, chunk_plan_violations, chunk_token_counts, chunk_model_input, mention_zones, mention_sentences, mention_contexts, mention_sample, mention_sample_twister,
         mention_dedup, mention_numbers, cluster_members, mention_span_conflicts, mention_token_index, mention_name_index, name_mentions,
     )
 }
@@ -185,6 +190,7 @@ ORACLES = {
     "tok_tokens": f"WITH {_PIECES} SELECT doc_id, token_id, text, char_start, char_end, byte_start, byte_end, paragraph_id FROM toks",
     "tok_sentences": f"WITH {_SENTENCES} SELECT * FROM sents",
     "tok_sentence_ids": f"WITH {_PIECES}, {_SENTENCES} SELECT t.doc_id, t.token_id, s.sentence_index AS sentence_id, t.token_id - s.start AS token_id_in_sentence FROM toks t ASOF JOIN sents s ON t.doc_id = s.doc_id AND t.token_id >= s.start",
+    "tok_sentence_join": f"WITH {_PIECES}, {_SENTENCES} SELECT t.doc_id, t.token_id, s.sentence_index AS sentence_id, t.token_id - s.start AS token_id_in_sentence FROM toks t ASOF JOIN sents s ON t.doc_id = s.doc_id AND t.token_id >= s.start",
     "chunk_plan_violations": f"""
 WITH {_SENTENCES}, sizes AS (SELECT doc_id, max("end") AS n FROM sents GROUP BY doc_id),
 c AS (SELECT DISTINCT ON (doc_id, chunk_id) * FROM chunks),

@@ -12,7 +12,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -73,6 +74,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return cut_to(df, name)[0]
 
 
+def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is evaluated once per row, however often later columns refer to it.
+
+    A generator keeps the optimizer from copying the expression into each of its uses.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system (no error where it is missing)."""
     jvm = spark.sparkContext._jvm
