@@ -187,7 +187,7 @@ def _normalized(x: str) -> str:
 
 
 ORACLES = {
-    "tok_tokens": f"WITH {_PIECES} SELECT doc_id, token_id, text, char_start, char_end, byte_start, byte_end, paragraph_id FROM toks",
+    "tok_tokens": f"WITH {_PIECES} SELECT doc_id, token_id, text, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, CAST(byte_start AS BIGINT) AS byte_start, CAST(byte_end AS BIGINT) AS byte_end, CAST(paragraph_id AS BIGINT) AS paragraph_id FROM toks",
     "tok_sentences": f"WITH {_SENTENCES} SELECT * FROM sents",
     "tok_sentence_ids": f"WITH {_PIECES}, {_SENTENCES} SELECT t.doc_id, t.token_id, s.sentence_index AS sentence_id, t.token_id - s.start AS token_id_in_sentence FROM toks t ASOF JOIN sents s ON t.doc_id = s.doc_id AND t.token_id >= s.start",
     "tok_sentence_join": f"WITH {_PIECES}, {_SENTENCES} SELECT t.doc_id, t.token_id, s.sentence_index AS sentence_id, t.token_id - s.start AS token_id_in_sentence FROM toks t ASOF JOIN sents s ON t.doc_id = s.doc_id AND t.token_id >= s.start",

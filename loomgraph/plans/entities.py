@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.operators import anchors as A
 from loomgraph.operators import resolution as R
+from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
 from loomgraph.plans.documents import _EVIDENCE, _evidence
 from loomgraph.runtime import table
@@ -107,7 +108,7 @@ def _bank(uid: str, by: str, q: float) -> str:
     over = "PARTITION BY doc_id" if by else ""
     return f"""
 WITH c AS (SELECT DISTINCT doc_id, {uid} AS uid, canonical_name, n_mentions, {_KEY} AS k FROM global_clusters),
-g AS (SELECT {part}k AS anchor_key, arg_min(canonical_name, uid) AS display_name, sum(coalesce(n_mentions, 0)) AS n_mentions, array_to_string(list_sort(list(DISTINCT uid)), '|') AS source_cluster_uids FROM c WHERE {_CANDIDATE} GROUP BY {part}k HAVING sum(coalesce(n_mentions, 0)) >= 2),
+g AS (SELECT {part}k AS anchor_key, arg_min(canonical_name, uid) AS display_name, CAST(sum(coalesce(n_mentions, 0)) AS BIGINT) AS n_mentions, array_to_string(list_sort(list(DISTINCT uid)), '|') AS source_cluster_uids FROM c WHERE {_CANDIDATE} GROUP BY {part}k HAVING sum(coalesce(n_mentions, 0)) >= 2),
 q AS (SELECT *, quantile_cont(n_mentions, {q}) OVER ({over}) AS cut FROM g)
 SELECT {part}anchor_key, display_name, n_mentions, source_cluster_uids FROM q WHERE n_mentions >= cut"""
 
@@ -155,3 +156,7 @@ c AS (SELECT *, CAST(ceil(quantile_cont(CAST(n_mentions AS DOUBLE), 0.95) OVER (
 p AS (SELECT *, count(*) FILTER (n_mentions >= cutoff) OVER (PARTITION BY doc_id) AS passing FROM c)
 SELECT doc_id, uid, n_mentions, cutoff, CASE WHEN passing < 10 THEN r <= 10 ELSE n_mentions >= cutoff END AS kept FROM p""",
 }
+
+for _name, _column in (("er_adjacent_overlap", "overlap_coefficient"), ("er_overlap_coefficient", "overlap_coefficient"), ("er_head_alias", "score")):
+    QUERIES[_name] = rounded(QUERIES[_name])
+    ORACLES[_name] = rounded_sql(ORACLES[_name], _column)

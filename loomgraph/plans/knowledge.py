@@ -13,6 +13,7 @@ from loomgraph.operators import graphview as V
 from loomgraph.operators import ontology as O
 from loomgraph.operators import relations as L
 from loomgraph.operators import scoring as S
+from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
 from loomgraph.runtime import scratch_path, table
 from loomgraph.sources import files as FS
@@ -385,3 +386,12 @@ SELECT doc_id, uid FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = l.d
     "store_cache": "SELECT '{\"n\":' || length(context_text) || '}' AS payload_json, count(*) AS n FROM (SELECT DISTINCT subject, context_text FROM trait_evidence WHERE context_text IS NOT NULL) GROUP BY 1",
     "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
 }
+
+_DOUBLES = {
+    "score_tasks": _COLUMNS, "score_margins": ["confidence", "margin"], "score_softmax": ["share"], "trait_latest": ["openness_positive_probability"],
+    "trait_mention_scores": [f"{t}_{x}" for t in S.TRAITS for x in ("score", "neutral")] + ["weight"], "trait_profiles": S.TRAITS, "relation_properties": ["p"], "relation_assertions": ["aggregated_score"],
+    "relation_assertions_by_sum": ["aggregated_score"], "relation_report": ["aggregated_score"], "stream_windows": ["total"],
+}
+for _name, _columns in _DOUBLES.items():
+    QUERIES[_name] = rounded(QUERIES[_name])
+    ORACLES[_name] = rounded_sql(ORACLES[_name], *_columns)

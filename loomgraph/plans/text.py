@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.matching import with_lexical_match, word_match
+from loomgraph.plans import rounded, rounded_sql
 from loomgraph.runtime import table
 
 WS = X.BLANK
@@ -200,3 +201,7 @@ SELECT doc_id, global_cluster_uid, CASE WHEN regexp_matches(i, '^[0-9]') THEN 'e
   CASE WHEN n LIKE '%''' THEN n WHEN n LIKE '%s' THEN n || '''' ELSE n || '''s' END AS owner,
   (length({sql_strip('n')}) > 0 AND NOT regexp_matches(n, '[\\n"“”.!?;:]') AND len(string_split(q, ' ')) <= 8) AS clean, lower(q) AS label_key FROM d""",
 }
+
+for _name in ("text_word_match", "text_surface_similarity"):
+    QUERIES[_name] = rounded(QUERIES[_name])
+    ORACLES[_name] = rounded_sql(ORACLES[_name], "score")

@@ -7,6 +7,7 @@ tests) gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -139,14 +140,18 @@ def ship_package(spark: SparkSession) -> None:
     if context.master.startswith("local[") or context.applicationId in _SHIPPED:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    handle, archive = tempfile.mkstemp(prefix="loomgraph-", suffix=".zip")
-    os.close(handle)
-    with zipfile.ZipFile(archive, "w") as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
         for folder, _, files in os.walk(here):
             for name in files:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     out.write(full, os.path.relpath(full, os.path.dirname(here)))
+    archive = scratch_path(spark, "package") + ".zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(archive)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
 
