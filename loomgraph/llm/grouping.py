@@ -104,10 +104,13 @@ def link_groups(edges: DataFrame, beta: float = 0.5, radius: int = 4, max_levels
         raise RuntimeError(f"links are left after {max_levels} levels ({math.log2(max_levels):.0f} doublings)")
     if not maps:
         return members.select("scope", F.col("v").alias("member"), F.col("v").alias("group"))
-    whole = maps.pop()
-    while maps:
+    whole, path = maps.pop(), None
+    while maps:  # one level a time, again with the same generated code
         upper = whole.select("scope", F.col("v").alias("center"), F.col("center").alias("root"))
-        whole = maps.pop().join(upper, ["scope", "center"], "left").select("scope", "v", F.coalesce("root", "center").alias("center"))
+        before = path
+        whole, path = cut_to(maps.pop().join(upper, ["scope", "center"], "left").select("scope", "v", F.coalesce("root", "center").alias("center")), "composed")
+        if before:
+            drop_path(edges.sparkSession, before)
     rooted = members.join(whole, ["scope", "v"], "left").select("scope", "v", F.coalesce("center", "v").alias("root"))
     least = rooted.groupBy("scope", "root").agg(F.min("v").alias("group"))
     return rooted.join(least, ["scope", "root"]).select("scope", F.col("v").alias("member"), "group")
