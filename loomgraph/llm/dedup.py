@@ -152,7 +152,11 @@ def copies(keyed: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def collapsed(keyed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(found_in, first_id, n_copies): one representative per group with its exact number of distinct records."""
+    """(found_in, first_id, n_copies): one representative per group with its exact number of distinct records.
+
+    An identifier names one record: where one identifier is the smallest of two groups (a record
+    delivered with two contexts) and a run is stitched, those groups are counted together.
+    """
     scanned, stitched = find_runs(keyed, True, partitions)
     runs = scanned.where(F.col("kind") == RUN).select("part", "found_in", "first_id", "n")
     if not stitched:
