@@ -68,6 +68,50 @@ def test_long_sentence_is_cut_at_clauses():
     assert splitting.split_item(5, 5, [], [], [], 300, 2) == [] and splitting.split_item(0, 300, [], [], [], 300, 2) == [(0, 300, 0, 300, True)]
 
 
+def _sentences(lengths):
+    bounds = [0]
+    for n in lengths:
+        bounds.append(bounds[-1] + n)
+    return bounds
+
+
+def test_one_oversized_sentence_costs_no_other_piece_its_overlap():
+    bounds = _sentences([20] * 60 + [450] + [20] * 60)
+    starts, size, long = bounds[:-1], bounds[-1], (1200, 1650)
+    pieces = splitting.split_item(0, size, starts, [], list(range(1210, 1650, 10)), 300, 2)
+    assert pieces[0][0] == 0 and pieces[-1][1] == size and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+    assert all(right - left <= 300 for _, _, left, right, _ in pieces)
+    for a, b, left, right, aligned in pieces:
+        assert aligned == (a in starts) and (aligned or long[0] < a < long[1] and a % 10 == 0)
+        if a <= long[0]:
+            assert left == max(0, a - 40)
+        if a == long[1]:
+            assert left == a
+        if b <= long[0] - 40 or b >= long[1]:
+            assert right == min(size, b + 40)
+    assert {1200, 1650} <= {p[0] for p in pieces}
+
+
+def test_overlap_is_as_large_as_fits():
+    pieces = splitting.split_item(0, 1000, list(range(0, 1000, 100)), [], [], 300, 2)
+    assert len(pieces) == 10 and all(right - left == 300 for _, _, left, right, _ in pieces)
+    bounds = _sentences([310, 50, 50, 50, 310])
+    pieces = splitting.split_item(0, bounds[-1], bounds[:-1], [], [], 300, 2)
+    assert [p[4] for p in pieces] == [True, False, True, True, False]
+    assert pieces[1][3] == 410 and pieces[3][2] == 360 and pieces[2][:4] == (310, 460, 310, 460)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 400), min_size=1, max_size=40), st.integers(60, 120))
+def test_cores_leave_sentence_starts_only_inside_oversized_sentences(lengths, limit):
+    bounds = _sentences(lengths)
+    pieces = splitting.split_item(0, bounds[-1], bounds[:-1], [], [], limit, 2)
+    assert pieces[0][0] == 0 and pieces[-1][1] == bounds[-1] and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+    for a, b, left, right, aligned in pieces:
+        assert left <= a < b <= right and right - left <= limit and left in {*bounds, a} and right in {*bounds, b}
+        assert aligned or any(s < a < e and e - s > limit for s, e in zip(bounds, bounds[1:]))
+
+
 def test_split_tables(spark):
     words = " ".join(f"w{i}." if i % 10 == 9 else f"w{i}" for i in range(900))
     docs = spark.createDataFrame([(1, words, list(range(0, 900, 10)), "x"), (2, None, None, "x"), (3, " ", [], "x"), (4, "a b", [0], "x")], "doc_id bigint, text string, sentence_starts array<bigint>, chunk_id string")
