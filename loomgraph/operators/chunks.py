@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPECS = "array<struct<sentence_start:bigint,sentence_end:bigint>>"
+SPECS = "array<struct<global_start:bigint,global_end:bigint,core_start:bigint,core_end:bigint,sentence_start:bigint,sentence_end:bigint>>"
 
 
 def core_ranges(starts: list[int], size: int, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -31,39 +31,83 @@ def core_ranges(starts: list[int], size: int, limit: int, overlap: int) -> list[
     return out
 
 
+def shrunk_overlap(start: int, end: int, before: list[int], after: list[int], limit: int) -> tuple[int, int]:
+    """The span around a core: the sentences that start ``before`` it and end ``after`` it, nearest first and both sides in turn, while they fit."""
+    before, after = list(before), list(after)
+    while before or after:
+        if before:
+            if end - before[-1] <= limit:
+                start = before.pop()
+            else:
+                before = []
+        if after:
+            if after[0] - start <= limit:
+                end = after.pop(0)
+            else:
+                after = []
+    return start, end
+
+
+def covering_ranges(starts: list[int], size: int, limit: int, overlap: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Chunks (global start and end, core start and end, sentence range of the core) within the limit whose cores cover every token.
+
+    The chunks of ``core_ranges`` where it has a plan. Else a sentence that does not fit with its
+    whole overlap is a core by itself with as much of the overlap as fits; one that exceeds the limit
+    is cut into the fewest even parts, and the sentences before and after it are planned without it.
+    """
+    bounds = [*starts, size]
+    long = [i for i in range(len(starts)) if bounds[i + 1] - bounds[i] > limit]
+    out = []
+    first = 0
+    for stop in [*long, len(starts)]:
+        at = first
+        while at < stop:
+            left, end = bounds[max(first, at - overlap)], at
+            while end < stop and bounds[min(stop, end + 1 + overlap)] - left <= limit:
+                end += 1
+            right = bounds[min(stop, end + overlap)]
+            if end == at:
+                end = at + 1
+                left, right = shrunk_overlap(bounds[at], bounds[end], bounds[max(first, at - overlap):at], bounds[end + 1:min(stop, end + overlap) + 1], limit)
+            out.append((left, right, bounds[at], bounds[end], at, end))
+            at = end
+        if stop < len(starts):
+            start, length = bounds[stop], bounds[stop + 1] - bounds[stop]
+            parts = -(-length // limit)
+            cuts = [start + k * length // parts for k in range(parts + 1)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                before = bounds[max(0, stop - overlap):stop] if k == 0 else []
+                after = bounds[stop + 2:min(len(starts), stop + 1 + overlap) + 1] if k == parts - 1 else []
+                out.append((*shrunk_overlap(a, b, before, after, limit), a, b, stop, stop + 1))
+        first = stop + 1
+    return out
+
+
 def plan_chunks(sentences: DataFrame, limit: int = 8000, overlap: int = 80, prefix: str = "chunk", strict: bool = False) -> DataFrame:
     """The chunk plan (13 columns after doc_id) of a sentence table (doc_id, sentence_index, start, end).
 
     One small state machine per document over its sentence offsets; documents are the parallel unit.
-    A document with a sentence that cannot fit has no chunks, or raises where ``strict``; one without
-    sentences has none.
+    A sentence that does not fit with its overlap has less of it, and one that exceeds the limit is
+    cut into several chunks that name the same sentence; where ``strict``, either raises. A document
+    without sentences has no chunks.
     """
     per = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sentence_index", "start", "end"))).alias("s"))
     starts, ends = F.transform("s", lambda x: x["start"]), F.transform("s", lambda x: x["end"])
 
     @F.pandas_udf(SPECS)
     def ranges(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        names = ("global_start", "global_end", "core_start", "core_end", "sentence_start", "sentence_end")
         for begin, size in parts:
             out = []
             for b, n in zip(begin, size):
-                try:
-                    made = core_ranges([int(x) for x in b], int(n), limit, overlap)
-                except ValueError:
-                    if strict:
-                        raise
-                    made = []
-                out.append([{"sentence_start": x, "sentence_end": y} for x, y in made])
+                offsets = [int(x) for x in b]
+                if strict:
+                    core_ranges(offsets, int(n), limit, overlap)
+                out.append([dict(zip(names, x)) for x in covering_ranges(offsets, int(n), limit, overlap)])
             yield pd.Series(out)
 
-    rows = per.select("doc_id", starts.alias("b"), ends.alias("e"), F.posexplode(ranges(starts, F.element_at(ends, -1))).alias("chunk_index", "r"))
-    at = lambda i: F.element_at("b", (i + 1).cast("int"))
-    to = lambda i: F.element_at("e", i.cast("int"))
-    n = F.size("b")
-    first, last = F.col("r.sentence_start"), F.col("r.sentence_end")
-    return rows.select(
-        "doc_id", F.format_string(prefix + "_%03d", F.col("chunk_index")).alias("chunk_id"), F.col("chunk_index").cast("bigint").alias("chunk_index"),
-        at(F.greatest(first - overlap, F.lit(0))).alias("global_start"), to(F.least(last + overlap, n)).alias("global_end"), at(first).alias("core_start"), to(last).alias("core_end"), first.alias("sentence_start"), last.alias("sentence_end"),
-    ).select(
+    rows = per.select("doc_id", F.posexplode(ranges(starts, F.element_at(ends, -1))).alias("chunk_index", "r"))
+    return rows.select("doc_id", F.format_string(prefix + "_%03d", F.col("chunk_index")).alias("chunk_id"), F.col("chunk_index").cast("bigint").alias("chunk_index"), "r.*").select(
         "doc_id", "chunk_id", "chunk_index", "global_start", "global_end", "core_start", "core_end", F.col("global_start").alias("left_overlap_start"), F.col("core_start").alias("left_overlap_end"),
         F.col("core_end").alias("right_overlap_start"), F.col("global_end").alias("right_overlap_end"), (F.col("global_end") - F.col("global_start")).alias("n_tokens"), "sentence_start", "sentence_end",
     )

@@ -79,6 +79,35 @@ def test_plan_holds_its_rules(spark):
     assert C.plan_chunks(s.limit(0), 100, 1).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=40), st.integers(0, 4), st.integers(5, 90))
+def test_covering_ranges_are_the_plan_or_fit_as_much_as_they_can(lengths, overlap, limit):
+    starts, size = [sum(lengths[:k]) for k in range(len(lengths))], sum(lengths)
+    made = C.covering_ranges(starts, size, limit, overlap)
+    assert made[0][2] == 0 and made[-1][3] == size and all(x[3] == y[2] for x, y in zip(made, made[1:]))
+    assert all(a <= c < d <= b and b - a <= limit for a, b, c, d, _, _ in made)
+    bounds = [*starts, size]
+    assert all(a in {*starts, c} and b in {*bounds, d} and bounds[i] <= c and d <= bounds[j] for a, b, c, d, i, j in made)
+    try:
+        plain = C.core_ranges(starts, size, limit, overlap)
+    except ValueError:
+        return
+    assert [x[4:] for x in made] == plain
+    assert [x[:4] for x in made] == [(bounds[max(0, a - overlap)], bounds[min(len(starts), b + overlap)], bounds[a], bounds[b]) for a, b in plain]
+
+
+def test_documents_with_oversized_sentences_are_planned_whole(spark):
+    lengths = {0: [10] * 8 + [250] + [10] * 8, 1: [30, 60, 30, 5], 2: [10] * 5}
+    d = docs(spark, [" ".join(f"w{k}" for k in range(sum(x))) for x in lengths.values()], {i: [sum(x[:k]) for k in range(len(x))] for i, x in lengths.items()})
+    s = T.sentences(d)
+    plan = C.plan_chunks(s, 100, 2)
+    assert C.plan_violations(plan, s.groupBy("doc_id").agg(F.max("end").alias("n_doc_tokens")), 100).count() == 0
+    got = {i: [(r["core_start"], r["core_end"], r["global_start"], r["global_end"], r["sentence_start"], r["sentence_end"]) for r in plan.where(F.col("doc_id") == i).orderBy("chunk_index").collect()] for i in lengths}
+    assert got[0] == [(0, 80, 0, 80, 0, 8), (80, 163, 70, 163, 8, 9), (163, 246, 163, 246, 8, 9), (246, 330, 246, 340, 8, 9), (330, 410, 330, 410, 9, 17)]
+    assert got[1] == [(0, 30, 0, 90, 0, 1), (30, 90, 0, 90, 1, 2), (90, 120, 30, 125, 2, 3), (120, 125, 30, 125, 3, 4)]
+    assert got[2] == [(0, 50, 0, 50, 0, 5)]
+
+
 def test_contexts(spark):
     d = docs(spark, ["Ann sat down. Then she took her hat , and left. End."], {0: [0, 3, 11]})
     mentions = spark.createDataFrame([(0, 1, 4, 5, "she", "Ann"), (0, 2, 6, 7, "her", "Ann"), (0, 3, 2, 4, "down. Then", "Ann")], "doc_id bigint, mention_id bigint, start bigint, end bigint, text string, subject string")
