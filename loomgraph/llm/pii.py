@@ -209,11 +209,23 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
     return out
 
 
-def words_before(text: str, at: int, most: int) -> list[re.Match]:
-    """Up to ``most`` words right before a place, nearest first, with nothing but a gap (and commas) in between."""
+def words_before(text: str, at: int, most: int, initials: bool = False) -> list[re.Match]:
+    """Up to ``most`` words right before a place, nearest first, with nothing but a gap (and commas) in between.
+
+    With ``initials``, a single letter and its point count as a word.
+    """
     out: list[re.Match] = []
-    for m in reversed(list(TOKEN.finditer(text, max(0, at - 70), at))):
-        if m["par"] or not (m.group()[0].isalpha() or m.group() == ","):
+    point = None
+    for m in reversed(list(TOKEN.finditer(text, max(0, at - max(70, 24 * most)), at))):
+        word = m.group()
+        if point is not None:
+            if len(word) != 1 or not word.isalpha() or m.end() != point:
+                break
+            point = None
+        elif initials and word == ".":
+            point = m.start()
+            continue
+        elif m["par"] or not (word[0].isalpha() or word == ","):
             break
         out.append(m)
         if sum(x.group() != "," for x in out) == most:
@@ -223,7 +235,7 @@ def words_before(text: str, at: int, most: int) -> list[re.Match]:
 
 def streets_before(text: str, at: int) -> list[tuple[int, str]]:
     """(start, form) of street names that end right before a house number."""
-    back = words_before(text, at, 4)
+    back = words_before(text, at, 5)
     comma = bool(back) and back[0].group() == ","
     words = [m for m in back if m.group() != ","]
     if not words or any(m.group() == "," for m in back[comma:][:1]):
@@ -265,7 +277,7 @@ def name_candidates(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, in
                 while a and text[a - 1].isalpha():
                     a -= 1
             starts.add(a)
-            for m in words_before(text, a, 2):
+            for m in words_before(text, a, 2, initials=True):
                 word = m.group()
                 if word != "," and (lower or not word[0].islower()) and word.lower() not in TITLES:
                     starts.add(m.start())

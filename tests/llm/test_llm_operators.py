@@ -283,6 +283,17 @@ def test_token_counts_sum(spark):
 # 10. Personal information
 
 
+def test_initials_before_a_family_and_long_spanish_streets_without_an_introducing_phrase():
+    redactor = pii.Redactor(["Anna"], ["Mehlfeld"], pii_training.trained_weights())
+    for text, kind, segment in (
+        ("The old ledger was kept by Tobren J. Mehlfeld until noon.", "name", "Tobren J. Mehlfeld"),
+        ("Devolver en Calle de la Vieja Fuente 12 o llamar.", "address", "Calle de la Vieja Fuente 12"),
+        ("Vive en Avenida del Rey Don Pedro, 7 desde ayer.", "address", "Avenida del Rey Don Pedro, 7"),
+    ):
+        assert [(text[a:b], k) for a, b, k, _ in redactor.find(text)] == [(segment, kind)]
+    assert not pii.candidates("He stayed at home. Mehlfeld came. Mr. Mehlfeld left.", redactor.lexicon)
+
+
 def test_held_out_notes():
     lexicon, notes = pii_training.training_set(400, 4321)
     model = pii.SemiMarkov(pii_training.trained_weights())
