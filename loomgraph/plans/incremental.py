@@ -28,8 +28,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mention_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions of trait_evidence that are new or rescored; the chunk stands in for a delivery number."""
-    return _capture(spark, folder, "trait_evidence", "trait_evidence", key=["doc_id", "mention_id"], number="chunk_index").select("doc_id", "mention_id", "kind")
+    """Mentions of trait_evidence that are new, rescored or moved; the chunk stands in for a delivery number and is content as well."""
+    key = ["doc_id", "mention_id"]
+    content = [c for c in table(spark, folder, "trait_evidence").columns if c not in (*key, "arrived_at")]
+    return _capture(spark, folder, "trait_evidence", "trait_evidence", key=key, number="chunk_index", content=content).select("doc_id", "mention_id", "kind")
 
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_relation_changes, p7_mention_changes)}

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators.change_capture import ChangeCapture, last_success
+from loomgraph.plans import incremental
 from loomgraph.sources import files as FS
 from loomgraph.sources import store as ST
 from loomgraph.streaming import arrivals
@@ -43,6 +44,13 @@ def test_capture_of_ties_and_empty_tables(spark, tmp_path, rows):
         c.begin_at(T0)
 
 
+def test_mention_moved_to_another_chunk_is_a_change(spark, tmp_path, rows):
+    evidence = [(1, 1, 0, "a", T0), (1, 1, 3, "a", T0 + timedelta(2)), (1, 2, 0, "b", T0), (1, 2, 0, "b", T0 + timedelta(2)), (1, 3, 4, "c", T0 + timedelta(2))]
+    spark.createDataFrame(evidence, "doc_id bigint, mention_id bigint, chunk_index bigint, mention_text string, arrived_at timestamp").write.parquet(f"{tmp_path}/trait_evidence.parquet")
+    spark.createDataFrame([("trait_evidence", "success", T0 + timedelta(1))], "stage string, run_status string, read_up_to timestamp").write.parquet(f"{tmp_path}/run_log.parquet")
+    assert rows(incremental.p7_mention_changes(spark, str(tmp_path))) == [(1, 1, "changed"), (1, 3, "added")]
+
+
 def test_last_success(spark):
     log = spark.createDataFrame([("s", "success", T0), ("s", " Success ", T0 + timedelta(1)), ("s", "failed", T0 + timedelta(2)), ("t", "success", T0 + timedelta(3))], "stage string, run_status string, read_up_to timestamp")
     assert last_success(log, "s") == T0 + timedelta(1) and last_success(log, "none") is None
