@@ -13,7 +13,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -59,10 +59,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a scratch path deleted when the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def cut_to(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Like :func:`cut`, with the path, for callers that delete what they have passed."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -96,9 +103,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
-def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small driver-side file through a temporary name and a rename."""
-    jvm = spark.sparkContext._jvm
+def write_text_atomic(spark: SparkSession, path: str, text: str, once: bool = False) -> None:
+    """Write a small driver-side file through a temporary name and one rename that replaces the target.
+
+    A crash leaves either the old file or the new one, never none. With ``once`` an existing target
+    is an error: numbered files are written once and never replaced.
+    """
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     final = jvm.org.apache.hadoop.fs.Path(path)
     temporary = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -106,9 +117,55 @@ def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(temporary, True)
     out.write(bytearray(text, "utf-8"))
     out.close()
-    fs.delete(final, False)
-    if not fs.rename(temporary, final):
-        raise OSError(f"rename to {path} failed")
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = gateway.new_array(kinds, 1)
+    options[0] = kinds.NONE if once else kinds.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(temporary, final, options)
+
+
+def numbered(spark: SparkSession, folder: str, suffix: str = ".json") -> list[int]:
+    """The numbers of the files ``<number><suffix>`` in a folder, ascending."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(target)]
+    return sorted(int(n[: -len(suffix)]) for n in names if n.endswith(suffix) and n[: -len(suffix)].isdigit())
+
+
+def partitions_for(df: DataFrame, target: int = 32 << 20, growth: float = 4.0) -> int:
+    """Partitions of about ``target`` bytes for a sort of ``df``, from the optimizer's size of its input.
+
+    ``growth`` is what the rows weigh in memory against their compressed columns. Where the plan knows
+    no size the session's shuffle partitions are used.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return default if size >= 1 << 60 else max(1, min(int(size * growth / target) + 1, 100_000))
+
+
+def running_counts(df: DataFrame, group: list[str], order: list, weight: Column | None = None, partitions: int | None = None, name: str = "running") -> DataFrame:
+    """``df`` with ``_upto``: the running sum of ``weight`` (or the row number) within ``group`` by ``order``.
+
+    A group of any size is spread: rows are range-partitioned and sorted by group and order, summed
+    within each partition, and moved up by what the earlier partitions hold of the same group, one
+    number for each partition that a group enters from the one before. ``order`` must be total where
+    the numbers of ties matter. An empty table stays empty.
+    """
+    spark = df.sparkSession
+    keys = [F.col(g) for g in group]
+    ranged = df.withColumn("_w", weight if weight is not None else F.lit(1).cast("bigint")).repartitionByRange(partitions or partitions_for(df), *keys, *order).sortWithinPartitions(*keys, *order)
+    rows = cut(ranged.withColumn("_part", F.spark_partition_id()), name)
+    held = rows.groupBy(*group, "_part").agg(F.sum("_w").alias("_held"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = held.withColumn("_before", F.sum("_held").over(before)).where("_before is not null").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_before")
+    run = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_upto", F.sum("_w").over(run))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = inside.join(moved, same, "left")
+    return joined.select(*df.columns, (F.col("_upto") + F.coalesce("_before", F.lit(0))).cast("bigint").alias("_upto"))
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
