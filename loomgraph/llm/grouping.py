@@ -1,28 +1,34 @@
 """Pairwise matches to groups by low-diameter decomposition (problem 1).
 
-Every level draws for each vertex an exponentially distributed head start. Vertices with large
-head starts begin to grow clusters early; a vertex joins the cluster that reaches it first, ties
-going to the smaller fractional arrival. Clusters then contract to super-vertices, edges inside a
-cluster vanish, and the next level works on what is left. The number of edges falls by a constant
-factor per level, so the levels are logarithmic even on long chains, and the per-level maps are
-composed from the last level back to the first.
-
-Head starts come from a hash of vertex and level: a task that is run again draws the same values.
-Growth steps aggregate proposals per vertex with a partial minimum before the shuffle, so a vertex
-that holds a third of all links sends at most one row per map task; the joins are plain equi-joins
-which adaptive execution splits when a key is hot.
+Every level draws for each vertex an exponentially distributed head start, unbounded as the method
+asks. A cluster grows from its center one link a time unit, beginning earlier the larger the head start;
+a vertex belongs to the cluster that reaches it first. Clusters then contract to super-vertices, links
+inside a cluster vanish, and the next level works on what is left. The rate of the head starts halves from
+level to level: at the rate b a link is cut with a chance below b, so each level leaves a smaller share
+of links than the one before and may grow further on a graph that has shrunk by more, and a handful of
+levels suffice even on long chains. The per-level maps are composed from the last level back to the first.
+
+Growth is computed as earliest arrivals: arrivals travel several links within one job, and only those
+that moved at a job's last link travel on in the next one. Between two links of a job nothing but the
+earliest offer for each vertex is shuffled (a partial minimum before the shuffle). A vertex with more
+than ``max_degree`` links is cut into parts that are tied to it by links of their own and keep at most
+that many, so no task gets the links of a hot vertex in one piece. Head starts come from a hash of
+vertex and level: a task that is run again draws the same values.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.runtime import cut_to, drop_path
 
 BLANKS = r"(?U)^[\s\x{200b}\x{feff}]+|[\s\x{200b}\x{feff}]+$"
+#: Links that arrivals travel in the first and in each further growth job of a level.
+FIRST_REACH, REACH = 4, 8
+#: Levels composed in one job.
+COMPOSED = 4
+PART = "\u0001"
 
 
 def clean_uid(value: Column) -> Column:
@@ -53,64 +59,103 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "level").distinct()
 
 
-def grow(live: DataFrame, beta: float, radius: int) -> DataFrame:
-    """One low-diameter decomposition: (scope, v, center) for every vertex of ``live`` (scope, a, b, level).
+def _counted(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, str, int]:
+    """``df`` written to the shared folder, and the number of rows with ``condition``, counted while writing."""
+    seen = Observation()
+    out, path = cut_to(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return out, path, int(seen.get["n"])
+
+
+def _both_ways(live: DataFrame) -> DataFrame:
+    return live.select("scope", F.col("a").alias("u"), F.col("b").alias("w"), "level").union(live.select("scope", F.col("b").alias("u"), F.col("a").alias("w"), "level"))
+
 
-    ``radius`` bounds the growth steps: head starts are capped below it, which can only change how
-    many edges a level contracts, never the groups that come out in the end. Level and step travel
-    as columns, not as literals, so all levels and steps run the same generated code.
+def split_hubs(live: DataFrame, max_degree: int) -> DataFrame:
+    """``live`` with each vertex of more than ``max_degree`` links cut into parts linked to it.
+
+    A link moves to the part its other end hashes to. Parts are vertices like any other; as each hangs
+    on its own vertex they change no group.
     """
-    both = live.select("scope", F.col("a").alias("u"), F.col("b").alias("w"), "level").union(live.select("scope", F.col("b").alias("u"), F.col("a").alias("w"), "level"))
-    uniform = (F.xxhash64("scope", "v", "level").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    arrival = F.lit(float(radius)) - F.least(-F.log(uniform) / F.lit(beta), F.lit(radius - 1e-9))
-    seeded = both.select("scope", F.col("u").alias("v"), "level").distinct().withColumn("arrival", arrival).select(
-        "scope", "v", F.floor("arrival").cast("int").alias("start"), (F.col("arrival") - F.floor("arrival")).alias("late"), F.lit(0).alias("step"),
-    )
-    own = F.when(F.col("start") == F.col("step"), F.struct(F.col("late").alias("late"), F.col("v").alias("center")))
-    state, path = cut_to(seeded.select("scope", "v", "start", "late", own.alias("got"), F.when(own.isNotNull(), F.col("step")).alias("at"), "step"), "grow")
-    links = both.select("scope", "u", "w")
-    for _ in range(1, radius):
-        frontier = state.where("at = step").select("scope", F.col("v").alias("u"), "got")
-        reached = links.join(frontier, ["scope", "u"]).groupBy("scope", F.col("w").alias("v")).agg(F.min("got").alias("offer"))
-        waiting = state.withColumn("step", F.col("step") + 1).join(reached, ["scope", "v"], "left")
-        best = F.least("offer", own)
+    hubs = _both_ways(live).groupBy("scope", "u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_degree).select("scope", "u", F.ceil(F.col("n") / max_degree).cast("int").alias("parts"))
+    side = lambda s: hubs.select("scope", F.col("u").alias(s), F.col("parts").alias(f"parts_{s}"))
+    part = lambda s, other: F.when(F.col(f"parts_{s}").isNotNull(), F.concat(F.col(s), F.lit(PART), F.pmod(F.xxhash64(other), F.col(f"parts_{s}")).cast("string"))).otherwise(F.col(s))
+    moved = live.join(side("a"), ["scope", "a"], "left").join(side("b"), ["scope", "b"], "left").select("scope", part("a", "b").alias("a"), part("b", "a").alias("b"), "level")
+    tied = hubs.crossJoin(F.broadcast(live.select("level").limit(1))).select("scope", F.col("u").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.concat("u", F.lit(PART), k.cast("string")))).alias("b"), "level")
+    return _ordered(moved.union(tied))
+
+
+def grow(live: DataFrame, beta: float) -> tuple[DataFrame, str]:
+    """One low-diameter decomposition: (scope, v, center) for every vertex of ``live`` (scope, a, b, level), with its path.
+
+    Level and length travel as columns, not as literals, so all levels and steps run the same
+    generated code.
+    """
+    spark = live.sparkSession
+    both = _both_ways(live)
+    vertices = both.groupBy("scope", "u").agg(F.max("level").alias("level"))
+    links = both.select("scope", "u", "w", F.lit(1.0).alias("length")).union(vertices.select("scope", "u", F.col("u").alias("w"), F.lit(0.0)))
+    uniform = (F.xxhash64("scope", "u", "level").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    state = vertices.select("scope", F.col("u").alias("v"), F.struct((F.log(uniform) * F.pow(F.lit(2.0), "level") / F.lit(beta)).alias("at"), F.col("u").alias("center"), F.lit(0).alias("hops")).alias("got"))
+    moving, path, reach = state, None, FIRST_REACH
+    while True:
+        offers = moving.select("scope", "v", F.struct("got.at", "got.center", F.lit(0).alias("hops")).alias("got"))
+        for _ in range(reach):
+            here = offers.select("scope", F.col("v").alias("u"), "got")
+            step = F.struct((F.col("got.at") + F.col("length")).alias("at"), F.col("got.center").alias("center"), (F.col("got.hops") + F.col("length").cast("int")).alias("hops"))
+            offers = links.join(here, ["scope", "u"]).groupBy("scope", F.col("w").alias("v")).agg(F.min(step).alias("got"))
+        if path is None:
+            after = offers  # every vertex has offered itself
+        else:
+            better = F.col("offer.at") < F.col("got.at")
+            after = state.join(offers.withColumnRenamed("got", "offer"), ["scope", "v"], "left").select("scope", "v", F.when(better, F.col("offer")).otherwise(F.struct("got.at", "got.center", F.lit(0).alias("hops"))).alias("got"))
         before = path
-        state, path = cut_to(
-            waiting.select("scope", "v", "start", "late", F.coalesce("got", best).alias("got"), F.coalesce("at", F.when(best.isNotNull(), F.col("step"))).alias("at"), "step"), "grow",
-        )
-        drop_path(live.sparkSession, before)
-    return state.select("scope", "v", F.col("got.center").alias("center"))
+        state, path, open_rows = _counted(after, "grow", F.col("got.hops") == reach)
+        if before:
+            drop_path(spark, before)
+        if not open_rows:
+            return state.select("scope", "v", F.col("got.center").alias("center")), path
+        moving, reach = state.where(F.col("got.hops") == reach), REACH
 
 
-def link_groups(edges: DataFrame, beta: float = 0.5, radius: int = 4, max_levels: int = 200) -> DataFrame:
+def link_groups(edges: DataFrame, beta: float = 0.5, max_degree: int = 100_000, max_levels: int = 200) -> DataFrame:
     """(scope, member, group) with the smallest member (by code point) naming each group.
 
     ``edges``: (scope, a, b), in any direction, repeated, self-edges allowed. Every vertex that
     stands in an edge comes out once. An empty input gives an empty result.
     """
+    spark = edges.sparkSession
     members = edges.select("scope", F.explode(F.array("a", "b")).alias("v")).distinct()
-    live, path = cut_to(_ordered(edges.withColumn("level", F.lit(0))), "links")
-    maps: list[DataFrame] = []
-    for _ in range(max_levels):
-        if live.isEmpty():
-            break
-        step = grow(live, beta, radius)
-        maps.append(step)
+    every = F.lit(True)
+    live, path, n = _counted(_ordered(edges.withColumn("level", F.lit(0))), "links", every)
+    maps: list[tuple[DataFrame, str]] = []
+    while n:
+        if len(maps) == max_levels:
+            raise RuntimeError(f"{n} links are left after {max_levels} levels")
+        if n > max_degree:  # else no vertex can have more links
+            before = path
+            live, path, n = _counted(split_hubs(live, max_degree), "links", every)
+            drop_path(spark, before)
+        step, step_path = grow(live, beta)
+        maps.append((step, step_path))
         a, b = (step.select("scope", F.col("v").alias(x), F.col("center").alias(f"c{x}")) for x in "ab")
         before = path
-        live, path = cut_to(_ordered(live.join(a, ["scope", "a"]).join(b, ["scope", "b"]).select("scope", F.col("ca").alias("a"), F.col("cb").alias("b"), (F.col("level") + 1).alias("level"))), "links")
-        drop_path(edges.sparkSession, before)
-    else:
-        raise RuntimeError(f"links are left after {max_levels} levels ({math.log2(max_levels):.0f} doublings)")
+        live, path, n = _counted(_ordered(live.join(a, ["scope", "a"]).join(b, ["scope", "b"]).select("scope", F.col("ca").alias("a"), F.col("cb").alias("b"), (F.col("level") + 1).alias("level"))), "links", every)
+        drop_path(spark, before)
+    drop_path(spark, path)
     if not maps:
         return members.select("scope", F.col("v").alias("member"), F.col("v").alias("group"))
-    whole, path = maps.pop(), None
-    while maps:  # one level a time, again with the same generated code
-        upper = whole.select("scope", F.col("v").alias("center"), F.col("center").alias("root"))
-        before = path
-        whole, path = cut_to(maps.pop().join(upper, ["scope", "center"], "left").select("scope", "v", F.coalesce("root", "center").alias("center")), "composed")
-        if before:
-            drop_path(edges.sparkSession, before)
+    whole, passed = maps.pop()
+    paths = [passed]
+    while maps:
+        for _ in range(min(COMPOSED, len(maps))):
+            upper = whole.select("scope", F.col("v").alias("center"), F.col("center").alias("root"))
+            lower, passed = maps.pop()
+            paths.append(passed)
+            whole = lower.join(upper, ["scope", "center"], "left").select("scope", "v", F.coalesce("root", "center").alias("center"))
+        whole, passed = cut_to(whole, "composed")
+        for p in paths:
+            drop_path(spark, p)
+        paths = [passed]
     rooted = members.join(whole, ["scope", "v"], "left").select("scope", "v", F.coalesce("center", "v").alias("root"))
     least = rooted.groupBy("scope", "root").agg(F.min("v").alias("group"))
     return rooted.join(least, ["scope", "root"]).select("scope", F.col("v").alias("member"), "group")
