@@ -4,7 +4,8 @@ Canonical records are range-partitioned by their whole key and identifier, each
 (spilling to disk as needed), and one pass over the sorted rows compares full keys of neighbours. As
 the identifier is part of the range, a group of a third of all rows is spread over many partitions;
 the runs that continue over a partition's edge are stitched from one head and one tail per
-partition, which is all the driver ever sees.
+partition, which is all the driver ever sees. Runs are told apart by partition and number within it,
+so two groups that share an identifier are never taken for one another.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut
+from loomgraph.runtime import cut, partitions_for
 
-SCANNED = "kind int, part int, found_in string, key string, first_id bigint, copy_id bigint, n bigint"
+SCANNED = "kind int, part int, run bigint, found_in string, key string, first_id bigint, copy_id bigint, n bigint"
 COPY, HEAD, TAIL, RUN = 0, 1, 2, 3
 
 
@@ -64,19 +65,20 @@ def line_keys(lines: DataFrame) -> DataFrame:
 def scan_runs(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.RecordBatch]:
     """One pass over sorted (found_in, key, id): copies (or else run sizes), and the partition's head and tail."""
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("found_in", pa.string()), ("key", pa.string()), ("first_id", pa.int64()), ("copy_id", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("run", pa.int64()), ("found_in", pa.string()), ("key", pa.string()), ("first_id", pa.int64()), ("copy_id", pa.int64()), ("n", pa.int64())])
 
-    def rows(kind, found, keys, firsts, others, sizes):
+    def rows(kind, numbers, found, keys, firsts, others, sizes):
         n = len(firsts)
         keys = pa.nulls(n, pa.string()) if keys is None else pa.array(keys, pa.string())
-        columns = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), found, keys, *(pa.array(x, pa.int64()) for x in (firsts, others, sizes))]
+        columns = [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(numbers, pa.int64()), found, keys, *(pa.array(x, pa.int64()) for x in (firsts, others, sizes))]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def one(kind, run):
         found, key, first, last, size = run
-        return rows(kind, pa.array([found], pa.string()), None if kind == RUN else [key], [first], [last], [size])
+        return rows(kind, [number], pa.array([found], pa.string()), None if kind == RUN else [key], [first], [last], [size])
 
     open_run = None  # (found_in, key, first id, last id, distinct members)
+    number = 0  # of the open run within the partition
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -97,7 +99,8 @@ def scan_runs(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.Reco
         if not runs and len(where := np.flatnonzero(fresh & ~new)):
             own = ids[starts[at[where]]] if len(starts) else np.zeros(len(where), np.int64)
             firsts = np.where(at[where] >= 0, own, open_run[2] if open_run else 0)
-            yield rows(COPY, found.take(pa.array(where)), None, firsts, ids[where], np.zeros(len(where), np.int64))
+            base = number + 1 if open_run else 0
+            yield rows(COPY, base + at[where], found.take(pa.array(where)), None, firsts, ids[where], np.zeros(len(where), np.int64))
         if open_run:
             open_run = (*open_run[:4], open_run[4] + int(sizes[0]))
         if not len(starts):
@@ -106,7 +109,9 @@ def scan_runs(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.Reco
         if runs:
             if open_run:
                 yield one(RUN, open_run)
-            yield rows(RUN, found.take(pa.array(starts[:-1])), None, ids[starts[:-1]], ids[starts[:-1]], sizes[1:-1])
+            base = number + 1 if open_run else 0
+            yield rows(RUN, base + np.arange(len(starts) - 1), found.take(pa.array(starts[:-1])), None, ids[starts[:-1]], ids[starts[:-1]], sizes[1:-1])
+        number += len(starts) if open_run else len(starts) - 1
         s = int(starts[-1])
         open_run = (found[s].as_py(), key[s].as_py(), int(ids[s]), int(ids[-1]), int(sizes[-1]))
     if open_run:
@@ -116,25 +121,29 @@ def scan_runs(batches: Iterator[pa.RecordBatch], runs: bool) -> Iterator[pa.Reco
 
 
 def _continued(edges: list) -> list[tuple]:
-    """(part, own first id, true first id, whether the head's first row repeats the tail's last id) for heads that continue a run."""
+    """(part, origin part, origin run, true first id, whether the head's first row repeats the tail's last id) for heads that continue a run."""
     heads, tails = ({r["part"]: r for r in edges if r["kind"] == kind} for kind in (HEAD, TAIL))
     out, origin, before = [], None, None
     for part in sorted(heads):
         head, tail = heads[part], tails[part]
         joins = before is not None and (before["found_in"], before["key"]) == (head["found_in"], head["key"])
-        single = (head["found_in"], head["key"]) == (tail["found_in"], tail["key"])
         if joins:
-            out.append((part, head["first_id"], origin, bool(before["copy_id"] == head["first_id"])))
-        if not (joins and single):
-            origin = tail["first_id"]
+            out.append((part, *origin, bool(before["copy_id"] == head["first_id"])))
+        if not (joins and tail["run"] == 0):
+            origin = (part, tail["run"], tail["first_id"])
         before = tail
     return out
 
 
+FIX = "part int, origin_part int, origin_run bigint, origin bigint, same boolean"
+
+
 def find_runs(keyed: DataFrame, runs: bool, partitions: int | None = None) -> tuple[DataFrame, list[tuple]]:
-    """The scanned rows (in the shared folder) and the heads to stitch: two rows a partition reach the driver."""
-    spark = keyed.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """The scanned rows (in the shared folder) and the heads to stitch: two rows a partition reach the driver.
+
+    The number of partitions follows the size of the input, so a partition sorts a bounded amount.
+    """
+    n = partitions or partitions_for(keyed)
     scanned = cut(keyed.select("found_in", "key", "id").repartitionByRange(n, "found_in", "key", "id").sortWithinPartitions("found_in", "key", "id").mapInArrow(lambda batches: scan_runs(batches, runs), SCANNED), "runs")
     return scanned, _continued(scanned.where(F.col("kind").isin(HEAD, TAIL)).collect())
 
@@ -142,25 +151,26 @@ def find_runs(keyed: DataFrame, runs: bool, partitions: int | None = None) -> tu
 def copies(keyed: DataFrame, partitions: int | None = None) -> DataFrame:
     """(found_in, first_id, copy_id): one row for each distinct identifier of a group beyond its smallest."""
     scanned, stitched = find_runs(keyed, False, partitions)
-    rows = scanned.where(F.col("kind") == COPY).select("found_in", "first_id", "copy_id", "part")
+    rows = scanned.where(F.col("kind") == COPY).select("found_in", "first_id", "copy_id", "part", "run")
     if not stitched:
-        return rows.drop("part")
-    fix = F.broadcast(keyed.sparkSession.createDataFrame(stitched, "part int, own bigint, origin bigint, same boolean"))
-    heads = scanned.where(F.col("kind") == HEAD).join(fix, "part").where("not same").select("found_in", F.col("origin").alias("first_id"), F.col("own").alias("copy_id"))
-    moved = rows.join(fix, (rows["part"] == fix["part"]) & (rows["first_id"] == fix["own"]), "left").select("found_in", F.coalesce("origin", "first_id").alias("first_id"), "copy_id")
+        return rows.drop("part", "run")
+    fix = F.broadcast(keyed.sparkSession.createDataFrame(stitched, FIX))  # one row a partition at most
+    heads = scanned.where(F.col("kind") == HEAD).join(fix, "part").where("not same").select("found_in", F.col("origin").alias("first_id"), "copy_id")
+    moved = rows.join(fix, (rows["part"] == fix["part"]) & (rows["run"] == 0), "left").select("found_in", F.coalesce("origin", "first_id").alias("first_id"), "copy_id")
     return moved.union(heads)
 
 
 def collapsed(keyed: DataFrame, partitions: int | None = None) -> DataFrame:
     """(found_in, first_id, n_copies): one representative per group with its exact number of distinct records.
 
-    An identifier names one record: where one identifier is the smallest of two groups (a record
-    delivered with two contexts) and a run is stitched, those groups are counted together.
+    An identifier delivered with two contexts belongs to two groups, each of which has its row.
     """
     scanned, stitched = find_runs(keyed, True, partitions)
-    runs = scanned.where(F.col("kind") == RUN).select("part", "found_in", "first_id", "n")
+    runs = scanned.where(F.col("kind") == RUN).select("part", "run", "found_in", "first_id", "n")
     if not stitched:
         return runs.select("found_in", "first_id", F.col("n").alias("n_copies"))
-    fix = F.broadcast(keyed.sparkSession.createDataFrame(stitched, "part int, own bigint, origin bigint, same boolean"))
-    moved = runs.join(fix, (runs["part"] == fix["part"]) & (runs["first_id"] == fix["own"]), "left").select("found_in", F.coalesce("origin", "first_id").alias("first_id"), (F.col("n") - F.coalesce(F.col("same").cast("int"), F.lit(0))).alias("n"))
-    return moved.groupBy("found_in", "first_id").agg(F.sum("n").alias("n_copies"))
+    fix = F.broadcast(keyed.sparkSession.createDataFrame(stitched, FIX))  # one row a partition at most
+    moved = runs.join(fix, (runs["part"] == fix["part"]) & (runs["run"] == 0), "left").select(
+        F.coalesce("origin_part", runs["part"]).alias("part"), F.coalesce("origin_run", "run").alias("run"), "found_in", F.coalesce("origin", "first_id").alias("first_id"), (F.col("n") - F.coalesce(F.col("same").cast("int"), F.lit(0))).alias("n"),
+    )
+    return moved.groupBy("part", "run", "found_in", "first_id").agg(F.sum("n").alias("n_copies")).drop("part", "run")
