@@ -1,53 +1,74 @@
 """Per-group score cutoffs that keep a target share (problem 6).
 
-Scores are first sketched per group into buckets whose bounds are guaranteed (octaves cut into 16
-parts), with exact counts. The cumulated counts name the one bucket that must hold the cutoff;
-everything above it is only counted, and only that bucket's records are ordered, after equal
-scores have been counted together. A group of any size therefore reaches a task as at most a
-thousand bucket rows plus the distinct scores of one bucket.
+One pass over the raw records sketches every group: a mergeable quantile sketch whose rank error is
+guaranteed (a rank is off by at most one in ``ACCURACY``), read at a fixed grid of ranks. The two grid
+values around the wanted rank, one cell wider on either side, bracket the cutoff. A second pass counts
+what lies above the bracket and counts equal scores inside it; only these are sorted, in a sort that is
+spread over partitions whatever the size of a group. Counts prove the bracket: a group whose cutoff
+were not inside would be sorted whole instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.runtime import cut, running_counts
 
-def bucket_expr(column: str) -> str:
-    """SQL of the bucket: values under 16 alone, else octave and the four bits after the leading one.
+#: Ranks are read at this many even steps; the sketch errs by less than a quarter of a step.
+GRID = 256
+ACCURACY = 4 * GRID
+
+
+def needed(keep: Column, total: Column) -> Column:
+    """The fewest records that are at least ``keep`` percent of ``total`` (one at least), without rounding errors."""
+    return F.greatest(F.ceil(keep.cast("decimal(12,6)") * total.cast("decimal(20,0)") * F.expr("cast(0.01 as decimal(3,2))")).cast("bigint"), F.lit(1).cast("bigint"))
+
+
+def brackets(usable: DataFrame, keep: DataFrame) -> DataFrame:
+    """(g, need, total, lo, hi) of (g, x) records: the cutoff lies within lo..hi; groups no score can satisfy have no row."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    y = F.col("x").cast("double")
+    sketch = usable.groupBy("g").agg(F.count(F.lit(1)).alias("total"), F.min(y).alias("least"), F.max(y).alias("most"), F.percentile_approx(y, grid, ACCURACY).alias("q"))
+    need = sketch.join(keep, "g").withColumn("need", needed(F.col("keep"), F.col("total"))).where("need <= total")
+    place = (F.col("total") - F.col("need") + 1) / F.col("total") * GRID  # ascending rank of the cutoff on the grid
+    below, above = F.floor(place).cast("int") - 1, F.ceil(place).cast("int") + 1
+    return need.select(
+        "g", "need", "total",
+        F.when(below <= 0, F.col("least")).otherwise(F.get("q", F.greatest(below, F.lit(0)))).alias("lo"),
+        F.when(above >= GRID, F.col("most")).otherwise(F.get("q", F.least(above, F.lit(GRID)))).alias("hi"),
+    )
 
-    ``bin`` writes the score in binary; its length less 5 is the shift that leaves five bits.
-    Negative scores (which mirror the positive ones) keep the order.
-    """
-    size = f"abs({column})"
-    shift = f"greatest(length(bin({size})) - 5, 0)"
-    bucket = f"(case when {size} < 16 then {size} else ({shift} + 1) * 16 + (shiftright({size}, cast({shift} as int)) - 16) end)"
-    return f"cast(case when {column} < 0 then -{bucket} else {bucket} end as bigint)"
+
+def bracketed(usable: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(g, need, total, x, n): equal scores inside the bracket with their counts, and all above it as one row without score."""
+    y = F.col("x").cast("double")
+    inside = usable.join(bounds, "g").where(y >= F.col("lo"))
+    return inside.groupBy("g", "need", "total", F.when(y <= F.col("hi"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _chosen(values: DataFrame) -> DataFrame:
+    """(g, cutoff, n_kept, n_all) from counted scores; groups whose cutoff does not lie among them have no row."""
+    ranked = running_counts(values, ["g"], [F.col("x").desc_nulls_first()], F.col("n"), name="cutoffs")
+    first = ranked.where("_upto >= need").groupBy("g").agg(F.min_by(F.struct("x", "total"), "_upto").alias("c"), F.min("_upto").alias("n_kept"))
+    return first.where("c.x is not null").select("g", F.col("c.x").alias("cutoff"), "n_kept", F.col("c.total").alias("n_all"))
 
 
 def cutoffs(scores: DataFrame, keep: DataFrame, group: str, score: str) -> DataFrame:
     """(group, cutoff, n_kept, n_all): the largest occurring score c with 100·(scores ≥ c) ≥ keep·(all).
 
-    ``scores``: (group, score) with integer scores, one row per record; rows with a null group or
-    score are ignored. ``keep``: (group, keep) with integer percentages, one row per group; a group
-    missing there is an error of the caller and gives no row. A ``keep`` of 0 or less keeps the
-    largest score and its ties; a ``keep`` over 100 is met by no score and gives no row.
+    ``scores``: (group, score), one row per record, of any numeric type; rows with a null group or a
+    null or not-a-number score are ignored. ``keep``: (group, keep) percentages (six decimals count),
+    one row per group; a group missing there gives no row. A ``keep`` of 0 or less keeps the largest
+    score and its ties; a ``keep`` over 100 is met by no score and gives no row.
     """
-    usable = scores.select(F.col(group).alias("g"), F.col(score).cast("long").alias("x")).where("g is not null and x is not null")
-    values = usable.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.expr(bucket_expr("x")))
-    sketch = values.groupBy("g", "b").agg(F.sum("n").alias("n"))
-    down = Window.partitionBy("g").orderBy(F.col("b").desc())
-    bracket = (
-        sketch.select("g", "b", F.sum("n").over(down).alias("upto"), (F.sum("n").over(down) - F.col("n")).alias("above"), F.sum("n").over(Window.partitionBy("g")).alias("total"))
-        .join(keep.select(F.col(group).alias("g"), "keep"), "g")
-        .where("100 * upto >= keep * total")
-        .groupBy("g").agg(F.max_by(F.struct("b", "above", "total", "keep"), "b").alias("k")).select("g", "k.*")
-    )
-    inside = values.join(bracket, ["g", "b"])
-    order = Window.partitionBy("g").orderBy(F.col("x").desc())
-    return (
-        inside.withColumn("kept", F.col("above") + F.sum("n").over(order))
-        .where("100 * kept >= keep * total")
-        .groupBy("g").agg(F.max("x").alias("cutoff"), F.min("kept").alias("n_kept"), F.first("total").alias("n_all"))
-        .withColumnRenamed("g", group)
-    )
+    x = F.col(score)
+    known = x.isNotNull() & ~F.isnan(x.cast("double"))
+    usable = scores.where(F.col(group).isNotNull() & known).select(F.col(group).alias("g"), x.alias("x"))
+    bounds = cut(brackets(usable, keep.select(F.col(group).alias("g"), "keep").where("g is not null and keep is not null")), "brackets")
+    found = cut(_chosen(cut(bracketed(usable, bounds), "bracketed")), "cutoffs")
+    lost = bounds.join(found.select("g"), "g", "left_anti")
+    if not lost.isEmpty():  # no sketch within its guarantee leaves one
+        whole = lost.select("g", "need", "total", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+        found = found.union(_chosen(cut(bracketed(usable, whole), "bracketed")))
+    return found.withColumnRenamed("g", group)
