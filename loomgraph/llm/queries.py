@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import canonical, contamination, cutoff, dedup, grouping, mixture, pii, sampling, splitting
 from loomgraph.operators.change_capture import last_success
-from loomgraph.runtime import scratch_path, table
+from loomgraph.runtime import shared_dir, table
+from loomgraph.sources.store import stable_hash
 
 SAMPLE_SHARE = 0.1
 
@@ -32,12 +35,17 @@ def p2_document_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """The sample after two ingests: what the last successful run had read, then everything."""
+    """The sample after two ingests: what the last successful run had read, then everything.
+
+    The store lies in the shared folder under the data's own name and outlives the call: a second
+    call finds both batches taken in and only looks the numbers up.
+    """
     mentions = table(spark, folder, "trait_evidence").select("mention_id", "cluster_id", "arrived_at")
     upto = last_success(table(spark, folder, "run_log"), "trait_evidence")
-    numbers = sampling.PermanentNumbers(spark, scratch_path(spark, "numbers"))
-    numbers.ingest(mentions.where(F.col("arrived_at") <= F.lit(upto)) if upto else mentions.limit(0), 0, ("cluster_id",))
-    numbers.ingest(mentions, 1, ("cluster_id",))
+    store = f"{shared_dir(spark)}/loomgraph/numbers/{stable_hash([os.path.abspath(folder), str(upto)])[:16]}"
+    numbers = sampling.PermanentNumbers(spark, store)
+    numbers.ingest(mentions.where(F.col("arrived_at") <= F.lit(upto)) if upto else mentions.limit(0), ("cluster_id",), 0)
+    numbers.ingest(mentions, ("cluster_id",), 1)
     return numbers.sample(SAMPLE_SHARE).select("mention_id", "cluster_id", "number")
 
 

@@ -41,9 +41,13 @@ reach AS (
 SELECT doc_id, v AS component_uid, min(r) AS group_uid FROM reach GROUP BY doc_id, v""",
     "p2_found": "SELECT DISTINCT doc_id, chunk_id FROM chunks WHERE global_end - global_start > 300 AND doc_id IS NOT NULL AND chunk_id IS NOT NULL",
     "p3_sample": """
+WITH r AS (SELECT max(read_up_to) AS upto FROM run_log WHERE stage = 'trait_evidence' AND lower(trim(run_status)) = 'success'),
+f AS (
+  SELECT mention_id, CASE WHEN bool_or(coalesce(arrived_at <= upto, false)) THEN 0 ELSE 1 END AS batch, min(cluster_id) FILTER (arrived_at <= upto) AS c0, min(cluster_id) AS c1
+  FROM trait_evidence, r WHERE mention_id IS NOT NULL GROUP BY mention_id)
 SELECT mention_id, cluster_id, number FROM (
-  SELECT mention_id, min(cluster_id) AS cluster_id, CAST(CAST('0x' || substr(md5('sample-1:' || CAST(mention_id AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS number
-  FROM trait_evidence WHERE mention_id IS NOT NULL GROUP BY mention_id) WHERE number < 0.1""",
+  SELECT mention_id, CASE WHEN batch = 0 THEN c0 ELSE c1 END AS cluster_id, CAST(CAST('0x' || substr(md5('sample-1:' || batch || ':' || mention_id), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS number FROM f)
+WHERE number < 0.1""",
     "p5_found": r"""
 WITH texts AS (
   SELECT DISTINCT doc_id, cluster_id, mention_id, regexp_replace(lower(context_text), '[^\p{L}\p{N}]+', '', 'g') AS k
