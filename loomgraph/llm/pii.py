@@ -50,7 +50,6 @@ WORD = rf"{L}+(?:['’-]{L}+)*"
 GAP = r"(?:[^\S\n]+|[^\S\n]*\r?\n[^\S\n]*)"
 TOKEN = re.compile(rf"{WORD}|\d+|[^\s\w]|_|(?P<par>\s*\n\s*\n\s*)", re.U)
 AT = re.compile(r"\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\s+at\s+", re.I)
-USER = re.compile(r"(?:[\w.+-]*\w)$")
 HOST = re.compile(r"\w[\w-]*(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+)\w[\w-]*)+", re.I)
 DOT = re.compile(r"\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+", re.I)
 DIGITS = re.compile(r"(?<![\w+])(?:\+\s?|\((?=\+?\d{1,5}\)))?\d+(?:(?:\)(?:[ –-]|[^\S\n]?\r?\n)?|[ .\/–‑-]|[^\S\n]?\r?\n|[ ]\(|(?<=\d)[ ]?\((?=0\)))\(?\d+)*(?!\w)")
@@ -149,10 +148,12 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, list[st
     if "@" in low or " dot" in low or "\ndot" in low or "(at)" in low or "[at]" in low:
         for sign in AT.finditer(text):
             host = HOST.match(text, sign.end())
-            user = host and USER.search(text[max(0, sign.start() - 64):sign.start()])
-            if not user:
+            start = sign.start()
+            if not host or not start or not (text[start - 1].isalnum() or text[start - 1] == "_"):
                 continue
-            start, end = sign.start() - len(user.group()), host.end()
+            while start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+                start -= 1
+            end = host.end()
             at = "@" if "@" in sign.group() else "at" if sign.group().strip().lower() == "at" else "(at)"
             parts = DOT.split(host.group())
             spelled = "dot" in host.group().lower() and host.group().count(".") < len(parts) - 1
