@@ -46,6 +46,39 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(BROKEN.sub("", text).lower())
 
 
+def word_places(text: str) -> list[tuple[str, int, int]]:
+    """The words of :func:`words_of` with the characters of the text as written that each comes from."""
+    import regex
+
+    kept = [True] * len(text)
+    for m in BROKEN.finditer(text):
+        kept[m.start():m.end()] = [False] * (m.end() - m.start())
+    places = [i for i in range(len(text)) if kept[i] and not INVISIBLE.match(text[i])]
+    plain = "".join(text[i] for i in places)
+    if plain.isascii():
+        spelled, first, last = plain.lower(), places, [p + 1 for p in places]
+    else:
+        shown: list[str] = []
+        first, last = [], []
+        fold = lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFKC", t).casefold())
+        for chunk in re.finditer(r"\s+|\S+", plain):
+            whole = fold(chunk.group())
+            clusters = [(fold(c.group()), chunk.start() + c.start(), chunk.start() + c.end()) for c in regex.finditer(r"\X", chunk.group())]
+            if "".join(c[0] for c in clusters) != whole:
+                clusters = [(whole, chunk.start(), chunk.end())]
+            for piece, a, b in clusters:
+                shown.append(piece)
+                first += [places[a]] * len(piece)
+                last += [places[b - 1] + 1] * len(piece)
+        spelled = "".join(shown)
+        again = [True] * len(spelled)
+        for m in BROKEN.finditer(spelled):
+            again[m.start():m.end()] = [False] * (m.end() - m.start())
+        first, last = ([x for x, keep in zip(xs, again) if keep] for xs in (first, last))
+        spelled = "".join(c for c, keep in zip(spelled, again) if keep)
+    return [(m.group(), first[m.start()], last[m.end() - 1]) for m in WORD.finditer(spelled)]
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes of an integer sequence in order, by prefix doubling that re-sorts only what is still tied."""
     n = len(s)
@@ -215,24 +248,28 @@ def search_shard(ids: np.ndarray, texts: list[str | None], phrases: ItemPhrases)
     return [tuple(x) for x in out]
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, size: int = PHRASE, shard_words: int = 2_000_000, max_items: int = 100_000) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, item_word) of every passage of an item in a document.
+def merged_passages(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int]]]:
+    """(first character, end, item ids) of passages (item, first word, words), merged where they overlap or only blanks and marks part them."""
+    places = word_places(text)
+    out: list[list] = []
+    for item, first, n in sorted(found, key=lambda f: (f[1], -f[2])):
+        a, b = places[first][1], places[first + n - 1][2]
+        if out and first <= out[-1][3]:
+            out[-1][1], out[-1][3] = max(out[-1][1], b), max(out[-1][3], first + n)
+            out[-1][2].add(item)
+        else:
+            out.append([a, b, {item}, first + n])
+    return [(a, b, sorted(items)) for a, b, items, _ in out]
 
-    Null and blank texts hold nothing; items shorter than ``size`` words have no phrase and are
-    never found; a document of any length lies whole in one shard, so no passage is cut. Shards end
-    with the document that fills them to ``shard_words``, which bounds a task's memory.
-    """
+
+def _search(documents: DataFrame, items: DataFrame, size: int, shard_words: int, max_items: int, schema: str, rows_of) -> DataFrame:
+    """``rows_of(ids, texts, found)`` of every shard, ``found`` being the rows of :func:`search_shard` with the place in the shard for the id."""
     rows = bounded_rows(items.where("item_id is not null and item_text is not null").select("item_id", "item_text"), max_items, "held-out items")
     listed = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["item_text"]) for r in rows])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = ItemPhrases(listed.value, size)
         ids, texts, held = [], [], 0
-
-        def found():
-            columns = list(zip(*search_shard(np.array(ids, np.int64), texts, phrases))) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "first_word", "n_words", "item_word"])
-
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is None or not text:
@@ -241,12 +278,54 @@ def leaked_spans(documents: DataFrame, items: DataFrame, size: int = PHRASE, sha
                 texts.append(text)
                 held += len(text)
                 if held >= shard_words * 6:
-                    yield found()
+                    yield rows_of(ids, texts, search_shard(np.arange(len(ids)), texts, phrases))
                     ids, texts, held = [], [], 0
         if ids:
-            yield found()
+            yield rows_of(ids, texts, search_shard(np.arange(len(ids)), texts, phrases))
+
+    return documents.select("doc_id", "text").mapInArrow(search, schema)
+
+
+def _word_rows(ids: list, texts: list, found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*((ids[k], *rest) for k, *rest in found))) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "first_word", "n_words", "item_word"])
+
+
+def _character_rows(ids: list, texts: list, found: list[tuple]) -> pa.RecordBatch:
+    by_text: dict[int, list] = {}
+    for k, item, first, n, _ in found:
+        by_text.setdefault(k, []).append((item, first, n))
+    columns = list(zip(*((ids[k], *passage) for k, hits in by_text.items() for passage in merged_passages(texts[k], hits)))) or [[]] * 4
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "char_start", "char_end", "item_ids"])
+
+
+def leaked_spans(documents: DataFrame, items: DataFrame, size: int = PHRASE, shard_words: int = 2_000_000, max_items: int = 100_000) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, item_word) of every passage of an item in a document.
+
+    Null and blank texts hold nothing; items shorter than ``size`` words have no phrase and are
+    never found; a document of any length lies whole in one shard, so no passage is cut. Shards end
+    with the document that fills them to ``shard_words``, which bounds a task's memory.
+    """
+    return _search(documents, items, size, shard_words, max_items, FOUND, _word_rows)
+
+
+def removal_spans(documents: DataFrame, items: DataFrame, size: int = PHRASE, shard_words: int = 2_000_000, max_items: int = 100_000) -> DataFrame:
+    """(doc_id, char_start, char_end, item_ids): the passages of all items in each document, merged, in characters of the text as written.
+
+    Passages that overlap or follow each other without a word in between are one span. Only texts
+    with a passage are read a second time for their characters.
+    """
+    return _search(documents, items, size, shard_words, max_items, "doc_id bigint, char_start bigint, char_end bigint, item_ids array<bigint>", _character_rows)
+
 
-    return documents.select("doc_id", "text").mapInArrow(search, FOUND)
+def without_passages(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its spans, nothing else changed."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        out.append(text[at:a])
+        at = b
+    return "".join([*out, text[at:]])
 
 
 def leaked_documents(documents: DataFrame, items: DataFrame, size: int = PHRASE) -> DataFrame:

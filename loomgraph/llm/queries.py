@@ -44,8 +44,8 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     upto = last_success(table(spark, folder, "run_log"), "trait_evidence")
     store = f"{shared_dir(spark)}/loomgraph/numbers/{stable_hash([os.path.abspath(folder), str(upto)])[:16]}"
     numbers = sampling.PermanentNumbers(spark, store)
-    numbers.ingest(mentions.where(F.col("arrived_at") <= F.lit(upto)) if upto else mentions.limit(0), ("cluster_id",), 0)
-    numbers.ingest(mentions, ("cluster_id",), 1)
+    numbers.ingest(mentions.where(F.col("arrived_at") <= F.lit(upto)) if upto else mentions.limit(0), 0, ("cluster_id",))
+    numbers.ingest(mentions, 1, ("cluster_id",))
     return numbers.sample(SAMPLE_SHARE).select("mention_id", "cluster_id", "number")
 
 
@@ -99,6 +99,11 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_removals(spark: SparkSession, folder: str) -> DataFrame:
+    """What to take out of each document, in characters: passages of all items, merged."""
+    return contamination.removal_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "char_start", "char_end", F.size("item_ids").alias("n_items"))
+
+
 def _mixture(spark: SparkSession, folder: str) -> mixture.Mixture:
     return mixture.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
@@ -121,5 +126,5 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_chunk_pieces, p2_document_pieces, p3_sample, p4_found, p4_matches, p5_found, p5_collapsed, p6_found, p6_cutoffs, p8_found, p8_spans, p9_mix, p9_shares, p10_found, p10_redacted)
+    for f in (p1_found, p2_found, p2_chunk_pieces, p2_document_pieces, p3_sample, p4_found, p4_matches, p5_found, p5_collapsed, p6_found, p6_cutoffs, p8_found, p8_spans, p8_removals, p9_mix, p9_shares, p10_found, p10_redacted)
 }

@@ -52,7 +52,7 @@ class PermanentNumbers:
         taken = self.batches()
         return self.spark.read.parquet(f"{self.path}/numbers").where(F.col("batch").isin(taken)) if taken else None
 
-    def ingest(self, records: DataFrame, carry: tuple[str, ...] = (), batch: int | None = None) -> int:
+    def ingest(self, records: DataFrame, batch: int | None = None, carry: tuple[str, ...] = ()) -> int:
         """Insert the identifiers of ``records`` not seen before; returns the number of the batch.
 
         The next batch is taken in unless ``batch`` names one. A batch counts once its marker is
