@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from loomgraph.runtime import bounded_rows
 
 NONE = "(none)"
+#: The lowest share of an entry's words that a mention without an exact match must name.
+LEAST = 0.5
 #: Short forms of titles, titles, and words that never name anybody.
 SHORT = {"st": "saint", "dr": "doctor", "mr": "mister", "capt": "captain", "cpt": "captain", "prof": "professor", "sgt": "sergeant", "mrs": "mistress", "ld": "lord", "yg": "young"}
 TITLES = frozenset("aunt brother captain count countess cousin dame doctor duchess duke father grandfather grandmother judge king lady lord madam major master miss mister mistress mother old prince princess professor queen saint sergeant sir sister uncle widow young".split())
@@ -62,9 +64,10 @@ def folded(word: str) -> str:
 class Matcher:
     """The automaton and the word index of one canonical list of (key, display name)."""
 
-    def __init__(self, entries: list[tuple[str, str]]):
+    def __init__(self, entries: list[tuple[str, str]], least: float = LEAST):
         import ahocorasick
 
+        self.least = least
         self.forms: dict[str, list[str]] = {}
         for key, display in entries:
             written = [w for w in words(display or key) if w not in ("the", "a", "an")]
@@ -159,6 +162,8 @@ class Matcher:
             exact = sum(w in tokens for w in form) / len(set(form))
             ranked.append((share, exact, key))
         ranked.sort(key=lambda r: (-r[0], -r[1], r[2]))
+        if ranked[0][0] < self.least:
+            return NONE, ranked[0][0]
         if len(ranked) > 1 and ranked[0][:2] == ranked[1][:2]:
             return NONE, ranked[0][0]
         best = ranked[0]
@@ -180,11 +185,12 @@ class Matcher:
         return key, "token_set" if key != NONE else "none", score
 
 
-def map_mentions(mentions: DataFrame, entries: DataFrame, max_entries: int = 200_000) -> DataFrame:
+def map_mentions(mentions: DataFrame, entries: DataFrame, max_entries: int = 200_000, least: float = LEAST) -> DataFrame:
     """(row_index, mention_text, anchor_key, method, score), one row for each mention.
 
     The canonical list is a reference table: more than ``max_entries`` rows are refused. Entries
-    without key are ignored. Each distinct text is matched once. Null and blank texts name nothing;
+    without key are ignored. A mention without an exact match must name ``least`` of an entry's words,
+    its distinctive part among them. Each distinct text is matched once. Null and blank texts name nothing;
     of rows repeating an index the greatest text counts; rows without index are ignored.
     """
     rows = bounded_rows(entries.where("anchor_key is not null").select("anchor_key", "display_name"), max_entries, "the canonical list")
@@ -193,7 +199,7 @@ def map_mentions(mentions: DataFrame, entries: DataFrame, max_entries: int = 200
 
     @F.pandas_udf("anchor_key string, method string, score double")
     def matched(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(shared.value)
+        matcher = Matcher(shared.value, least)
         for texts in parts:
             yield pd.DataFrame([matcher.match(t) for t in texts], columns=["anchor_key", "method", "score"])
 
