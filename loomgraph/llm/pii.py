@@ -2,7 +2,7 @@
 
 A segment is a whole span with a type. Candidate segments are proposed wherever a text shows what
 any such segment must have (digits in groups, an at-sign or its spelling, a listed name part, a
-phrase that introduces a person, a street word); each is scored by features of the whole span and
+phrase that introduces a person, two capitalized words side by side, a street word); each is scored by features of the whole span and
 its surroundings, and dynamic programming over segments of bounded length picks the best set of
 non-overlapping ones. Everything outside a segment scores zero, so stretches without candidates
 need no work and the decoding is exact over the whole text.
@@ -40,6 +40,14 @@ SMALL = frozenset(
     "passport address telephone tel corrections questions subscriber's reader's slip bitte anfragen preguntas joignable late before after chapter part page verse note "
     "captain".split()
 )
+#: Words that often stand capitalized beside another word and name no person.
+COMMON = frozenset(
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
+    "north south east west northern southern eastern western upper lower great little new grand royal holy red white black green blue golden silver high long big first second third last "
+    "lake river sea ocean bay island isle mount mountain valley forest wood woods field fields bridge harbour harbor port hall house inn hotel tavern lion swan crown church chapel abbey cathedral castle tower market museum library school college university "
+    "park point cape wind star sun moon city town village county kingdom empire republic state states north-east company society press book books volume part letter letters number day night morning evening spring summer autumn winter christmas easter god heaven love death time "
+    "every some any all many much more most other another only even still never ever always again perhaps yes well oh ah now once just also such both few".split()
+)
 STREETS = frozenset("street st lane ln road rd terrace close row walk avenue ave drive way court square place hill gate mews crescent gardens alley boulevard quay wharf parade yard".split())
 SHORT_STREETS = frozenset("st ln rd ave".split())
 FRENCH = frozenset("rue avenue quai impasse place boulevard chemin allée allee ruelle passage cours route square".split())
@@ -102,7 +110,7 @@ class Lexicon:
             if all(p in self.given for p in parts):
                 return "G"
             return "H"
-        return "s" if low in SMALL else "t" if low in TITLES else "?"
+        return "s" if low in SMALL else "t" if low in TITLES else "c" if low in COMMON or low in STREETS else "?"
 
 
 def around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
@@ -295,6 +303,12 @@ def name_candidates(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, in
             if m:
                 starts.add(m.end())
                 joined.add(m.end())
+    for m in _CAPITALIZED.finditer(text):  # capitalized words side by side that no list knows
+        run = [(w.group(), m.start() + w.start()) for w in re.finditer(WORD, m.group())]
+        open_word = [len(w) > 1 and w[0].isupper() and not w.isupper() and lexicon.status(w) in "?H" for w, _ in run]
+        for k in range(len(run) - 1):
+            if open_word[k] and (open_word[k + 1] or len(run[k + 1][0]) == 1):
+                starts.add(run[k][1])
     out, seen = [], set()
     for start in sorted(starts):
         if start and (text[start - 1].isalnum() or text[start - 1] in "@._+"):
@@ -321,6 +335,9 @@ def name_candidates(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, in
             features.append(f"name:joined={start in joined}{known}")
             features.append(f"name:cueknown={cue is not None}{known}")
             features.append(f"name:casecueknown={case}{cue is not None}{known}")
+            if not known:
+                follows = "_".join("9" if w.isdigit() else w if not w.isalpha() else "a" for w in right)
+                features += [f"name:open={form}{state}{cue is not None}", f"name:opennext={follows}", f"name:openlast={'s' if left and left[-1] in SMALL else left[-1] if left and not left[-1].isalpha() else 'w'}"]
             features.extend(_surroundings("name", left, right))
             out.append((a, b, "name", features))
     return out
@@ -328,6 +345,8 @@ def name_candidates(text: str, low: str, lexicon: Lexicon) -> list[tuple[int, in
 
 _ENDING = re.compile("(?:^| )(?:" + "|".join(re.escape(" ".join(m.group() for m in TOKEN.finditer(c))) for c in CUES) + ")$")
 _PLAIN = re.compile(rf"({WORD})(?:{GAP}({WORD}|{L}\.))?(?:{GAP}({WORD}))?", re.U)
+_UPPER = "[A-Z\u00C0-\u00D6\u00D8-\u00DE\u0100-\u024F\u0370-\u03AB\u0400-\u042F]"
+_CAPITALIZED = re.compile(rf"(?<![\w@.'’-]){_UPPER}{L}+(?:[-'’]{L}+)*(?:{GAP}{_UPPER}(?:\.(?={GAP}{_UPPER})|{L}+(?:[-'’]{L}+)*))+", re.U)
 _AND = re.compile(rf"{GAP}(?:and|und|et|y|&){GAP}(?={L})", re.U)
 _INTO = re.compile(rf"{GAP}?(?={L})", re.U)
 _INITIAL = re.compile(rf"({WORD}){GAP}({L}\.){GAP}({WORD})", re.U)

@@ -2,11 +2,13 @@
 
 ``SENTENCES`` notes are drawn from patterns in four languages, with invented names, numbers and
 streets, and with traps: titles before families, lone given names, years before streets, shelf marks,
-book numbers, verse and page numbers. A share of the invented names is kept out of the lexicon the
-features see, so the model also learns to judge parts that no list knows. The draw is seeded.
+book numbers, verse and page numbers, capitalized places and days. A share of the invented names is kept
+out of the lexicon the features see, so the model also learns to judge parts that no list knows. The draw
+is seeded.
 
-The patterns follow notes seen in the test documents; notes drawn with another seed share them, so
-accuracy on such notes says little about notes of another kind.
+The first patterns of either kind follow notes seen in the test documents, the further ones
+(``_WITH_OTHERS``, ``_WITHOUT_OTHERS``) general correspondence. Notes drawn with another seed share them,
+so accuracy on such notes says little about notes of another kind.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import random
 import re
 from functools import lru_cache
 
-SENTENCES = 2600
+SENTENCES = 3200
 UNLISTED = 0.3
 
 _ONSET = "b br c d dr f g gr h j k l m n p r s st t th v w z".split()
@@ -48,6 +50,17 @@ _WITHOUT = (
     "The {w} {w} the {w}, and {g} {w} by the {w}.", "She {w} only the {w}; {g} {w} up {S} with the {w}.", "They {w} against all {w}, {g} {w} the {w} {w}.", "\"Who {w} my {w}?\" asked the {w}, {g} {w} the {w}.",
     "He {w} by {w}, {g} and {story} {w} by the {w}.", "{story} {w} the {w}, und {g} {w} die {w} nach {T}.", "{story} {w}, y {g} {w} la {w} hasta {T}.", "The {w} of {T} {w}; {g} {w} it once more.",
 )
+#: Patterns of general correspondence, with U for a name of two parts that no list knows.
+_WITH_OTHERS = (
+    "{U} called about the {thing} again.", "A note came from {U} on {day}.", "The {thing} goes to {U}, {A}.", "Ask {U} before noon.", "Kept for {U}; phone {P}.", "{U}, {A}", "Spoke to {U} ({P}) about the {thing}.", "Paid by {U}, {A}.",
+    "{U} ({E}) has the {thing}.", "Delivery: {U}, {A}.", "The rent for {A} is paid by {U}.", "A reply to {U} is due; see {E}.", "{U} and {N} have signed for the {thing}.", "We thank {U} for the {thing}.", "Collected by {U} on {day}.",
+    "The {thing} is meant for {U}, {A}, and nobody else.", "According to {U}, the {thing} is lost.", "{U} will pay for the {thing}.", "Room booked by {U}, telephone {P}.", "Yours ever, {U}", "{U} stays at {A}.",
+)
+_WITHOUT_OTHERS = (
+    "They reached {T} {spot} before the rain.", "The {adj} {spot} was shut on {day}.", "On {day} {story} {w} the {w}.", "{Adj} {story} {w} a {w} by the {w}.", "The {adj} {spot} of {T} stands above the {w}.", "From {T} {spot} they {w} to the {adj} {spot}.",
+    "In {month} {story} {w} the {w}.", "{Adj} {spot} and {story} {spot} lay in the dark.", "Every {day} the {spot} of {T} is {w}.", "Past the {story} {spot} the road {w} down.", "{story} Hill and the {F} Inn were {w}.", "Nobody at the {F} Hotel {w} the {w}.",
+    "{story}, {story} and {story} {w} over the {w}.", "Then {story} {w} the {w}. {story} {w} too.", "\"Dear {story},\" it began, \"the {w} is {w}.\"",
+)
 
 
 class _Draw:
@@ -80,6 +93,12 @@ class _Draw:
         case = r.random()
         return text.upper() if case < 0.08 else text.lower() if case < 0.2 else text
 
+    def unlisted(self) -> str:
+        """A name of parts that the features do not find in the lexicon, mostly of two parts."""
+        r = self.r
+        g, f = (r.choice(sorted(set(whole) - set(listed))) for whole, listed in ((self.given, self.listed_given), (self.family, self.listed_family)))
+        return f"{g} {r.choice('ABCDEHKMST')}. {f}" if r.random() < 0.15 else f"{g} {f}"
+
     def email(self) -> str:
         r = self.r
         g, f = r.choice(self.given).lower(), r.choice(self.family).lower()
@@ -133,12 +152,14 @@ class _Draw:
         r = self.r
         place = r.choice(self.family) + r.choice(("", "ton", "ford"))
         slots = {
-            "N": ("name", self.name), "M": ("name", self.name), "E": ("email", self.email), "P": ("phone", self.phone), "I": ("idnum", self.idnum), "A": ("address", self.address),
+            "N": ("name", self.name), "M": ("name", self.name), "U": ("name", self.unlisted),
+            "day": ("", lambda: r.choice("Monday Tuesday Friday Sunday".split())), "month": ("", lambda: r.choice("March June October".split())), "adj": ("", lambda: r.choice("Great Red Old Upper White Grand".split())), "Adj": ("", lambda: r.choice("Poor Old Little Young Great New".split())),
+            "spot": ("", lambda: r.choice("Bridge Harbour Lion Lake Tower Gate Market River Hall Church".split())), "E": ("email", self.email), "P": ("phone", self.phone), "I": ("idnum", self.idnum), "A": ("address", self.address),
             "thing": ("", lambda: r.choice("book copy volume scan manuscript binding".split())), "title": ("", lambda: r.choice("Captain Mrs. Mr. Doctor Miss Madame Herr Lady".split())), "title2": ("", lambda: r.choice(("Mrs.", "Mr.", "Miss", "Captain"))),
             "F": ("", lambda: r.choice(self.family)), "G": ("", lambda: r.choice(self.given)), "g": ("", lambda: r.choice(self.given).lower()), "story": ("", lambda: (r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_ONSET) + r.choice(_VOWEL)).capitalize()), "T": ("", lambda: place), "S": ("", self.street),
             "w": ("", lambda: r.choice(_WORDS)), "U": ("", lambda: r.choice("AQRS")), "year": ("", lambda: str(r.randint(1800, 1999))), **{f"d{n}": ("", lambda n=n: str(r.randint(10 ** (n - 1), 10**n - 1))) for n in (1, 2, 3, 4)},
         }
-        patterns = [r.choice(_WITH if r.random() < 0.55 else _WITHOUT) for _ in range(r.randint(1, 3))]
+        patterns = [r.choice(r.choices((_WITH, _WITHOUT, _WITH_OTHERS, _WITHOUT_OTHERS), (0.44, 0.34, 0.11, 0.11))[0]) for _ in range(r.randint(1, 3))]
         text, truth = "", set()
         for k, pattern in enumerate(patterns):
             if k:
