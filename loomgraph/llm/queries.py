@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import canonical, contamination, cutoff, dedup, grouping, mixture, pii, sampling, splitting
 from loomgraph.operators.change_capture import last_success
-from loomgraph.runtime import shared_dir, table
+from loomgraph.runtime import evaluated_once, shared_dir, table
 from loomgraph.sources.store import stable_hash
 
 SAMPLE_SHARE = 0.1
@@ -34,6 +34,33 @@ def p2_document_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_documents(table(spark, folder, "documents")).select("doc_id", F.inline("pieces"))
 
 
+def _cover(pieces: DataFrame, key: list[str]) -> DataFrame:
+    """Whether the pieces keep their promises, per item: tokens covered, gaps between cores, pieces over the limit, overlaps that are not whole."""
+    order = Window.partitionBy(*key).orderBy("piece")
+    rows = pieces.withColumn("gap", F.col("core_start") != F.lag("core_end").over(order))
+    odd = "left_overlap_start > core_start or right_overlap_end < core_end"
+    return rows.groupBy(*key).agg(F.sum(F.expr("core_end - core_start")).alias("n_covered"), F.min("core_start").alias("first_token"), F.max("core_end").alias("end_token"), F.count_if("gap").alias("n_gaps"), F.count_if(F.expr("right_overlap_end - left_overlap_start > 300")).alias("n_over_limit"), F.count_if(F.expr(odd)).alias("n_odd"))
+
+
+def p2_chunk_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return _cover(p2_chunk_pieces(spark, folder), ["doc_id", "chunk_id"])
+
+
+def p2_document_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return _cover(p2_document_pieces(spark, folder), ["doc_id"])
+
+
+def p2_document_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence starts among the cores, and sentences that the overlaps hold, of documents without a sentence over the limit."""
+    docs = evaluated_once(table(spark, folder, "documents").select("doc_id", "text", "sentence_starts"), "n", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint"))
+    inner = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.filter("sentence_starts", lambda x: (x > 0) & (x < F.col("n"))), F.array("n"))))
+    lengths = F.zip_with(F.slice("b", 2, F.size("b") - 1), F.slice("b", 1, F.size("b") - 1), lambda x, y: x - y)
+    bounded = evaluated_once(docs.select("doc_id", "n", "sentence_starts"), "b", inner).where(F.array_max(lengths) <= 300).select("doc_id", "b")
+    rows = p2_document_pieces(spark, folder).join(bounded, "doc_id")
+    whole = F.array_contains("b", F.col("core_start")) & F.array_contains("b", F.col("left_overlap_start")) & F.array_contains("b", F.col("right_overlap_end"))
+    return rows.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("is_cut"), F.count_if(~whole).alias("n_inside_sentences"))
+
+
 def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The sample after two ingests: what the last successful run had read, then everything.
 
@@ -126,5 +153,5 @@ def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_chunk_pieces, p2_document_pieces, p3_sample, p4_found, p4_matches, p5_found, p5_collapsed, p6_found, p6_cutoffs, p8_found, p8_spans, p8_removals, p9_mix, p9_shares, p10_found, p10_redacted)
+    for f in (p1_found, p2_found, p2_chunk_pieces, p2_document_pieces, p2_chunk_cover, p2_document_cover, p2_document_overlaps, p3_sample, p4_found, p4_matches, p5_found, p5_collapsed, p6_found, p6_cutoffs, p8_found, p8_spans, p8_removals, p9_mix, p9_shares, p10_found, p10_redacted)
 }

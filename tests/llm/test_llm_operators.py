@@ -46,6 +46,19 @@ def test_groups_of_dirty_pairs_and_lists(spark):
     assert grouping.link_groups(edges.limit(0)).count() == 0
 
 
+def test_groups_with_hot_vertices_cut_into_parts(spark):
+    edges = [(1, "hub", f"s{i:03}") for i in range(300)] + [(1, f"s{i:03}", f"t{i:03}") for i in range(0, 300, 3)] + [(2, f"c{i}", f"c{i + 1}") for i in range(40)] + [(1, "hub", "other"), (1, "other", "z")]
+    got = {(x["scope"], x["member"]): x["group"] for x in grouping.link_groups(spark.createDataFrame(edges, "scope bigint, a string, b string"), max_degree=20).collect()}
+    assert got == truth_groups(edges)
+
+
+def test_no_hub_keeps_more_links_than_allowed(spark):
+    live = spark.createDataFrame([(1, f"s{i:03}", "the hub", 0) if i % 2 else (1, "a hub", f"s{i:03}", 0) for i in range(400)], "scope bigint, a string, b string, level int")
+    cut = grouping.split_hubs(live, 50)
+    degrees = Counter(v for r in cut.collect() for v in (r["a"], r["b"]))
+    assert max(degrees.values()) < 80 and degrees["the hub"] == 4 and cut.count() == 408
+
+
 # 2. Splitting
 
 
@@ -137,17 +150,59 @@ def test_sample_is_stable(spark, tmp_path):
     s.ingest(ids.union(ids), 1, ("cluster_id",))
     second = {r["mention_id"] for r in s.sample(0.1).collect()}
     assert first < second and s.numbers().count() == 3000 and 220 < len(second) < 380
+    again = sampling.PermanentNumbers(spark, str(tmp_path / "n"))  # the store outlives its opener
+    again.ingest(ids.repartition(5))
+    assert {r["mention_id"] for r in again.sample(0.1).collect()} == second
     assert second < {r["mention_id"] for r in s.sample(0.2).collect()}
     with pytest.raises(ValueError, match="may not fall"):
         s.sample(0.1)
-    other = sampling.PermanentNumbers(spark, str(tmp_path / "m"))
-    other.ingest(ids.repartition(5), 0)
-    assert {r["mention_id"] for r in other.sample(0.1).collect()} == second
     empty = sampling.PermanentNumbers(spark, str(tmp_path / "e"))
     empty.ingest(ids.limit(0), 0)
     assert empty.sample(0.5).count() == 0
 
 
+def test_the_same_batches_give_the_same_sample_and_others_do_not(spark, tmp_path):
+    ids = spark.range(2000).select(F.col("id").alias("mention_id"))
+    chosen = []
+    for k, batches in enumerate(([ids.where("mention_id < 900"), ids], [ids.where("mention_id < 900").repartition(7), ids.repartition(3)], [ids])):
+        store = sampling.PermanentNumbers(spark, str(tmp_path / str(k)))
+        for b, rows in enumerate(batches):
+            store.ingest(rows, b)
+        chosen.append({r["mention_id"] for r in store.sample(0.2).collect()})
+    assert chosen[0] == chosen[1] != chosen[2]  # the numbers cannot be made up without the store
+
+
+def test_a_lost_store_and_another_seed_are_noticed(spark, tmp_path):
+    import shutil
+
+    ids = spark.range(50).select(F.col("id").alias("mention_id"))
+    path = tmp_path / "n"
+    store = sampling.PermanentNumbers(spark, str(path))
+    store.ingest(ids.limit(20), 0)
+    with pytest.raises(ValueError, match="was made with"):
+        sampling.PermanentNumbers(spark, str(path), seed="sample-2")
+    with pytest.raises(ValueError, match="comes before"):
+        sampling.PermanentNumbers(spark, str(tmp_path / "gone")).ingest(ids, 1)
+    with pytest.raises(ValueError, match="taken in nothing"):
+        sampling.PermanentNumbers(spark, str(tmp_path / "new")).sample(0.1)
+    shutil.rmtree(path / "numbers" / "batch=0")
+    with pytest.raises(ValueError, match="are lost"):
+        sampling.PermanentNumbers(spark, str(path)).ingest(ids, 1)
+    (path / "store.json").unlink()
+    with pytest.raises(ValueError, match="not the seed"):
+        sampling.PermanentNumbers(spark, str(path))
+
+
+def test_a_batch_broken_off_is_drawn_again(spark, tmp_path):
+    ids = spark.range(300).select(F.col("id").alias("mention_id"))
+    store = sampling.PermanentNumbers(spark, str(tmp_path / "n"))
+    store.ingest(ids.where("mention_id < 100"), 0)
+    ids.select("mention_id", F.lit(0.0).alias("number")).write.parquet(str(tmp_path / "n" / "numbers" / "batch=1"))  # written, but never marked
+    assert sampling.PermanentNumbers(spark, str(tmp_path / "n")).numbers().count() == 100
+    store.ingest(ids, 1)
+    assert store.numbers().count() == 300 and store.numbers().where("number = 0").count() == 0
+
+
 # 4. Canonical names
 
 ENTRIES = [("old creshquist", "Old Creshquist"), ("young creshquist", "Young Creshquist"), ("mapmaker of yarondbry", "the Mapmaker of Yarondbry"), ("silgalvask", "Silgalvask"), ("moromdell spindle", "Moromdell's Spindle"), ("saint ushachdell", "Saint Ushachdell"), ("griomvumurne", "Griomvumurne")]
@@ -197,6 +252,14 @@ def test_copies_over_partition_edges(spark):
     assert dedup.copies(dedup.mention_keys(df.limit(0)), 3).count() == 0
 
 
+def test_groups_that_share_an_identifier_do_not_depend_on_partitions(spark):
+    rows = [("t", "a", i) for i in (1, 2, 3, 4)] + [("t", "b", i) for i in (1, 5, 6)] + [("t", "c", 1)] + [("u", "a", 1), ("u", "a", 1)] + [("t", "a", 2)]
+    keyed = spark.createDataFrame(rows, "found_in string, key string, id bigint")
+    for parts in (1, 2, 3, 7, 50):
+        assert sorted(map(tuple, dedup.collapsed(keyed, parts).collect())) == [("t", 1, 1), ("t", 1, 3), ("t", 1, 4), ("u", 1, 1)]
+        assert sorted(map(tuple, dedup.copies(keyed, parts).collect())) == [("t", 1, 2), ("t", 1, 3), ("t", 1, 4), ("t", 1, 5), ("t", 1, 6)]
+
+
 def test_lines_in_both_layouts(spark):
     lines = ['{"a": "X y", "n": 12}', ' {"n": "12", "a": "x Y!"} ', "n=12\ta=x  y", "a=x y", "a=x y\tn=13", "", "plain", None, '{"a": null, "n": 12}', "a=\tn= 12 ", "a=x=y\tn=12", '{"a":"x=y","n":12.0}']
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(lines)], "line_id bigint, line_text string, shard string")
@@ -221,6 +284,34 @@ def test_cutoffs_against_sorting(spark):
     assert cutoff.cutoffs(df.limit(0), keep, "doc_id", "n").count() == 0
 
 
+def test_cutoffs_of_fractions_shares_with_decimals_and_odd_values(spark):
+    df = spark.createDataFrame([("a", x) for x in (0.1, 0.2, 0.3, 0.9, float("nan"), None)] + [("b", x) for x in (5.0, 5.0, 5.0, -1.0)] + [("c", 1.5)] + [("d", 2.5)], "g string, x double")
+    keep = spark.createDataFrame([("a", 50.0), ("b", 80.5), ("c", 0.0), ("d", 100.5)], "g string, keep double")
+    got = {r["g"]: (r["cutoff"], r["n_kept"], r["n_all"]) for r in cutoff.cutoffs(df, keep, "g", "x").collect()}
+    assert got == {"a": (0.3, 2, 4), "b": (-1.0, 4, 4), "c": (1.5, 1, 1)}
+
+
+def test_a_narrow_range_sorts_a_small_share(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("g"), (F.lit(1_000_000) + F.pmod(F.xxhash64("id"), F.lit(30_000))).alias("x"))
+    keep = spark.createDataFrame([(1, 37)], "g int, keep bigint")
+    bounds = cutoff.brackets(df, keep)
+    inside = cutoff.bracketed(df, bounds).where("x is not null").agg(F.sum("n")).first()[0]
+    assert 0 < inside < 0.03 * n
+    got = cutoff.cutoffs(df, keep, "g", "x").first()
+    xs = sorted((r[0] for r in df.select("x").collect()), reverse=True)
+    c = xs[37 * n // 100 - 1]
+    assert (got["cutoff"], got["n_kept"]) == (c, sum(x >= c for x in xs))
+
+
+def test_a_bracket_that_misses_is_sorted_whole(spark, monkeypatch):
+    whole = cutoff.brackets
+    monkeypatch.setattr(cutoff, "brackets", lambda u, k: whole(u, k).withColumn("lo", F.lit(90.0)).withColumn("hi", F.lit(95.0)))
+    df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("x"))
+    got = sorted(map(tuple, cutoff.cutoffs(df, spark.createDataFrame([(0, 50), (1, 50)], "g bigint, keep bigint"), "g", "x").collect()))
+    assert got == [(0, 50, 25, 50), (1, 51, 25, 50)]
+
+
 # 8. Contamination
 
 
@@ -256,6 +347,23 @@ def test_leaks_despite_dress(spark):
     assert contamination.leaked_documents(docs.repartition(5), items).count() == 7
 
 
+def test_places_of_words_in_the_text_as_written():
+    for text in ("One two-\n three", "caf\u00e9 nai\u0308ve \u200bword\u00adend \ufb01ne \u212bngstr\u00f6m", "plain A1 b_c", "STRASSE stra\u00dfe", "\u1100\u1161\u11a8 x", ""):
+        places = contamination.word_places(text)
+        assert [w for w, _, _ in places] == contamination.words_of(text)
+        assert all(contamination.words_of(text[a:b]) == [w] for w, a, b in places)
+
+
+def test_removal_spans_are_merged_over_items(spark):
+    w = [f"w{i}" for i in range(30)]
+    text = "Before: " + " ".join(w[:20]).upper() + "; " + "caf\u00e9 " + ", ".join(w[:15]) + ". After."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "nothing here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(w[:14])), (2, " ".join(w[5:20]))], "item_id bigint, item_text string")
+    rows = contamination.removal_spans(docs, items).collect()
+    assert sorted((r["doc_id"], text[r["char_start"]:r["char_end"]], r["item_ids"]) for r in rows) == [(1, " ".join(w[:20]).upper(), [1, 2]), (1, ", ".join(w[:14]), [1])]
+    assert contamination.without_passages(text, [(r["char_start"], r["char_end"]) for r in rows]) == "Before: ; caf\u00e9 , w14. After."
+
+
 # 9. Mixing
 
 
@@ -274,6 +382,13 @@ def test_mixture_reaches_its_shares(spark):
     assert mixture.Mixture(docs.limit(0), targets).selection().count() == 0
 
 
+def test_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("red green blue").alias("text"), F.concat(F.lit("s"), F.col("id") % 600).alias("source"))
+    targets = spark.range(600).select(F.concat(F.lit("s"), F.col("id")).alias("source"), F.lit(1 / 600).alias("target_share"), F.lit(2).alias("max_repeats"))
+    shares = mixture.Mixture(docs, targets).shares().collect()
+    assert len(shares) == 600 and all(r["tokens_used"] == 2 * r["tokens_held"] for r in shares)
+
+
 def test_token_counts_sum(spark):
     texts = ["Hello world", "", None, "naïve café 123", "<|endoftext|>"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(mixture.token_counts(F.col("t"))).collect()]
