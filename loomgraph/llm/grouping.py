@@ -8,16 +8,26 @@ level to level: at the rate b a link is cut with a chance below b, so each level
 of links than the one before and may grow further on a graph that has shrunk by more, and a handful of
 levels suffice even on long chains. The per-level maps are composed from the last level back to the first.
 
-Growth is computed as earliest arrivals: arrivals travel several links within one job, and only those
-that moved at a job's last link travel on in the next one. Between two links of a job nothing but the
-earliest offer for each vertex is shuffled (a partial minimum before the shuffle). A vertex with more
+Links never leave their scope, so a scope is decomposed where it lies: links are shuffled once, by scope,
+and each task decomposes the scopes it gets (:func:`decompose`, on arrays). A scope with more than
+``piece_links`` links is cut into pieces of at most about that many by a hash of the link, so no task gets
+more however hot the scope is; each piece contracts to one link per vertex, and these go on to levels that
+are spread over the cluster (:func:`link_groups_distributed`).
+
+There, growth is computed as earliest arrivals: arrivals travel several links within one job, and only
+those that moved at a job's last link travel on in the next one. Between two links of a job nothing but
+the earliest offer for each vertex is shuffled (a partial minimum before the shuffle). A vertex with more
 than ``max_degree`` links is cut into parts that are tied to it by links of their own and keep at most
-that many, so no task gets the links of a hot vertex in one piece. Head starts come from a hash of
-vertex and level: a task that is run again draws the same values.
+that many. Head starts come from a hash of vertex and level: a task that is run again draws the same values.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -117,12 +127,115 @@ def grow(live: DataFrame, beta: float) -> tuple[DataFrame, str]:
         moving, reach = state.where(F.col("got.hops") == reach), REACH
 
 
-def link_groups(edges: DataFrame, beta: float = 0.5, max_degree: int = 100_000, max_levels: int = 200) -> DataFrame:
+def decompose(a: np.ndarray, b: np.ndarray, n: int, beta: float = 0.5, seed: int = 0) -> np.ndarray:
+    """The group of each of the vertices 0..n-1 under the links a-b, as the number of some vertex in it."""
+    composed = np.arange(n)
+    rate, level = beta, 0
+    while True:
+        apart = a != b
+        low, high = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+        if not len(low):
+            return composed
+        code = np.unique(low * np.int64(n) + high)
+        a, b = code // n, code % n
+        live, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = ends[:len(a)], ends[len(a):]
+        source, target = np.concatenate([x, y]), np.concatenate([y, x])
+        order = np.argsort(target, kind="stable")
+        source = source[order]
+        starts = np.flatnonzero(np.diff(target[order], prepend=-1))  # every live vertex has a link
+        at = -np.random.default_rng([seed, level]).exponential(1 / rate, len(live))
+        center = np.arange(len(live))
+        while True:
+            offer = at[source] + 1
+            best = np.minimum.reduceat(offer, starts)
+            moved = best < at
+            if not moved.any():
+                break
+            first = offer == np.repeat(best, np.diff(starts, append=len(offer)))
+            reached = np.minimum.reduceat(np.where(first, center[source], len(live)), starts)
+            at, center = np.where(moved, best, at), np.where(moved, reached, center)
+        step = np.arange(n)
+        step[live] = live[center]
+        composed = step[composed]
+        a, b = step[a], step[b]
+        rate, level = rate / 2, level + 1
+
+
+LOCAL = "scope {scope}, v string, root string, whole boolean"
+#: Links decomposed together in one go of a task, small scopes side by side.
+TOGETHER = 1_000_000
+
+
+def _pieces(edges: DataFrame, piece_links: int) -> DataFrame:
+    """Links with the piece of their scope they fall into and the number of pieces it has."""
+    sizes = edges.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece_links).select("scope", F.ceil(F.col("n") / piece_links).cast("int").alias("pieces"))
+    cut = edges.join(sizes, "scope", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    return cut.withColumn("piece", F.pmod(F.xxhash64("a", "b"), F.col("pieces")).cast("int"))
+
+
+def decomposed_scopes(edges: DataFrame, beta: float, piece_links: int) -> DataFrame:
+    """(scope, v, root, whole): each vertex with the smallest one it is linked to inside its piece; ``whole`` where that is all of its scope."""
+    scope = dict(edges.dtypes)["scope"]
+    kind = edges.schema["scope"].dataType
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        held: list[pd.DataFrame] = []
+
+        def flush(rows: pd.DataFrame) -> pa.RecordBatch:
+            place, places = pd.factorize(pd.MultiIndex.from_frame(rows[["scope", "piece"]])) if len(rows) else (np.zeros(0, np.int64), [])
+            words, names = pd.factorize(pd.concat([rows["a"], rows["b"]], ignore_index=True), sort=True)
+            both = np.concatenate([place, place]).astype(np.int64) * len(names) + words
+            ids, ends = np.unique(both, return_inverse=True)
+            root = decompose(ends[:len(rows)], ends[len(rows):], len(ids), beta)
+            order = np.argsort(root, kind="stable")  # ids of a place ascend with the names
+            heads = np.flatnonzero(np.diff(root[order], prepend=-1)) if len(ids) else np.zeros(0, np.int64)
+            least = np.empty(len(ids), np.int64)
+            least[order] = np.repeat(ids[order[heads]], np.diff(heads, append=len(ids)))
+            first = np.unique(place, return_index=True)[1]
+            at = ids // max(len(names), 1)
+            scopes, whole = rows["scope"].to_numpy()[first][at], (rows["pieces"].to_numpy() == 1)[first][at]
+            name = np.asarray(names, dtype=object)
+            return pa.RecordBatch.from_arrays([pa.array(scopes.tolist(), to_arrow_type(kind)), pa.array(name[ids % max(len(names), 1)], pa.string()), pa.array(name[least % max(len(names), 1)], pa.string()), pa.array(whole, pa.bool_())], names=["scope", "v", "root", "whole"])
+
+        count = 0
+        for batch in batches:
+            rows = batch.to_pandas()
+            if not len(rows):
+                continue
+            held.append(rows)
+            count += len(rows)
+            if count >= TOGETHER:  # all but the piece that may go on
+                rows = pd.concat(held, ignore_index=True)
+                last = (rows["scope"] == rows["scope"].iloc[-1]) & (rows["piece"] == rows["piece"].iloc[-1])
+                if not last.all():
+                    yield flush(rows[~last].reset_index(drop=True))
+                held = [rows[last].reset_index(drop=True)]
+                count = len(held[0])
+        if held:
+            yield flush(pd.concat(held, ignore_index=True))
+
+    placed = _pieces(edges, piece_links).select("scope", "a", "b", "piece", "pieces").repartition("scope", "piece").sortWithinPartitions("scope", "piece")
+    return placed.mapInArrow(work, LOCAL.format(scope=scope))
+
+
+def link_groups(edges: DataFrame, beta: float = 0.5, piece_links: int = 2_000_000, max_degree: int = 100_000) -> DataFrame:
     """(scope, member, group) with the smallest member (by code point) naming each group.
 
     ``edges``: (scope, a, b), in any direction, repeated, self-edges allowed. Every vertex that
     stands in an edge comes out once. An empty input gives an empty result.
     """
+    local, _, parted = _counted(decomposed_scopes(edges, beta, piece_links), "decomposed", ~F.col("whole"))
+    done = local.where("whole").select("scope", F.col("v").alias("member"), F.col("root").alias("group"))
+    if not parted:
+        return done
+    return done.union(link_groups_distributed(local.where("not whole").select("scope", F.col("v").alias("a"), F.col("root").alias("b")), beta, max_degree))
+
+
+def link_groups_distributed(edges: DataFrame, beta: float = 0.5, max_degree: int = 100_000, max_levels: int = 200) -> DataFrame:
+    """The same with every level spread over the cluster, for scopes of any size."""
     spark = edges.sparkSession
     members = edges.select("scope", F.explode(F.array("a", "b")).alias("v")).distinct()
     every = F.lit(True)

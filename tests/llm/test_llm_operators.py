@@ -33,8 +33,28 @@ def test_groups_match_union_find(spark):
     r = random.Random(4)
     edges = [(s, f"u{r.randint(0, 90):02}", f"u{r.randint(0, 90):02}") for s in (1, 2) for _ in range(60)]
     edges += [(3, f"p{i:03}", f"p{i + 1:03}") for i in range(120)] + [(4, "hub", f"s{i}") for i in range(200)] + [(5, "alone", "alone"), (1, "u00", "u00")]
-    got = {(x["scope"], x["member"]): x["group"] for x in grouping.link_groups(spark.createDataFrame(edges, "scope bigint, a string, b string")).collect()}
-    assert got == truth_groups(edges)
+    frame = spark.createDataFrame(edges, "scope bigint, a string, b string")
+    for made in (grouping.link_groups(frame), grouping.link_groups(frame, piece_links=25), grouping.link_groups_distributed(frame)):
+        assert {(x["scope"], x["member"]): x["group"] for x in made.collect()} == truth_groups(edges)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=60), st.sampled_from([0.05, 0.5, 3.0]))
+def test_decomposition_of_arrays(pairs, beta):
+    a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    got = grouping.decompose(a, b, 41, beta)
+    want = truth_groups([(0, x, y) for x, y in pairs])
+    same = lambda x, y: want.get((0, x), x) == want.get((0, y), y)
+    assert all((got[x] == got[y]) == same(x, y) for x in range(41) for y in range(41))
+
+
+def test_scopes_in_one_go_and_in_many(spark, monkeypatch):
+    r = random.Random(3)
+    edges = [(f"s{r.randint(0, 12)}", r.choice("äzßB") + str(r.randint(0, 30)), r.choice("äzßB") + str(r.randint(0, 30))) for _ in range(400)] + [(None, "a", "b")]
+    frame = spark.createDataFrame([e for e in edges if e[0]], "scope string, a string, b string").repartition(3)
+    want = truth_groups([e for e in edges if e[0]])
+    for pieces in (7, 10_000):
+        assert {(x["scope"], x["member"]): x["group"] for x in grouping.link_groups(frame, piece_links=pieces).collect()} == want
 
 
 def test_groups_of_dirty_pairs_and_lists(spark):
@@ -48,7 +68,7 @@ def test_groups_of_dirty_pairs_and_lists(spark):
 
 def test_groups_with_hot_vertices_cut_into_parts(spark):
     edges = [(1, "hub", f"s{i:03}") for i in range(300)] + [(1, f"s{i:03}", f"t{i:03}") for i in range(0, 300, 3)] + [(2, f"c{i}", f"c{i + 1}") for i in range(40)] + [(1, "hub", "other"), (1, "other", "z")]
-    got = {(x["scope"], x["member"]): x["group"] for x in grouping.link_groups(spark.createDataFrame(edges, "scope bigint, a string, b string"), max_degree=20).collect()}
+    got = {(x["scope"], x["member"]): x["group"] for x in grouping.link_groups_distributed(spark.createDataFrame(edges, "scope bigint, a string, b string"), max_degree=20).collect()}
     assert got == truth_groups(edges)
 
 
