@@ -5,15 +5,33 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.runtime import bounded_rows
 
 
+def checked_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """A left join that keeps the rows of ``left`` as they are; a key standing twice in ``right`` raises while the rows are read."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    unique = right.withColumn("_n", n)
+    text = F.concat_ws(", ", *(F.col(k).cast("string") for k in key))
+    once = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"{', '.join(key)} not unique: "), text))).otherwise(F.lit(None).cast("string"))
+    joined = left.join(unique.withColumn("_e", once).drop("_n"), key, "left")
+    return joined.where("_e is null").drop("_e")
+
+
+def generic_keys(path: str | None = None) -> list[str]:
+    """Labels that never serve as anchors: the fixed ones and, where given, those of a file with one a line."""
+    extra = [line.strip().lower() for line in Path(path).read_text("utf-8").splitlines() if line.strip()] if path else []
+    return sorted({*X.GENERIC_ANCHORS, *extra})
+
+
 def mention_counts(clusters: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
     """Clusters with ``n``: the stated count where it is a number, else the mentions counted, else 0."""
     if "n_mentions" in clusters.columns:
@@ -40,8 +58,23 @@ def anchor_bank(clusters: DataFrame, percentile: float = 0.95, least: int = 2, u
     return kept.where("n_mentions >= cut").drop("cut")
 
 
+def pairs_of(key: str) -> list[tuple[str, int]]:
+    """Neighbouring characters, each with how often the same pair came before."""
+    seen: dict[str, int] = {}
+    out = []
+    for a, b in zip(key, key[1:]):
+        seen[a + b] = seen.get(a + b, 0) + 1
+        out.append((a + b, seen[a + b]))
+    return out
+
+
 class AnchorScan:
-    """Matches keys against a bank of anchors; words decide by an index, characters only where lengths allow."""
+    """Matches keys against a bank of anchors by indexes of words and of neighbouring characters.
+
+    A ratio r over T characters in all means that at least rT/2 of them match, in at most
+    T - rT + 1 blocks, so at least T(1.5r - 1) - 1 pairs of neighbours are shared; only anchors that
+    share so many are compared. Where that bound is no more than zero, lengths alone decide.
+    """
 
     def __init__(self, anchors: list[tuple[str, str, int]], foreign: float, family: float, least: int):
         self.anchors, self.foreign, self.family, self.least = anchors, foreign, family, least
@@ -50,7 +83,21 @@ class AnchorScan:
         for i, words in enumerate(self.words):
             for w in words:
                 self.by_word[w].append(i)
-        self.lengths = sorted((len(k), i) for i, (k, _, _) in enumerate(anchors))
+        self.lengths = np.array([len(k) for k, _, _ in anchors], np.int64)
+        places: dict[tuple[str, int], list[int]] = defaultdict(list)
+        for i, (k, _, _) in enumerate(anchors):
+            for p in pairs_of(k):
+                places[p].append(i)
+        self.by_pair = {p: np.array(v, np.int64) for p, v in places.items()}
+
+    def candidates(self, key: str, threshold: float) -> np.ndarray:
+        """Anchors whose ratio to the key can reach the threshold."""
+        total = self.lengths + len(key)
+        fit = (self.lengths >= self.least) & (2 * np.minimum(self.lengths, len(key)) >= threshold * total)
+        bound = total * (1.5 * threshold - 1) - 1
+        hits = [self.by_pair[p] for p in pairs_of(key) if p in self.by_pair]
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.anchors)) if hits else np.zeros(len(self.anchors), np.int64)
+        return np.flatnonzero(fit & (shared >= bound - 1e-9))
 
     def match(self, key: str, threshold: float) -> dict[int, tuple[float, str]]:
         """Anchors the key matches, with score and method."""
@@ -64,15 +111,9 @@ class AnchorScan:
                 out[i] = (1.0, "exact")
             elif words <= anchor or anchor <= words:
                 out[i] = (len(words & anchor) / len(words | anchor), "token_subset")
-        if len(key) >= self.least:
-            matcher = SequenceMatcher(None, autojunk=True)
-            matcher.set_seq2(key)
-            for size, i in self.lengths:
-                if i in out or size < self.least or 2 * min(size, len(key)) < threshold * (size + len(key)):
-                    continue
-                a = self.anchors[i][0]
-                matcher.set_seq1(a)
-                if matcher.quick_ratio() >= threshold and (score := SequenceMatcher(None, key, a).ratio()) >= threshold:
+        if len(key) >= self.least and self.anchors:
+            for i in self.candidates(key, threshold).tolist():
+                if i not in out and (score := SequenceMatcher(None, key, self.anchors[i][0]).ratio()) >= threshold:
                     out[i] = (score, "fuzzy")
         return out
 

@@ -72,7 +72,7 @@ def project(triples: DataFrame, max_nodes: int | None = None, max_edges: int | N
     if max_nodes is not None:
         top = degrees(edges).orderBy(F.col("degree").desc(), "id").limit(max_nodes).select("id")
         for end in ("source", "target"):
-            edges = edges.join(F.broadcast(top.withColumnRenamed("id", end)), end, "left_semi")
+            edges = edges.join(top.withColumnRenamed("id", end), end, "left_semi")
     if max_edges is not None:
         edges = edges.orderBy("source", "target").limit(max_edges)
     edges = edges.select("source", "target", "predicates")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.probability import cluster_seed
+from loomgraph.operators.tokens import with_sentences
+from loomgraph.runtime import evaluated_once, running_counts
 
 NAME_RUN = r"(?<![\p{L}\p{N}'’-])\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)*"
 
@@ -38,11 +40,12 @@ def local_mention_rows(extracted: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def name_mentions(chunk_token_table: DataFrame, max_tokens: int = 20) -> DataFrame:
+def name_mentions(chunk_token_table: DataFrame) -> DataFrame:
     """A rule-based stand-in for a coreference model: runs of capitalized words within a chunk, equal runs as one cluster.
 
-    It finds names only, no pronouns or nominals, and makes no claim to a model's quality. Same columns
-    as a model provider: (doc_id, chunk_id, local_cluster_id, local_start, local_end, text, head_local_i).
+    It finds names only, no pronouns or nominals, and makes no claim to a model's quality; runs may be
+    of any length. Same columns as a model provider: (doc_id, chunk_id, local_cluster_id, local_start,
+    local_end, text, head_local_i).
     """
     w = Window.partitionBy("doc_id", "chunk_id").orderBy("local_i")
     word = F.regexp_replace("text", r"^[^\p{L}\p{N}]+|(['’]s)?[^\p{L}\p{N}]+$|['’]s$", "")
@@ -50,7 +53,7 @@ def name_mentions(chunk_token_table: DataFrame, max_tokens: int = 20) -> DataFra
     rows = rows.withColumn("ends_before", F.coalesce(F.lag("text").over(w).rlike(r"[^\p{L}\p{N}]$"), F.lit(True)))
     rows = rows.withColumn("run", F.sum((~F.col("name") | F.col("ends_before")).cast("int")).over(w)).where("name")
     runs = rows.groupBy("doc_id", "chunk_id", "run").agg(F.min("local_i").alias("local_start"), (F.max("local_i") + 1).alias("local_end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_i", "word"))), lambda x: x["word"]), " ").alias("text"), F.max("ends_before").alias("initial"))
-    kept = runs.where(f"local_end - local_start <= {int(max_tokens)} and (not initial or local_end - local_start > 1)").drop("run", "initial")
+    kept = runs.where("not initial or local_end - local_start > 1").drop("run", "initial")
     return kept.withColumn("local_cluster_id", (F.dense_rank().over(Window.partitionBy("doc_id", "chunk_id").orderBy(F.lower("text"))) - 1).cast("bigint")).withColumn("head_local_i", F.col("local_end") - 1)
 
 
@@ -74,6 +77,29 @@ def sentence_of_spans(spans: DataFrame, sentences: DataFrame, bucket: int = 64)
     return spans.join(found, ["doc_id", "span_id"], "left")
 
 
+def sentence_words(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, sentence_index, start, words): each sentence's words in order, from a token table with or without sentence_id."""
+    words = tokens.where("token_id is not null")
+    if "sentence_id" not in words.columns:
+        words = with_sentences(words, sentences)
+    packed = words.groupBy("doc_id", F.col("sentence_id").alias("sentence_index")).agg(F.array_sort(F.collect_list(F.struct("token_id", "text"))).alias("w"))
+    return packed.select("doc_id", "sentence_index", F.get("w", 0)["token_id"].alias("start"), F.transform("w", lambda x: x["text"]).alias("words"))
+
+
+def sentence_windows(sentence_table: DataFrame, before: int, after: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sentence_index, start, words) of windows of whole sentences around each sentence (or each ``wanted`` one).
+
+    A sentence goes to the few windows it stands in, so the work does not depend on the number of
+    mentions; windows end with the document.
+    """
+    k = F.col("sentence_index")
+    spread = sentence_table.select("doc_id", k.alias("k"), "start", "words", F.explode(F.sequence(k - after, k + before)).alias("sentence_index"))
+    if wanted is not None:
+        spread = spread.join(wanted.select("doc_id", "sentence_index").distinct(), ["doc_id", "sentence_index"], "left_semi")
+    packed = spread.groupBy("doc_id", "sentence_index").agg(F.array_sort(F.collect_list(F.struct("k", "start", "words"))).alias("s"))
+    return packed.select("doc_id", "sentence_index", F.get("s", 0)["start"].alias("start"), F.flatten(F.transform("s", lambda x: x["words"])).alias("words"))
+
+
 def mention_contexts(mentions: DataFrame, tokens: DataFrame, sentences: DataFrame, before: int = 0, after: int = 0, mark: bool = False) -> DataFrame:
     """(doc_id, mention_id, sentence_index, context_text, rendered_context_text, rule, was_changed).
 
@@ -83,17 +109,13 @@ def mention_contexts(mentions: DataFrame, tokens: DataFrame, sentences: DataFram
     that no sentence contains has no row.
     """
     placed = sentence_of_spans(mentions.withColumnRenamed("mention_id", "span_id"), sentences).where("sentence_index is not null").withColumnRenamed("span_id", "mention_id")
-    first = sentences.select("doc_id", (F.col("sentence_index") + before).alias("sentence_index"), F.col("start").alias("from_id"))
-    final = sentences.select("doc_id", (F.col("sentence_index") - after).alias("sentence_index"), F.col("end").alias("to_id"))
-    edges = sentences.groupBy("doc_id").agg(F.min("start").alias("doc_start"), F.max("end").alias("doc_end"))
-    window = placed.join(first, ["doc_id", "sentence_index"], "left").join(final, ["doc_id", "sentence_index"], "left").join(edges, "doc_id").withColumn("from_id", F.coalesce("from_id", "doc_start")).withColumn("to_id", F.coalesce("to_id", "doc_end"))
-    words = tokens.where("token_id is not null").select("doc_id", "token_id", F.col("text").alias("word"))
-    near = window.select("doc_id", "mention_id", "sentence_index", "start", "end", "text", "subject", F.explode(F.expr("sequence(from_id, to_id - 1)")).alias("token_id")).join(words, ["doc_id", "token_id"])
-    packed = near.groupBy("doc_id", "mention_id", "sentence_index", "start", "end", "text", "subject").agg(F.array_sort(F.collect_list(F.struct("token_id", "word"))).alias("w"))
-    part = lambda cond: F.array_join(F.transform(F.filter("w", cond), lambda x: x["word"]), " ")
-    left, target, right = part(lambda x: x["token_id"] < F.col("start")), part(lambda x: (x["token_id"] >= F.col("start")) & (x["token_id"] < F.col("end"))), part(lambda x: x["token_id"] >= F.col("end"))
-    following = F.get(F.transform(F.filter("w", lambda x: x["token_id"] >= F.col("end")), lambda x: x["word"]), 0)
-    rows = packed.withColumn("_l", left).withColumn("_t", target).withColumn("_r", right).withColumn("_m", X.rendered_mention("text", "subject", following))
+    windows = sentence_windows(sentence_words(tokens, sentences), before, after, placed).select("doc_id", "sentence_index", F.col("start").alias("from_id"), "words")
+    near = placed.join(windows, ["doc_id", "sentence_index"])
+    at, size = (F.col("start") - F.col("from_id")).cast("int"), (F.col("end") - F.col("start")).cast("int")
+    rest = F.greatest(F.size("words") - at - size, F.lit(0))
+    part = lambda a, n: F.array_join(F.slice("words", a + 1, n), " ")
+    rows = near.select("doc_id", "mention_id", "sentence_index", "text", "subject", part(F.lit(0), at).alias("_l"), part(at, size).alias("_t"), part(at + size, rest).alias("_r"), F.get("words", at + size).alias("_n"))
+    rows = evaluated_once(rows, "_m", X.rendered_mention("text", "subject", F.col("_n")))
     shown = F.concat(F.lit("[["), F.col("_t"), F.lit("]]")) if mark else F.col("_t")
     return rows.select(
         "doc_id", "mention_id", "sentence_index", X.context_key(F.concat_ws(" ", "_l", shown, "_r")).alias("context_text"), X.context_key(F.concat_ws(" ", "_l", "_m.replacement", "_r")).alias("rendered_context_text"),
@@ -142,9 +164,9 @@ def dedup_against_text(mentions: DataFrame, documents_text: DataFrame) -> DataFr
 
 
 def number_mentions(mentions: DataFrame) -> DataFrame:
-    """Dense mention ids per document by place, cluster and text."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end", "cluster_id", "text")
-    return mentions.withColumn("mention_id", (F.row_number().over(order) - 1).cast("bigint"))
+    """Dense mention ids per document by place, cluster and text; a document of any size is numbered in parts."""
+    order = [F.col(c) for c in ("start", "end", "cluster_id", "text")]
+    return running_counts(mentions, ["doc_id"], order, name="numbered").withColumn("mention_id", F.col("_upto") - 1).drop("_upto")
 
 
 def build_clusters(mentions: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """Ontology as tables: class graph, properties, closure, routing, population.
 
-Everything here is as small as an ontology, so closures and routes are computed once and broadcast
-(Spark checks their size against the session's limit unless the caller asserts it).
+Everything here is as small as an ontology; what is collected is checked against a limit, and joins leave
+it to adaptive execution, which knows the sizes, whether a side is sent out.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.runtime import bounded_rows
+from loomgraph.runtime import bounded_rows, checked_broadcast
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -22,27 +24,16 @@ TYPE = RDF + "type"
 THING = OWL + "Thing"
 TRIPLES = "s string, p string, o string, o_kind string, datatype string"
 
-# The default class graph (child: parent) and its properties by domain and range.
-PARENTS = {
-    "AgentiveEntity": "NarrativeEntity", "Event": "NarrativeEntity", "Object": "NarrativeEntity", "Place": "NarrativeEntity", "Character": "AgentiveEntity", "Group": "AgentiveEntity", "InformalGroup": "Group", "Organization": "Group",
-    "ConflictEvent": "Event", "JourneyEvent": "Event", "RitualEvent": "Event", "Artifact": "Object", "Substance": "Object", "Tool": "Object", "Vehicle": "Object", "Weapon": "Object", "Region": "Place", "RouteOrPath": "Place", "Settlement": "Place", "Site": "Place",
-}
-PROPERTIES = {
-    ("AgentiveEntity", "AgentiveEntity"): "caresFor deceives fears follows guides opposes trusts", ("AgentiveEntity", "Event"): "participatesIn", ("AgentiveEntity", "Object"): "createsObject destroysObject possessesObject usesObject",
-    ("AgentiveEntity", "Place"): "leavesPlace rulesOver travelsTo", ("Event", "Place"): "occursAt", ("NarrativeEntity", "Place"): "locatedIn", ("Object", "AgentiveEntity"): "corrupts curses empowers heals",
-}
+DEFAULT = Path(__file__).resolve().parent.parent / "data" / "narrative.ttl"
+DEFAULT_BASE = "https://example.org/narrative#"
 
 
-def default_triples(spark: SparkSession, base: str = "https://example.org/narrative#") -> DataFrame:
-    """The default ontology as triples."""
-    rows = []
-    for name in sorted({*PARENTS, *PARENTS.values()}):
-        rows += [(base + name, TYPE, OWL + "Class", "iri", None), (base + name, RDFS + "label", name, "literal", None)]
-    rows += [(base + c, RDFS + "subClassOf", base + p, "iri", None) for c, p in PARENTS.items()]
-    for (domain, range_), names in PROPERTIES.items():
-        for name in names.split():
-            rows += [(base + name, TYPE, OWL + "ObjectProperty", "iri", None), (base + name, RDFS + "label", name, "literal", None), (base + name, RDFS + "comment", f"{name} from {domain} to {range_}", "literal", None), (base + name, RDFS + "domain", base + domain, "iri", None), (base + name, RDFS + "range", base + range_, "iri", None)]
-    return spark.createDataFrame(rows, TRIPLES)
+def default_triples(spark: SparkSession, base: str = DEFAULT_BASE) -> DataFrame:
+    """The default ontology, read from its Turtle file, with its terms in the namespace ``base``."""
+    from loomgraph.sources.files import parse_turtle
+
+    moved = lambda x: base + x[len(DEFAULT_BASE):] if x.startswith(DEFAULT_BASE) else x
+    return spark.createDataFrame([(moved(s), moved(p), moved(o) if kind == "iri" else o, kind, datatype) for s, p, o, kind, datatype in parse_turtle(DEFAULT.read_text("utf-8"))], TRIPLES)
 
 
 def first_literals(triples: DataFrame, predicates: list[str], name: str) -> DataFrame:
@@ -153,7 +144,7 @@ def property_table(triples: DataFrame, closed: DataFrame) -> DataFrame:
 def most_specific(rows: DataFrame, closed: DataFrame, key: str, column: str = "class") -> DataFrame:
     """Rows (key, class) without classes that are ancestors of another class of the same key; Thing only where alone."""
     above = closed.where("depth > 0").select(F.col("descendant").alias(column), F.col("ancestor").alias("_a"))
-    implied = rows.join(F.broadcast(above), column).select(key, F.col("_a").alias(column)).distinct()
+    implied = rows.join(checked_broadcast(above, 1_000_000, "the closure"), column).select(key, F.col("_a").alias(column)).distinct()
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     return rows.join(implied, [key, column], "left_anti").withColumn("_n", n).where((F.col("_n") == 1) | (F.col(column) != THING)).drop("_n")
 
@@ -253,3 +244,70 @@ def relation_triples(assertions: DataFrame, entities: DataFrame, base: str) -> D
 def duplicate_names(entities: DataFrame) -> DataFrame:
     """(doc_id, name_key, n): folded names that several entities of a document share."""
     return entities.groupBy("doc_id", X.label_key("canonical_name").alias("name_key")).agg(F.count_distinct("cluster_id").alias("n")).where("n > 1")
+
+
+def trait_property_iri(class_iri: str, trait: str) -> str:
+    """The data property of a trait, in the namespace of the class that has it."""
+    return class_iri[: max(class_iri.rfind("#"), class_iri.rfind("/")) + 1] + "hasOcean" + trait.capitalize()
+
+
+def data_property_table(triples: DataFrame, closed: DataFrame) -> DataFrame:
+    """(class, direct, inherited): the data properties a class requires itself and those of its ancestors, sorted."""
+    rows = class_data_properties(triples, closed)
+    side = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("property"))))
+    return rows.groupBy("class").agg(side(~F.col("inherited")).alias("direct"), side(F.col("inherited")).alias("inherited"))
+
+
+def explain_pair(routes: DataFrame, properties: DataFrame, closed: DataFrame, source: str, target: str) -> DataFrame:
+    """(iri, domain_fits, range_fits, routed) for every property: why a pair of classes has it or not."""
+    above = lambda c: closed.where(F.col("descendant") == c).select(F.col("ancestor").alias("c"))
+    up = {name: [r[0] for r in bounded_rows(above(c), 10_000, "the ancestors of a class")] + [THING] for name, c in (("domains", source), ("ranges", target))}
+    fits = lambda name: F.arrays_overlap(name, F.array(*map(F.lit, up[name])))
+    routed = routes.where((F.col("source_class") == source) & (F.col("target_class") == target)).select("iri", F.lit(True).alias("routed"))
+    return properties.select("iri", fits("domains").alias("domain_fits"), fits("ranges").alias("range_fits")).join(routed, "iri", "left").withColumn("routed", F.coalesce("routed", F.lit(False)))
+
+
+def clusters_to_score(typing: DataFrame, class_properties: DataFrame, wanted: list[str]) -> DataFrame:
+    """Typed clusters whose class has every wanted data property."""
+    return typing.join(classes_with_all(class_properties, wanted).withColumnRenamed("class", "class_iri"), "class_iri", "left_semi")
+
+
+class Ontology:
+    """An ontology with what is derived from it: classes, edges, closure, properties, routes, aliases; population and saving."""
+
+    def __init__(self, triples: DataFrame):
+        self.triples = triples
+        self.classes = class_table(triples).cache()
+        self.edges = subclass_table(triples, self.classes).cache()
+        self.closed = closure(self.classes, self.edges).cache()
+        self.properties = property_table(triples, self.closed)
+        self.routes = route_table(self.properties, self.closed)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Ontology:
+        from loomgraph.sources.files import read_rdf
+
+        return cls(read_rdf(spark, path))
+
+    def errors(self) -> DataFrame:
+        return graph_errors(self.classes, self.edges)
+
+    def routes_by_pair(self) -> DataFrame:
+        return routes_by_pair(self.routes, self.properties)
+
+    def aliases(self) -> DataFrame:
+        return alias_table(self.classes)
+
+    def data_properties(self) -> DataFrame:
+        return class_data_properties(self.triples, self.closed)
+
+    def with_data_properties(self, class_iri: str, properties: dict[str, str]) -> Ontology:
+        return Ontology(self.triples.union(data_property_triples(self.triples.sparkSession, class_iri, properties)).distinct())
+
+    def populated(self, entities: DataFrame, assertions: DataFrame, base: str, traits: list[str]) -> DataFrame:
+        """Schema and individuals as triples; assertions about unknown entities raise."""
+        ends = assertions.select("doc_id", F.explode(F.array("source_cluster_id", "target_cluster_id")).alias("cluster_id")).distinct()
+        lost = ends.join(entities.select("doc_id", "cluster_id"), ["doc_id", "cluster_id"], "left_anti").limit(20).collect()
+        if lost:
+            raise ValueError(f"assertions about unknown entities: {[tuple(r) for r in lost]}")
+        return self.triples.union(entity_triples(entities, base, traits)).union(relation_triples(assertions, entities, base)).distinct()

@@ -9,6 +9,10 @@ from loomgraph.functions import probability as P
 from loomgraph.functions import text as X
 from loomgraph.operators.mentions import mentions_at_tokens
 from loomgraph.operators.scoring import overlap_logit
+from loomgraph.runtime import checked_broadcast
+
+#: Pairs of classes a routing table may have.
+MAX_ROUTES = 1_000_000
 
 # Dependency labels.
 SUBJECTS = ["nsubj", "nsubjpass", "csubj", "csubjpass"]
@@ -69,7 +73,7 @@ def route_candidates(candidates: DataFrame, typing: DataFrame, routes: DataFrame
     """
     side = lambda s: typing.select("doc_id", F.col("cluster_id").alias(f"{s}_cluster_id"), F.col("class_iri").alias(f"{s}_class"))
     typed = candidates.join(side("source"), ["doc_id", "source_cluster_id"], "left").join(side("target"), ["doc_id", "target_cluster_id"], "left")
-    routed = typed.join(F.broadcast(routes), ["source_class", "target_class"], "left")
+    routed = typed.join(checked_broadcast(routes, MAX_ROUTES, "the routes"), ["source_class", "target_class"], "left")
     reason = F.when(F.col("source_class").isNull(), "source cluster has no class").when(F.col("target_class").isNull(), "target cluster has no class").when(F.coalesce(F.size("properties"), F.lit(0)) <= 0, F.concat(F.lit("no property from "), X.short_iri("source_class"), F.lit(" to "), X.short_iri("target_class")))
     marked = routed.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null").drop("properties")
@@ -144,3 +148,39 @@ def dangling_references(assertion_rows: DataFrame, clusters: DataFrame, relation
     support = assertion_rows.select("doc_id", F.explode("support_relation_ids").alias("relation_id")).distinct()
     lost = support.join(relations.select("doc_id", "relation_id").distinct(), ["doc_id", "relation_id"], "left_anti").select(F.lit("relation").alias("kind"), F.concat_ws(":", "doc_id", "relation_id").alias("key"))
     return missing.union(lost)
+
+
+# Indexes of assertions and lookups
+
+
+def assertion_index(assertion_rows: DataFrame, by: str) -> DataFrame:
+    """(doc_id, key, assertion_ids): the assertions of each source cluster, target cluster or property, sorted."""
+    column = {"source": "source_cluster_id", "target": "target_cluster_id", "property": "object_property_iri"}[by]
+    return assertion_rows.groupBy("doc_id", F.col(column).cast("string").alias("key")).agg(F.array_sort(F.collect_set("cluster_assertion_id")).alias("assertion_ids"))
+
+
+def assertions_of(assertion_rows: DataFrame, source: int | None = None, target: int | None = None, iri: str | None = None, doc_id: int | None = None) -> DataFrame:
+    """The assertions that have every given source, target, property and document."""
+    for column, value in (("source_cluster_id", source), ("target_cluster_id", target), ("object_property_iri", iri), ("doc_id", doc_id)):
+        if value is not None:
+            assertion_rows = assertion_rows.where(F.col(column) == value)
+    return assertion_rows
+
+
+def relation_summary(relations: DataFrame, assignments: DataFrame, assertion_rows: DataFrame) -> DataFrame:
+    """(doc_id, n_relation_instances, n_relation_assignments, n_relation_assertions, n_source_cluster_indexes, n_target_cluster_indexes, n_property_indexes)."""
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count_distinct("relation_id").alias(name))
+    a = assertion_rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_relation_assertions"), F.count_distinct("source_cluster_id").alias("n_source_cluster_indexes"), F.count_distinct("target_cluster_id").alias("n_target_cluster_indexes"), F.count_distinct("object_property_iri").alias("n_property_indexes"))
+    whole = count(relations, "n_relation_instances").join(count(assignments, "n_relation_assignments"), "doc_id", "full").join(a, "doc_id", "full")
+    return whole.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in whole.columns if c != "doc_id"))
+
+
+def unassigned(candidates: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Candidates without an assignment yet: what a resumed run has left to score."""
+    return candidates.join(assignments.select("doc_id", "relation_id").distinct(), ["doc_id", "relation_id"], "left_anti")
+
+
+def routed_records(routed: DataFrame) -> DataFrame:
+    """(doc_id, record): routed candidates in the nested form of the exchanged JSON lines, their properties in order."""
+    rest = [c for c in routed.columns if c not in ("doc_id", "properties")]
+    return routed.select("doc_id", F.to_json(F.struct(*rest, F.transform("properties", lambda p: F.struct(p["iri"].alias("iri"), p["label"].alias("label"), p["description"].alias("description"))).alias("candidate_properties"))).alias("record"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators.connectivity import components
+from loomgraph.runtime import running_counts
 
 OVERLAP = ["left_overlap", "right_overlap"]
 SIEVES = ("exactMention_stitching", "adjacent_overlap_exact_mention_without_canonical_equality", "exact_mention_overlap_coefficient", "same_clean_proper_name_anchor", "canonical_head_alias_match")
@@ -390,8 +391,8 @@ def number_entities(members: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_id, component, global_cluster_uid, n_mentions, n_local_clusters, chunk_min, chunk_max, first_start): uids in document order."""
     joined = members.join(rows, ["doc_id", "uid"])
     per = joined.groupBy("doc_id", "component").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("uid").alias("n_local_clusters"), F.min("chunk_index").alias("chunk_min"), F.max("chunk_index").alias("chunk_max"), F.min(F.struct("chunk_index", "start")).alias("f"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("f").asc_nulls_last(), "component")
-    return per.select("doc_id", "component", X.global_cluster_uid(F.row_number().over(order) - 1).alias("global_cluster_uid"), "n_mentions", "n_local_clusters", "chunk_min", "chunk_max", F.col("f.start").alias("first_start"))
+    ranked = running_counts(per, ["doc_id"], [F.col("f.chunk_index").asc_nulls_last(), F.col("f.start").asc_nulls_last(), F.col("component")], name="entities")
+    return ranked.select("doc_id", "component", X.global_cluster_uid(F.col("_upto") - 1).alias("global_cluster_uid"), "n_mentions", "n_local_clusters", "chunk_min", "chunk_max", F.col("f.start").alias("first_start"))
 
 
 def representative_names(members: DataFrame, rows: DataFrame) -> DataFrame:
@@ -406,16 +407,18 @@ def salience_split(entities: DataFrame, size: str = "n_mentions", percentile: fl
     """Entities with ``cutoff`` and ``kept``: large enough, or the ``least_kept`` largest where too few are.
 
     The cutoff is the ceiling of the linearly interpolated quantile of the document's sizes, computed
-    by one aggregation; ranks only decide the fallback, in document order on ties.
+    by one aggregation; ranks only decide the fallback, in document order on ties (``order`` must tell
+    entities apart), and are counted in parts, so a document of any size does not meet in one task.
     """
     limit = F.ceil(F.percentile(F.col(size).cast("double"), percentile))
     if least_mentions is not None:
         limit = F.greatest(limit, F.lit(least_mentions))
     cut = entities.groupBy("doc_id").agg(limit.cast("bigint").alias("cutoff"), F.count(F.lit(1)).alias("n_all"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col(size).desc(), *order))
-    rows = entities.join(cut, "doc_id").withColumn("_r", rank)
-    passing = F.sum((F.col(size) >= F.col("cutoff")).cast("int")).over(Window.partitionBy("doc_id"))
+    ranked = running_counts(entities, ["doc_id"], [F.col(size).desc(), *map(F.col, order)], name="salience")
+    rows = ranked.withColumnRenamed("_upto", "_r").join(cut, "doc_id")
     kept = F.col(size) >= F.col("cutoff")
     if least_kept is not None:
-        kept = F.when(passing < least_kept, F.col("_r") <= least_kept).otherwise(kept)
-    return rows.withColumn("kept", kept).drop("_r", "n_all")
+        passing = rows.groupBy("doc_id").agg(F.count_if(kept).alias("_passing"))
+        rows = rows.join(passing, "doc_id")
+        kept = F.when(F.col("_passing") < least_kept, F.col("_r") <= least_kept).otherwise(kept)
+    return rows.withColumn("kept", kept).drop("_r", "n_all", "_passing")

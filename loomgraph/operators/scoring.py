@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import probability as P
 from loomgraph.functions import text as X
-from loomgraph.runtime import cut, evaluated_once
+from loomgraph.runtime import checked_broadcast, cut, evaluated_once
 
 TRAITS = ["openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism"]
 POLES = ["positive", "negative", "neutral"]
@@ -122,6 +122,8 @@ def alignment_errors(evidence: DataFrame, mentions: DataFrame) -> DataFrame:
 # Typing: a greedy walk of each mention down the class graph, then one descent per cluster.
 
 STAY = "(stay)"
+#: Options a class graph may have in all.
+MAX_OPTIONS = 100_000
 ROOT = "(root)"
 
 
@@ -151,8 +153,9 @@ def typing_walk(mentions: DataFrame, classes: DataFrame, edges: DataFrame, depth
     step = F.struct(F.lit("").alias("parent"), F.lit("").alias("child"), F.lit("").alias("edge_kind"), F.lit(0.0).alias("edge_weight"))
     rows, score = _prepared(mentions, logit)
     rows = rows.withColumn("at", F.lit(ROOT)).withColumn("path", F.slice(F.array(step), 1, 0))
+    sent = checked_broadcast(packed, MAX_OPTIONS, "the class options")
     for _ in range(depth + 1):
-        joined = rows.join(F.broadcast(packed), "at", "left")
+        joined = rows.join(sent, "at", "left")
         joined = evaluated_once(joined, "_l", F.transform("o", lambda x: score(F.replace(x["hypothesis"], F.lit("{}"), name))))
         joined = evaluated_once(joined, "_p", P.softmax_array(F.col("_l")))
         ranked = F.zip_with("o", F.col("_p"), lambda x, v: F.struct(v.alias("v"), (-x["ordinal"]).alias("tie"), x["child"].alias("child")))
@@ -176,7 +179,7 @@ def descend(scores: DataFrame, options: DataFrame, roots: DataFrame, depth: int,
     aggregation; following them is a bounded number of small joins. A single root is the start,
     several hang under the virtual one.
     """
-    named = scores.join(F.broadcast(options.select("parent", "child", "ordinal")), ["parent", "child"], "left")
+    named = scores.join(checked_broadcast(options.select("parent", "child", "ordinal"), MAX_OPTIONS, "the class options"), ["parent", "child"], "left")
     per = named.groupBy(*cluster, F.col("parent").alias("class_iri")).agg(
         F.max(F.when(F.col("child") != STAY, F.struct("score", (-F.coalesce("ordinal", F.lit(0))).alias("tie"), "child"))).alias("best"), F.coalesce(F.sum(F.when(F.col("child") == STAY, F.col("score"))), F.lit(0.0)).alias("stay"), F.sum("score").alias("total"),
     )
@@ -188,3 +191,81 @@ def descend(scores: DataFrame, options: DataFrame, roots: DataFrame, depth: int,
         stop = F.col("done") | F.col("best").isNull() | ((F.col("stay") > 0) & (F.col("stay") >= F.col("best.score"))) | (F.col("best.score") <= 0)
         rows = j.select(*cluster, F.when(stop, F.col("class_iri")).otherwise(F.col("best.child")).alias("class_iri"), F.when(F.col("done") | F.col("best").isNull(), F.col("confidence")).when(stop, F.try_divide("stay", "total")).otherwise(F.try_divide("best.score", "total")).alias("confidence"), stop.alias("done"))
     return rows.drop("done")
+
+
+# Typing evidence as records that can be checked and resumed
+
+EVIDENCE_VERSION = 2
+PATH = "array<struct<parent_class_iri:string,child_class_iri:string,edge_kind:string,edge_weight:double>>"
+
+
+def typing_evidence(mentions: DataFrame, classes: DataFrame, edges: DataFrame, depth: int, weights: DataFrame | None = None, logit=overlap_logit, allow_stay: bool = True) -> DataFrame:
+    """The mentions with schema_version, selected_path and mention_weight_raw: one evidence record each.
+
+    A stay has no child, a start at one of several roots the virtual parent. ``weights``: (mention_id,
+    high, medium, low) of the mention as evidence; where it is missing they are scored like a task.
+    """
+    walked = typing_walk(mentions, classes, edges, depth, logit, allow_stay)
+    entry = lambda e: F.struct(e["parent"].alias("parent_class_iri"), F.when(e["child"] != STAY, e["child"]).alias("child_class_iri"), e["edge_kind"].alias("edge_kind"), e["edge_weight"].alias("edge_weight"))
+    rows = walked.withColumn("selected_path", F.transform("path", entry)).drop("path")
+    if weights is None:
+        scored = score_tasks(mentions, logit)
+        weights = scored.select("mention_id", *(F.col(f"ocean_weight_{w}_probability").alias(w) for w in WEIGHTS))
+    raw = F.struct(*(F.col(w).alias(w) for w in WEIGHTS))
+    return rows.join(weights.select("mention_id", raw.alias("mention_weight_raw")), "mention_id", "left").withColumn("schema_version", F.lit(EVIDENCE_VERSION))
+
+
+def completed_typing(evidence: DataFrame) -> DataFrame:
+    """(mention_id) of records that have both a path and a weight: what a resumed run need not score again."""
+    return evidence.where("selected_path is not null and mention_weight_raw is not null").select("mention_id").distinct()
+
+
+def path_errors(evidence: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, mention_id, edge_index, error) of path edges the class graph does not allow, or whose weight is no probability.
+
+    A root edge leads from the virtual root to a root, a stay to no child, a child edge along the graph.
+    """
+    child = edges.select(F.col("child_iri").alias("iri")).distinct()
+    known = classes.select("iri").distinct()
+    steps = evidence.select("doc_id", "mention_id", F.posexplode("selected_path").alias("edge_index", "e")).select("doc_id", "mention_id", "edge_index", "e.*")
+    flag = lambda df, column, name: df.select(F.col("iri").alias(column), F.lit(True).alias(name))
+    allowed = edges.select(F.col("parent_iri").alias("parent_class_iri"), F.col("child_iri").alias("child_class_iri"), F.lit(True).alias("is_edge"))
+    rows = steps.join(flag(known, "parent_class_iri", "known_parent"), "parent_class_iri", "left").join(flag(known, "child_class_iri", "known_child"), "child_class_iri", "left").join(flag(known.join(child, "iri", "left_anti"), "child_class_iri", "is_root"), "child_class_iri", "left").join(allowed, ["parent_class_iri", "child_class_iri"], "left")
+    kind = F.col("edge_kind")
+    error = (
+        F.when(F.col("edge_weight").isNull() | F.isnan("edge_weight") | (F.col("edge_weight") < 0) | (F.col("edge_weight") > 1), "weight")
+        .when(~F.coalesce(kind.isin("root", "stay", "child"), F.lit(False)), "kind")
+        .when((kind == "root") & (F.col("parent_class_iri") != ROOT), "root_parent").when((kind == "root") & F.col("is_root").isNull(), "root_child")
+        .when((kind == "stay") & F.col("child_class_iri").isNotNull(), "stay_child").when((kind != "root") & F.col("known_parent").isNull(), "unknown_parent")
+        .when((kind == "child") & F.col("known_child").isNull(), "unknown_child").when((kind == "child") & F.col("is_edge").isNull(), "no_edge")
+    )
+    return rows.select("doc_id", "mention_id", "edge_index", error.alias("error")).where("error is not null")
+
+
+def evidence_errors(evidence: DataFrame, mentions: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, mention_id, error): evidence of another version, without weight, off the class graph, or at odds with the mention table."""
+    version = evidence.where(~F.coalesce(F.col("schema_version") == EVIDENCE_VERSION, F.lit(False))).select("doc_id", "mention_id", F.lit("version").alias("error"))
+    weight = evidence.where("mention_weight_raw is null or mention_weight_raw.high is null or mention_weight_raw.medium is null").select("doc_id", "mention_id", F.lit("weight_missing").alias("error"))
+    path = path_errors(evidence, classes, edges).select("doc_id", "mention_id", F.concat(F.lit("path_"), "error").alias("error"))
+    return version.union(weight).union(path).union(alignment_errors(evidence, mentions)).distinct()
+
+
+def trait_catalogue(spark) -> DataFrame:
+    """(trait, pole, label): the traits' poles as readable labels; other catalogues may be passed to the scorer in its place."""
+    return spark.createDataFrame([(t, p, template.replace("{}", "the character")) for t, p, template in TASKS], "trait string, pole string, label string")
+
+
+def score_tasks_by_model(mentions: DataFrame, provider, batch: int = 64) -> DataFrame:
+    """:func:`score_tasks` under a model provider: a mention's 18 pairs are scored in one call, then a softmax per task."""
+    from loomgraph.operators.providers import entailment_logits
+
+    name = F.coalesce("subject", F.lit("the character"))
+    labels = [(t, p, template) for t, p, template in TASKS]
+    asked = F.array(*(F.replace(F.lit(template), F.lit("{}"), name) for _, _, template in labels))
+    rows = evaluated_once(mentions, "_l", entailment_logits(F.coalesce("context_text", F.lit("")), asked, provider, batch))
+    shown = []
+    for task in [*TRAITS, "ocean_weight"]:
+        at = [i for i, t in enumerate(labels) if t[0] == task]
+        rows = evaluated_once(rows, f"_{task}", P.softmax_array(F.slice("_l", at[0] + 1, len(at))))
+        shown += [F.get(F.col(f"_{task}"), k).alias(f"{task}_{labels[i][1]}_probability") for k, i in enumerate(at)]
+    return rows.select("mention_id", *shown)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import chunks as C
 from loomgraph.operators import mentions as M
 from loomgraph.operators import tokens as T
-from loomgraph.runtime import table
+from loomgraph.plans.text import _list, sql_context_key, sql_normalize, sql_squeeze, sql_strip
+from loomgraph.runtime import evaluated_once, table
 
 LIMIT, OVERLAP = 400, 2
 
@@ -50,6 +51,21 @@ def chunk_plan(spark: SparkSession, folder: str) -> DataFrame:
     return C.plan_chunks(T.sentences(table(spark, folder, "documents")), LIMIT, OVERLAP)
 
 
+def chunk_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the plan keeps its promises, per document: tokens covered by cores, gaps, chunks over the limit, odd overlaps."""
+    order = Window.partitionBy("doc_id").orderBy("chunk_index")
+    rows = chunk_plan(spark, folder).withColumn("gap", F.col("core_start") != F.coalesce(F.lag("core_end").over(order), F.lit(0)))
+    return rows.groupBy("doc_id").agg(
+        F.sum(F.expr("core_end - core_start")).alias("n_covered"), F.max("core_end").alias("end_token"), F.count_if("gap").alias("n_gaps"), F.count_if(F.expr(f"global_end - global_start > {LIMIT}")).alias("n_over_limit"),
+        F.count_if(F.expr("global_start > core_start or global_end < core_end or n_tokens <> global_end - global_start")).alias("n_odd"),
+    )
+
+
+def chunk_model_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """The tokens of each document that reach a model, each counted once."""
+    return chunk_model_input(spark, folder).select("doc_id", F.explode("token_ids").alias("t")).groupBy("doc_id").agg(F.count_distinct("t").alias("n_tokens"), F.min("t").alias("first_token"), F.max("t").alias("last_token"))
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     return T.sentences(table(spark, folder, "documents")).groupBy("doc_id").agg(F.max("end").alias("n_doc_tokens"))
 
@@ -78,10 +94,10 @@ def _evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mention_zones(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions placed in the chunk that scored them, with formatted ids."""
+    """Mentions placed in the chunk that scored them, with formatted ids; a mention of a chunk that no plan has is of unknown zone."""
     spec = table(spark, folder, "chunks").groupBy("doc_id", "chunk_index").agg(F.min(F.struct("core_start", "core_end")).alias("c")).select("doc_id", "chunk_index", "c.*")
-    rows = _evidence(spark, folder).join(spec, ["doc_id", "chunk_index"])
-    zone = M.zone_of(F.col("mention_start"), F.col("mention_end"), F.col("core_start"), F.col("core_end"))
+    rows = _evidence(spark, folder).join(spec, ["doc_id", "chunk_index"], "left")
+    zone = F.when(F.col("core_start").isNull(), "unknown").otherwise(M.zone_of(F.col("mention_start"), F.col("mention_end"), F.col("core_start"), F.col("core_end")))
     uid = X.local_cluster_uid(F.format_string("chunk_%03d", "chunk_index"), "cluster_id")
     return rows.withColumn("zone", zone).withColumn("local_cluster_uid", uid).select("doc_id", "mention_id", "local_cluster_uid", "zone", X.overlap_span_key("zone", "mention_start", "mention_end", "mention_text").alias("overlap_exact_span_key"))
 
@@ -96,7 +112,12 @@ def mention_contexts(spark: SparkSession, folder: str) -> DataFrame:
     """Contexts and rendered contexts of the mentions whose document is at hand."""
     docs = table(spark, folder, "documents")
     rows = _evidence(spark, folder).select("doc_id", "mention_id", F.col("mention_start").alias("start"), F.col("mention_end").alias("end"), F.col("mention_text").alias("text"), "subject")
-    return M.mention_contexts(rows, T.tokenize(docs), T.sentences(docs), before=1, after=1, mark=True)
+    return M.mention_contexts(rows, _with_sentences(spark, folder), T.sentences(docs), before=1, after=1, mark=True)
+
+
+def mention_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The contexts alone, the mention marked."""
+    return mention_contexts(spark, folder).select("doc_id", "mention_id", "sentence_index", "context_text")
 
 
 def mention_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,11 +130,17 @@ def mention_sample_twister(spark: SparkSession, folder: str) -> DataFrame:
     return M.sample_mentions_twister(rows, 1, 7)
 
 
+_BARE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
 def mention_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per cluster and span, checked against the most frequent text of the span."""
+    """One row per cluster and span, checked against the words the document has there; for a document that is not at hand, against the most frequent text of the span. Marks around the words do not count."""
     rows = table(spark, folder, "trait_evidence").select("doc_id", "cluster_id", F.col("mention_start").alias("start"), F.col("mention_end").alias("end"), F.col("mention_text").alias("text"), (F.col("mention_end") - 1).alias("head_token_i"), F.col("mention_id").alias("ordinal"))
-    spans = rows.groupBy("doc_id", "start", "end").agg(F.min("text").alias("span_text"))
-    return M.dedup_against_text(rows, spans)
+    words = evaluated_once(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "w", F.filter(F.split("text", r"\s+"), lambda w: w != "")).select("doc_id", "w")
+    usual = rows.groupBy("doc_id", "start", "end", "text").agg(F.count_distinct("ordinal").alias("n")).groupBy("doc_id", "start", "end").agg(F.max_by("text", F.struct("n", "text")).alias("usual"))
+    own = F.array_join(F.slice("w", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), " ")
+    spans = usual.join(words, "doc_id", "left").select("doc_id", "start", "end", F.regexp_replace(F.when(F.col("w").isNull(), F.col("usual")).otherwise(own), _BARE, "").alias("span_text"))
+    return M.dedup_against_text(rows.withColumn("text", F.regexp_replace("text", _BARE, "")), spans)
 
 
 def _numbered(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +180,7 @@ def name_mentions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tok_tokens, tok_sentences, tok_sentence_ids, tok_sentence_join, tok_export, tok_span_ranges, chunk_plan, chunk_plan_violations, chunk_token_counts, chunk_model_input, mention_zones, mention_sentences, mention_contexts, mention_sample, mention_sample_twister,
+        tok_tokens, tok_sentences, tok_sentence_ids, tok_sentence_join, tok_export, tok_span_ranges, chunk_plan, chunk_cover, chunk_plan_violations, chunk_token_counts, chunk_model_input, chunk_model_cover, mention_zones, mention_sentences, mention_contexts, mention_windows, mention_sample, mention_sample_twister,
         mention_dedup, mention_numbers, cluster_members, mention_span_conflicts, mention_token_index, mention_name_index, name_mentions,
     )
 }
@@ -180,12 +207,6 @@ spans AS (SELECT DISTINCT doc_id, cluster_id, mention_start AS start, mention_en
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", cluster_id, text) - 1 AS mention_id FROM spans)"""
 
 
-def _normalized(x: str) -> str:
-    from loomgraph.plans.text import sql_normalize
-
-    return sql_normalize(x)
-
-
 ORACLES = {
     "tok_tokens": f"WITH {_PIECES} SELECT doc_id, token_id, text, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, CAST(byte_start AS BIGINT) AS byte_start, CAST(byte_end AS BIGINT) AS byte_end, CAST(paragraph_id AS BIGINT) AS paragraph_id FROM toks",
     "tok_sentences": f"WITH {_SENTENCES} SELECT * FROM sents",
@@ -208,9 +229,9 @@ SELECT c.doc_id, c.chunk_id, count(*) AS n, count(*) FILTER (token_id >= core_st
 FROM c JOIN toks t ON c.doc_id = t.doc_id AND t.token_id >= c.global_start AND t.token_id < c.global_end GROUP BY c.doc_id, c.chunk_id""",
     "mention_zones": f"""
 WITH {_EVIDENCE}, c AS (SELECT doc_id, chunk_index, min(core_start) AS core_start, arg_min(core_end, (core_start, core_end)) AS core_end FROM chunks GROUP BY doc_id, chunk_index),
-z AS (SELECT ev.*, CASE WHEN mention_start >= core_start AND mention_end <= core_end THEN 'core' WHEN mention_end <= core_start THEN 'left_overlap' WHEN mention_start >= core_end THEN 'right_overlap' ELSE 'cross_zone' END AS zone
-  FROM ev JOIN c ON ev.doc_id = c.doc_id AND ev.chunk_index = c.chunk_index)
-SELECT doc_id, mention_id, printf('chunk_%03d::cluster_%03d', chunk_index, cluster_id) AS local_cluster_uid, zone, CASE WHEN zone = 'core' THEN '' ELSE mention_start || ':' || mention_end || ':' || {_normalized('mention_text')} END AS overlap_exact_span_key FROM z""",
+z AS (SELECT ev.*, CASE WHEN core_start IS NULL THEN 'unknown' WHEN mention_start >= core_start AND mention_end <= core_end THEN 'core' WHEN mention_end <= core_start THEN 'left_overlap' WHEN mention_start >= core_end THEN 'right_overlap' ELSE 'cross_zone' END AS zone
+  FROM ev LEFT JOIN c ON ev.doc_id = c.doc_id AND ev.chunk_index = c.chunk_index)
+SELECT doc_id, mention_id, printf('chunk_%03d::cluster_%03d', chunk_index, cluster_id) AS local_cluster_uid, zone, CASE WHEN zone = 'core' THEN '' ELSE mention_start || ':' || mention_end || ':' || {sql_normalize('mention_text')} END AS overlap_exact_span_key FROM z""",
     "mention_sentences": f"""
 WITH {_EVIDENCE}, {_SENTENCES}
 SELECT ev.doc_id, ev.mention_id, coalesce(min(s.sentence_index), -1) AS sentence_index FROM ev LEFT JOIN sents s ON ev.doc_id = s.doc_id AND s.start <= ev.mention_start AND ev.mention_end <= s."end" AND s."end" > s.start GROUP BY ev.doc_id, ev.mention_id""",
@@ -218,12 +239,42 @@ SELECT ev.doc_id, ev.mention_id, coalesce(min(s.sentence_index), -1) AS sentence
 WITH m AS (SELECT DISTINCT doc_id, cluster_id, mention_id FROM trait_evidence),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster_id ORDER BY sha256('7:' || doc_id || ':' || cluster_id || ':' || mention_id), mention_id) AS k FROM m)
 SELECT doc_id, cluster_id, mention_id FROM k WHERE k <= 3""",
-    "mention_dedup": """
-WITH s AS (SELECT doc_id, mention_start AS start, mention_end AS "end", min(mention_text) AS span_text FROM trait_evidence GROUP BY doc_id, mention_start, mention_end)
-SELECT t.doc_id, t.cluster_id, s.start, s."end", any_value(span_text) AS text, CASE WHEN s."end" > s.start THEN s."end" - 1 END AS head_token_i
-FROM trait_evidence t JOIN s ON t.doc_id = s.doc_id AND t.mention_start = s.start AND t.mention_end = s."end" GROUP BY t.doc_id, t.cluster_id, s.start, s."end" HAVING bool_or(t.mention_text = span_text)""",
+    "mention_dedup": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, regexp_replace(mention_text, '{_BARE}', '', 'g') AS x FROM trait_evidence),
+c AS (SELECT doc_id, mention_start, mention_end, mention_text, count(DISTINCT mention_id) AS n FROM trait_evidence GROUP BY ALL),
+u AS (SELECT doc_id, mention_start, mention_end, arg_max(mention_text, (n, mention_text)) AS usual FROM c GROUP BY doc_id, mention_start, mention_end),
+s AS (SELECT u.*, regexp_replace(CASE WHEN w.w IS NULL THEN usual ELSE array_to_string(w.w[mention_start + 1:mention_end], ' ') END, '{_BARE}', '', 'g') AS span_text FROM u LEFT JOIN w ON u.doc_id = w.doc_id)
+SELECT t.doc_id, t.cluster_id, s.mention_start AS start, s.mention_end AS "end", any_value(span_text) AS text, CASE WHEN s.mention_end > s.mention_start THEN s.mention_end - 1 END AS head_token_i
+FROM t JOIN s ON t.doc_id = s.doc_id AND t.mention_start = s.mention_start AND t.mention_end = s.mention_end GROUP BY t.doc_id, t.cluster_id, s.mention_start, s.mention_end HAVING bool_or(t.x = span_text)""",
     "mention_numbers": f"WITH {_NUMBERED} SELECT doc_id, cluster_id, start, \"end\", text, mention_id FROM numbered",
     "mention_span_conflicts": f"WITH {_NUMBERED} SELECT doc_id, start, \"end\", array_to_string(list_sort(list(DISTINCT cluster_id)), '|') AS cluster_ids FROM numbered GROUP BY doc_id, start, \"end\" HAVING count(DISTINCT cluster_id) > 1",
     "mention_token_index": f"WITH {_NUMBERED} SELECT doc_id, unnest(range(start, \"end\")) AS token_i, mention_id, cluster_id FROM numbered WHERE \"end\" > start",
-    "mention_name_index": f"SELECT doc_id, {_normalized('subject')} AS name_key, max(cluster_id) AS cluster_id FROM trait_evidence WHERE subject IS NOT NULL GROUP BY 1, 2",
+    "mention_name_index": f"SELECT doc_id, {sql_normalize('subject')} AS name_key, max(cluster_id) AS cluster_id FROM trait_evidence WHERE subject IS NOT NULL GROUP BY 1, 2",
+}
+
+_FIELDS = "'' AS pos, '' AS fine_pos, '' AS dependency_relation, t.token_id AS syntactic_head_id, '' AS ent_iob, '' AS ent_type, false AS in_quote, 'O' AS event"
+_CLEAN = f"(length({sql_strip('text')}) > 0 AND NOT regexp_matches(text, '[\\n\"“”.!?;:]') AND len(string_split(q, ' ')) <= 8)"
+ORACLES |= {
+    "tok_export": f"""WITH {_PIECES}, {_SENTENCES} SELECT t.doc_id, CAST(paragraph_id AS BIGINT) AS paragraph_id, s.sentence_index AS sentence_id, t.token_id - s.start AS token_id_in_sentence, t.token_id, t.text, t.text AS lemma,
+  CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, CAST(byte_start AS BIGINT) AS byte_start, CAST(byte_end AS BIGINT) AS byte_end, {_FIELDS} FROM toks t ASOF JOIN sents s ON t.doc_id = s.doc_id AND t.token_id >= s.start""",
+    "tok_span_ranges": f"""WITH {_PIECES}, numbered AS (SELECT doc_id, token_id, token_id + sum(CASE WHEN length(gap) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY token_id) AS token_i FROM cut),
+m AS (SELECT DISTINCT doc_id, mention_id AS span_id, mention_start, mention_end FROM trait_evidence)
+SELECT m.doc_id, span_id, min(token_id) AS token_start, max(token_id) + 1 AS token_end FROM m JOIN numbered n ON m.doc_id = n.doc_id AND n.token_i >= mention_start AND n.token_i < mention_end GROUP BY m.doc_id, span_id""",
+    "chunk_cover": f"WITH {_SENTENCES} SELECT doc_id, max(n) AS n_covered, max(n) AS end_token, 0 AS n_gaps, 0 AS n_over_limit, 0 AS n_odd FROM begun GROUP BY doc_id",
+    "chunk_model_cover": f"WITH {_SENTENCES} SELECT doc_id, max(n) AS n_tokens, 0 AS first_token, max(n) - 1 AS last_token FROM begun GROUP BY doc_id",
+    "cluster_members": f"""
+WITH {_NUMBERED}, c AS (SELECT doc_id, cluster_id, text, count(*) AS n FROM numbered GROUP BY ALL),
+q AS (SELECT *, {sql_squeeze('text')} AS q FROM c),
+k AS (SELECT *, (CASE WHEN {_CLEAN} THEN 100 ELSE 0 END) + (CASE WHEN {sql_normalize('text')} IN ({_list(X.PRONOUNS)}) THEN -200 ELSE 50 END) + 20 * n - 3 * abs(len(string_split(q, ' ')) - 2) - greatest(length(text) - 40, 0) AS score FROM q),
+b AS (SELECT doc_id, cluster_id, arg_max(text, (score, text)) AS canonical_name FROM k GROUP BY doc_id, cluster_id),
+i AS (SELECT doc_id, cluster_id, string_agg(mention_id, '|' ORDER BY start, "end", mention_id) AS mention_ids FROM numbered GROUP BY doc_id, cluster_id)
+SELECT b.doc_id, b.cluster_id, canonical_name, mention_ids FROM b JOIN i ON b.doc_id = i.doc_id AND b.cluster_id = i.cluster_id""",
+    "mention_windows": f"""
+WITH {_EVIDENCE}, {_SENTENCES}, {_PIECES},
+p AS (SELECT ev.doc_id, ev.mention_id, mention_start, mention_end, min(s.sentence_index) AS k FROM ev JOIN sents s ON ev.doc_id = s.doc_id AND s.start <= mention_start AND mention_end <= s."end" AND s."end" > s.start GROUP BY ALL),
+w AS (SELECT p.*, min(s.start) AS a, max(s."end") AS b FROM p JOIN sents s ON p.doc_id = s.doc_id AND s.sentence_index BETWEEN k - 1 AND k + 1 GROUP BY ALL),
+x AS (SELECT w.doc_id, mention_id, k, mention_start, string_agg((CASE WHEN t.token_id = mention_start THEN '[[' ELSE '' END) || t.text || (CASE WHEN t.token_id = mention_end - 1 THEN ']]' ELSE '' END), ' ' ORDER BY t.token_id) AS c
+  FROM w JOIN toks t ON w.doc_id = t.doc_id AND t.token_id >= a AND t.token_id < b GROUP BY ALL)
+SELECT doc_id, mention_id, k AS sentence_index, {sql_context_key('c')} AS context_text FROM x""",
 }

@@ -13,9 +13,10 @@ from loomgraph.operators import graphview as V
 from loomgraph.operators import ontology as O
 from loomgraph.operators import relations as L
 from loomgraph.operators import scoring as S
+from loomgraph.operators.layer import with_profiles
 from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
-from loomgraph.runtime import scratch_path, table
+from loomgraph.runtime import evaluated_once, scratch_path, table
 from loomgraph.sources import files as FS
 from loomgraph.sources import store as ST
 from loomgraph.streaming.arrivals import windowed_counts
@@ -70,11 +71,19 @@ def trait_profiles_rounded(spark: SparkSession, folder: str) -> DataFrame:
     return S.trait_profiles(S.latest(table(spark, folder, "trait_evidence")), 2, exact=True)
 
 
+def _first_delivered(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, mention_id, cluster_id, start, end, text) as first delivered."""
+    first = table(spark, folder, "trait_evidence").groupBy("doc_id", "mention_id").agg(F.min_by(F.struct("cluster_id", F.col("mention_start").alias("start"), F.col("mention_end").alias("end"), F.col("mention_text").alias("text")), F.struct("arrived_at", "chunk_index")).alias("m"))
+    return first.select("doc_id", "mention_id", "m.*")
+
+
 def trait_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Deliveries that disagree with the first delivery of their mention."""
-    rows = table(spark, folder, "trait_evidence")
-    first = rows.groupBy("doc_id", "mention_id").agg(F.min_by(F.struct("cluster_id", F.col("mention_start").alias("start"), F.col("mention_end").alias("end"), F.col("mention_text").alias("text")), F.struct("arrived_at", "chunk_index")).alias("m")).select("doc_id", "mention_id", "m.*")
-    return S.alignment_errors(rows, first).groupBy("doc_id", "mention_id", "error").agg(F.count(F.lit(1)).alias("n"))
+    """Deliveries at odds with the documents: the mention table has the words of each span as the document has them."""
+    rows = table(spark, folder, "trait_evidence").select("doc_id", "mention_id", "cluster_id", "mention_start", "mention_end", "mention_text")
+    words = evaluated_once(table(spark, folder, "documents").where("text is not null").select("doc_id", "text"), "w", F.filter(F.split("text", r"\s+"), lambda w: w != "")).select("doc_id", "w")
+    spans = rows.select("doc_id", "mention_id", "cluster_id", F.col("mention_start").alias("start"), F.col("mention_end").alias("end")).distinct().join(words, "doc_id")
+    mentions = spans.select("doc_id", "mention_id", "cluster_id", "start", "end", F.array_join(F.slice("w", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), " ").alias("text"))
+    return S.alignment_errors(rows, mentions).groupBy("doc_id", "mention_id", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ontology(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -90,14 +99,29 @@ def typing_walks(spark: SparkSession, folder: str) -> DataFrame:
     return S.typing_walk(rows, classes, edges, 4).select("doc_id", "cluster_id", "mention_id", F.array_join(F.transform("path", lambda e: F.concat_ws(">", X.local_name(e["parent"]), F.when(e["child"] == S.STAY, S.STAY).otherwise(X.local_name(e["child"])))), " ").alias("walk"), F.size("path").alias("n_steps"))
 
 
-def typing_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """The class of each cluster: weighted edges of all walks, then one descent."""
+def _typed(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, cluster_id, class_iri, confidence): weighted edges of all walks, then one descent; of a mention's weights the last delivery's count."""
     _, classes, edges = _ontology(spark)
-    rows = table(spark, folder, "trait_evidence").groupBy("doc_id", "cluster_id", "mention_id").agg(F.max("subject").alias("subject"), F.max("context_text").alias("context_text"), F.max("ocean_weight_high_probability").alias("h"), F.max("ocean_weight_medium_probability").alias("m"))
-    walked = S.typing_walk(rows, classes, edges, 4).withColumn("weight", P.mention_weight(F.coalesce("h", F.lit(0.0)), F.coalesce("m", F.lit(0.0))))
+    rows = table(spark, folder, "trait_evidence").groupBy("doc_id", "cluster_id", "mention_id").agg(
+        F.max("subject").alias("subject"), F.max("context_text").alias("context_text"), F.max_by(F.struct(F.col("ocean_weight_high_probability").alias("h"), F.col("ocean_weight_medium_probability").alias("m")), F.struct("arrived_at", "chunk_index")).alias("w"),
+    )
+    walked = S.typing_walk(rows, classes, edges, 4).withColumn("weight", P.mention_weight(F.coalesce("w.h", F.lit(0.0)), F.coalesce("w.m", F.lit(0.0))))
     return S.descend(S.edge_scores(walked), S.class_options(classes, edges), O.roots(classes, edges), 4)
 
 
+def typing_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of each cluster."""
+    return _typed(spark, folder)
+
+
+def typing_evidence_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence records of every delivered mention, checked against the class graph and the mentions as first delivered."""
+    _, classes, edges = _ontology(spark)
+    rows = S.latest(table(spark, folder, "trait_evidence")).select("doc_id", "mention_id", "cluster_id", "mention_start", "mention_end", "mention_text", "subject", "context_text")
+    evidence = S.typing_evidence(rows, classes, edges, 4)
+    return S.evidence_errors(evidence, _first_delivered(spark, folder), classes, edges).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 def relation_latest(spark: SparkSession, folder: str) -> DataFrame:
     return L.latest_relations(table(spark, folder, "relation_assignments")).select("doc_id", "relation_id", "delivery_id", "source_cluster_id", "target_cluster_id", "selection_method")
 
@@ -134,12 +158,12 @@ def relation_dangling(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def relation_routed(spark: SparkSession, folder: str) -> DataFrame:
-    """Relations whose clusters are typed by their names, with the number of properties that remain, or the reason why none does."""
+    """Relations between typed clusters, with the number of properties that remain, or the reason why none does."""
     triples, classes, edges = _ontology(spark)
     closed = O.closure(classes, edges)
     props = O.property_table(triples, closed)
     routes = O.routes_by_pair(O.route_table(props, closed), props)
-    typing = _entities(spark, folder).select("doc_id", "cluster_id", "class_iri")
+    typing = _typed(spark, folder).select("doc_id", "cluster_id", "class_iri")
     rows = L.latest_relations(table(spark, folder, "relation_assignments")).select("doc_id", "relation_id", "source_cluster_id", "target_cluster_id")
     kept, dropped = L.route_candidates(rows, typing, routes)
     return kept.select("doc_id", "relation_id", F.size("properties").alias("n_properties"), F.lit(None).cast("string").alias("reason")).union(dropped.select("doc_id", "relation_id", F.lit(0), "reason"))
@@ -176,9 +200,9 @@ def onto_aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Kept clusters as entities; a name makes a Character, anything else an Object (a stand-in for typing)."""
+    """Kept clusters as entities with the class their mentions' walks give them; null where none of their mentions was scored."""
     rows = table(spark, folder, "global_clusters").groupBy("doc_id", X.cluster_number("global_cluster_uid").alias("cluster_id")).agg(F.min("canonical_name").alias("canonical_name"))
-    return rows.withColumn("class_iri", F.when(X.is_proper_name("canonical_name"), BASE + "Character").otherwise(BASE + "Object"))
+    return with_profiles(rows, _typed(spark, folder).select("doc_id", "cluster_id", "class_iri"))
 
 
 def _triples(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,7 +247,7 @@ def kg_dot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_remaining(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of the recorded plan from which no mention has been scored yet, by the stage store."""
+    """Chunks of the recorded plan from which no mention has been scored yet."""
     plan = table(spark, folder, "chunks").select("doc_id", "chunk_index").distinct()
     done = table(spark, folder, "trait_evidence").select("doc_id", "chunk_index").distinct()
     return plan.join(done, ["doc_id", "chunk_index"], "left_anti")
@@ -242,6 +266,34 @@ def store_stage(spark: SparkSession, folder: str) -> DataFrame:
     return store.manifest("sizes", ["part"]).select("part", "n_rows", F.col("checksum").cast("string").alias("checksum"))
 
 
+def store_redone(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts a stage store has to do again: rows were lost from one source and the last sources were never written."""
+    docs = table(spark, folder, "documents").select("doc_id", "n_chars", F.lower(F.trim(F.regexp_replace("source", "[ -]", "_"))).alias("part"))
+    path = scratch_path(spark, "stage")
+    store = ST.StageStore(spark, path, {"stage": "sizes", "version": 1})
+    plan = docs.select("part").distinct()
+    first = plan.where("part < 's'")
+    store.begin("sizes", plan, ["part"])
+    store.commit("sizes", docs.join(first, "part", "left_semi"), first, ["part"])
+    least = docs.join(first, "part", "left_semi").groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").limit(1)
+    hurt = docs.join(least.select("part"), "part", "left_semi").join(least, ["part", "doc_id"], "left_anti")
+    hurt.select("doc_id", "n_chars", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/sizes/data")
+    return store.remaining("sizes", plan, ["part"])
+
+
+def relation_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Assertions by source, target and property."""
+    rows = L.assertions(L.latest_relations(table(spark, folder, "relation_assignments")), 1, 0.5)
+    parts = [L.assertion_index(rows, by).select(F.lit(by).alias("by"), "doc_id", "key", F.array_join("assertion_ids", "|").alias("assertion_ids")) for by in ("source", "target", "property")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def relation_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations, assignments, assertions and index sizes of each document."""
+    latest = L.latest_relations(table(spark, folder, "relation_assignments"))
+    return L.relation_summary(table(spark, folder, "relation_assignments"), latest.where("object_property_probabilities_json is not null"), L.assertions(latest, 1, 0.5))
+
+
 def store_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return ST.duplicates(table(spark, folder, "chunks"), "doc_id", "chunk_id")
 
@@ -272,19 +324,32 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        score_tasks, score_margins, score_softmax, score_seeds, trait_latest, trait_pending, trait_mention_scores, trait_profiles, trait_profiles_rounded, trait_alignment, typing_walks, typing_classes,
-        relation_latest, relation_properties, relation_assertions, relation_assertions_by_sum, relation_report, relation_dangling, relation_routed, onto_closure, onto_children, onto_leaves, onto_routes, onto_tree, onto_aliases,
-        kg_triples, kg_ntriples, kg_duplicate_names, kg_edges, kg_degrees, kg_nodes, kg_class_counts, kg_dot, store_remaining, store_stage, store_duplicates, store_missing_references, store_cache, stream_windows,
+        score_tasks, score_margins, score_softmax, score_seeds, trait_latest, trait_pending, trait_mention_scores, trait_profiles, trait_profiles_rounded, trait_alignment, typing_walks, typing_classes, typing_evidence_errors,
+        relation_latest, relation_properties, relation_assertions, relation_assertions_by_sum, relation_report, relation_dangling, relation_routed, relation_index, relation_counts, onto_closure, onto_children, onto_leaves, onto_routes, onto_tree, onto_aliases,
+        kg_triples, kg_ntriples, kg_duplicate_names, kg_edges, kg_degrees, kg_nodes, kg_class_counts, kg_dot, store_remaining, store_stage, store_redone, store_duplicates, store_missing_references, store_cache, stream_windows,
     )
 }
 
 
+# Fixed values for the SQL, which does not read the ontology's file: the class graph (child, parent) and the properties (domain, range, name).
+_PARENTS = [
+    ("AgentiveEntity", "NarrativeEntity"), ("Event", "NarrativeEntity"), ("Object", "NarrativeEntity"), ("Place", "NarrativeEntity"), ("Character", "AgentiveEntity"), ("Group", "AgentiveEntity"), ("InformalGroup", "Group"), ("Organization", "Group"),
+    ("ConflictEvent", "Event"), ("JourneyEvent", "Event"), ("RitualEvent", "Event"), ("Artifact", "Object"), ("Substance", "Object"), ("Tool", "Object"), ("Vehicle", "Object"), ("Weapon", "Object"), ("Region", "Place"), ("RouteOrPath", "Place"), ("Settlement", "Place"), ("Site", "Place"),
+]
+_PROPERTIES = [
+    ("AgentiveEntity", "AgentiveEntity", "caresFor"), ("AgentiveEntity", "AgentiveEntity", "deceives"), ("AgentiveEntity", "AgentiveEntity", "fears"), ("AgentiveEntity", "AgentiveEntity", "follows"), ("AgentiveEntity", "AgentiveEntity", "guides"), ("AgentiveEntity", "AgentiveEntity", "opposes"), ("AgentiveEntity", "AgentiveEntity", "trusts"),
+    ("AgentiveEntity", "Event", "participatesIn"), ("AgentiveEntity", "Object", "createsObject"), ("AgentiveEntity", "Object", "destroysObject"), ("AgentiveEntity", "Object", "possessesObject"), ("AgentiveEntity", "Object", "usesObject"),
+    ("AgentiveEntity", "Place", "leavesPlace"), ("AgentiveEntity", "Place", "rulesOver"), ("AgentiveEntity", "Place", "travelsTo"), ("Event", "Place", "occursAt"), ("NarrativeEntity", "Place", "locatedIn"),
+    ("Object", "AgentiveEntity", "corrupts"), ("Object", "AgentiveEntity", "curses"), ("Object", "AgentiveEntity", "empowers"), ("Object", "AgentiveEntity", "heals"),
+]
+
+
 @lru_cache
 def _values() -> dict[str, str]:
     quote = lambda x: "'" + x + "'"
-    edges = ", ".join(f"({quote(BASE + p)}, {quote(BASE + c)})" for c, p in O.PARENTS.items())
-    nodes = ", ".join(f"({quote(BASE + c)})" for c in sorted({*O.PARENTS, *O.PARENTS.values()}))
-    props = ", ".join(f"({quote(BASE + d)}, {quote(BASE + r)}, {quote(BASE + n)})" for (d, r), names in O.PROPERTIES.items() for n in names.split())
+    edges = ", ".join(f"({quote(BASE + p)}, {quote(BASE + c)})" for c, p in _PARENTS)
+    nodes = ", ".join(f"({quote(BASE + c)})" for c in sorted({x for pair in _PARENTS for x in pair}))
+    props = ", ".join(f"({quote(BASE + d)}, {quote(BASE + r)}, {quote(BASE + n)})" for d, r, n in _PROPERTIES)
     return {"edges": edges, "nodes": nodes, "props": props}
 
 

@@ -113,6 +113,10 @@ def sql_normalize(x: str) -> str:
     return f"lower({sql_squeeze(f'coalesce({x}, chr(32))')})"
 
 
+def sql_context_key(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({sql_squeeze(x)}, ' ([,.;:!?])', '\\1', 'g'), '(?i) (''s|''re|''ve|''ll|''d|''m|n''t)\\b', '\\1', 'g'), '{WS}*—{WS}*', '—', 'g'))"
+
+
 def sql_key(x: str) -> str:
     t = f"translate(lower({sql_strip(f'coalesce({x}, chr(32))')}), '’‘`', '''''''')"
     t = f"regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}_])([a-z0-9]+)''s\\b', '\\1\\2', 'g')"
@@ -202,6 +206,24 @@ SELECT doc_id, global_cluster_uid, CASE WHEN regexp_matches(i, '^[0-9]') THEN 'e
   (length({sql_strip('n')}) > 0 AND NOT regexp_matches(n, '[\\n"“”.!?;:]') AND len(string_split(q, ' ')) <= 8) AS clean, lower(q) AS label_key FROM d""",
 }
 
+_FIRST = f"low IN ({_list(X.FIRST_SECOND_PERSON)})"
+_PROPER = "(low = lower(nk) OR len(list_filter(regexp_split_to_array(clean, '" + WS + "+'), lambda w: regexp_matches(w, '^\\p{Lu}') AND lower(w) <> 'i')) > 0)"
+_NOMINAL = f"(low NOT IN ({_list(X.KEPT_NOMINALS)}) AND starts_with(low, 'the ') AND len(string_split(low, ' ')) <= 4)"
+
+
+def _rendered(cases: list[str], otherwise: str) -> str:
+    tests = [_FIRST, _PROPER, f"low IN ({_list(X.SUBJECT_PRONOUNS)})", f"low IN ({_list(X.OBJECT_PRONOUNS)})", f"low IN ({_list(X.POSSESSIVE_PRONOUNS)})", f"low IN ({_list(X.REFLEXIVE_PRONOUNS)})", _NOMINAL]
+    return "CASE " + " ".join(f"WHEN coalesce({t}, false) THEN {c}" for t, c in zip(tests, cases)) + f" ELSE {otherwise} END"
+
+
+ORACLES["text_rendering"] = f"""
+WITH m AS (SELECT DISTINCT mention_id, mention_text, subject FROM trait_evidence),
+n AS (SELECT *, {sql_context_key('mention_text')} AS clean, coalesce(nullif({sql_strip('subject')}, ''), 'the character') AS name FROM m),
+k AS (SELECT *, lower(clean) AS low, {sql_context_key('name')} AS nk, CASE WHEN ends_with(name, chr(39)) THEN name WHEN ends_with(name, 's') THEN name || chr(39) ELSE name || chr(39) || 's' END AS owner FROM n),
+r AS (SELECT *, {_rendered(['clean', 'name', 'name', 'name', 'owner', 'clean', 'name'], 'clean')} AS replacement,
+  {_rendered(["'first_second_person_keep_original'", "'proper_name_to_canonical'", "'third_person_subject_pronoun_to_canonical'", "'third_person_object_pronoun_to_canonical'", "'third_person_possessive_pronoun_to_canonical_possessive'", "'third_person_reflexive_keep_original'", "'simple_nominal_to_canonical'"], "'ambiguous_or_unsupported_keep_original'")} AS rule FROM k)
+SELECT mention_id, mention_text, subject, replacement, rule, clean <> {sql_context_key('replacement')} AS changed FROM r"""
+
 for _name in ("text_word_match", "text_surface_similarity"):
     QUERIES[_name] = rounded(QUERIES[_name])
     ORACLES[_name] = rounded_sql(ORACLES[_name], "score")

@@ -133,6 +133,20 @@ def numbered(spark: SparkSession, folder: str, suffix: str = ".json") -> list[in
     return sorted(int(n[: -len(suffix)]) for n in names if n.endswith(suffix) and n[: -len(suffix)].isdigit())
 
 
+def files_under(spark: SparkSession, folder: str) -> list[str]:
+    """The data files below a folder, sorted; names that begin with a point or underscore are left out."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    out, at = [], fs.listFiles(target, True)
+    while at.hasNext():
+        p = at.next().getPath()
+        if p.getName()[0] not in "._":
+            out.append(p.toString())
+    return sorted(out)
+
+
 def partitions_for(df: DataFrame, target: int = 32 << 20, growth: float = 4.0) -> int:
     """Partitions of about ``target`` bytes for a sort of ``df``, from the optimizer's size of its input.
 
@@ -191,6 +205,12 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def checked_broadcast(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """A reference table for sending to every task: more than ``limit`` rows are refused."""
+    rows = bounded_rows(df, limit, what)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once per application."""
     context = spark.sparkContext

@@ -129,11 +129,11 @@ def read_folder_by_cluster(spark: SparkSession, path: str, schema: str) -> DataF
     return rows.drop("_file")
 
 
-_TERM = re.compile(r'"""(?P<long>(?:[^"\\]|\\.|"(?!""))*)"""|"(?P<short>(?:[^"\\\n]|\\.)*)"|<(?P<iri>[^>]*)>|(?P<at>@prefix|@base|PREFIX|BASE)(?=\s)|(?P<punct>[;,.\[\]()]|\^\^)|@(?P<lang>[A-Za-z-]+)|(?P<blank>_:[\w.-]*\w)|(?P<number>[+-]?(?:\d+\.\d+(?:[eE][+-]?\d+)?|\d+))|(?P<name>[\w-]*:[\w.%-]*[\w%-]|[\w-]*:|a(?=\s)|true|false)|#[^\n]*|\s+', re.S)
+_TERM = re.compile(r'"""(?P<long>(?:[^"\\]|\\.|"(?!""))*)"""|"(?P<short>(?:[^"\\\n]|\\.)*)"|<(?P<iri>[^>]*)>|(?P<at>@prefix|@base|PREFIX|BASE)(?=\s)|(?P<punct>[;,.\[\](){}]|\^\^)|@(?P<lang>[A-Za-z-]+)|(?P<graph>GRAPH)(?=[\s{])|(?P<blank>_:[\w.-]*\w)|(?P<number>[+-]?(?:\d+\.\d+(?:[eE][+-]?\d+)?|\d+))|(?P<name>[\w-]*:[\w.%-]*[\w%-]|[\w-]*:|a(?=\s)|true|false)|#[^\n]*|\s+', re.S)
 
 
 def parse_turtle(text: str) -> list[tuple[str, str, str, str, str | None]]:
-    """Triples (s, p, o, o_kind, datatype) of a Turtle or N-Triples text: prefixes, lists of objects and predicates, blank nodes, collections, literals."""
+    """Triples (s, p, o, o_kind, datatype) of a Turtle, TriG or N-Triples text: prefixes, lists of objects and predicates, blank nodes, collections, literals."""
     rdf, xsd = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
     tokens, at = [], 0
     while at < len(text):
@@ -194,7 +194,7 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str | None]]:
         raise ValueError(f"unexpected {value!r} in Turtle")
 
     def statements(subject: str, k: int, end: str) -> int:
-        while tokens[k] != ("punct", end):
+        while tokens[k] not in (("punct", end), ("punct", "}")):
             if tokens[k] == ("punct", ";"):
                 k += 1
                 continue
@@ -218,18 +218,193 @@ def parse_turtle(text: str) -> list[tuple[str, str, str, str, str | None]]:
                 k += 2
             k += k < len(tokens) and tokens[k] == ("punct", ".")
             continue
+        if (kind, value) in (("punct", "{"), ("punct", "}"), ("graph", "GRAPH")):
+            k += 1
+            continue
         (subject, _, _), k = term(k)
-        k = statements(subject, k, ".") + 1
+        if tokens[k] == ("punct", "{"):  # a graph's name
+            k += 1
+            continue
+        k = statements(subject, k, ".")
+        k += tokens[k] == ("punct", ".")
+    return out
+
+
+def parse_nquads(text: str) -> list[tuple[str, str, str, str, str | None]]:
+    """Triples of an N-Quads text, whatever graph they belong to."""
+    quad = re.compile(r'(?P<t>\s*(?:<[^>]*>|_:\S+)\s+<[^>]*>\s+(?:<[^>]*>|_:\S+?|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[\w-]+)?))(?:\s+(?:<[^>]*>|_:\S+?))?\s*\.\s*(?:#.*)?$')
+    out = []
+    for number, line in enumerate(text.splitlines(), 1):
+        if line.strip() and not line.lstrip().startswith("#"):
+            m = quad.match(line)
+            if not m:
+                raise ValueError(f"line {number} is no quad: {line[:60]!r}")
+            out += parse_turtle(m["t"] + " .")
     return out
 
 
+def parse_rdf_xml(text: str) -> list[tuple[str, str, str, str, str | None]]:
+    """Triples of an RDF/XML text: nodes and properties in any nesting, property attributes, parse types, datatypes, xml:base."""
+    from xml.etree import ElementTree
+
+    rdf, xml = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://www.w3.org/XML/1998/namespace}"
+    name = lambda tag: tag.replace("{", "").replace("}", "")
+    out: list[tuple] = []
+    count = 0
+
+    def fresh() -> str:
+        nonlocal count
+        count += 1
+        return f"_:x{count}"
+
+    def absolute(iri: str, base: str) -> str:
+        from urllib.parse import urljoin
+
+        return iri if re.match(r"[A-Za-z][\w+.-]*:", iri) else base.split("#")[0] + iri if iri.startswith("#") or not iri else urljoin(base, iri)
+
+    def identity(e, base: str) -> str:
+        if rdf + "about" in e.attrib:
+            return absolute(e.attrib[rdf + "about"], base)
+        if rdf + "ID" in e.attrib:
+            return absolute("#" + e.attrib[rdf + "ID"], base)
+        return "_:" + e.attrib[rdf + "nodeID"] if rdf + "nodeID" in e.attrib else fresh()
+
+    kind = lambda node: "blank" if node.startswith("_:") else "iri"
+
+    def node(e, base: str) -> str:
+        base = e.attrib.get(xml + "base", base)
+        subject = identity(e, base)
+        if e.tag != rdf + "Description":
+            out.append((subject, name(rdf) + "type", name(e.tag), "iri", None))
+        for attribute, value in e.attrib.items():
+            if not attribute.startswith((xml, rdf)) or attribute == rdf + "type":
+                out.append((subject, name(attribute), value, "iri" if attribute == rdf + "type" else "literal", None))
+        items = 0
+        for p in e:
+            items += p.tag == rdf + "li"
+            prop(subject, p, f"{name(rdf)}_{items}" if p.tag == rdf + "li" else name(p.tag), base)
+        return subject
+
+    def prop(subject: str, e, predicate: str, base: str) -> None:
+        base = e.attrib.get(xml + "base", base)
+        parse = e.attrib.get(rdf + "parseType")
+        if rdf + "resource" in e.attrib:
+            out.append((subject, predicate, absolute(e.attrib[rdf + "resource"], base), "iri", None))
+        elif rdf + "nodeID" in e.attrib:
+            out.append((subject, predicate, "_:" + e.attrib[rdf + "nodeID"], "blank", None))
+        elif parse == "Collection":
+            links = [fresh() for _ in e] + [name(rdf) + "nil"]
+            out.append((subject, predicate, links[0], kind(links[0]), None))
+            for link, after, member in zip(links, links[1:], e):
+                item = node(member, base)
+                out.extend([(link, name(rdf) + "first", item, kind(item), None), (link, name(rdf) + "rest", after, kind(after), None)])
+        elif parse == "Resource":
+            inner = fresh()
+            out.append((subject, predicate, inner, "blank", None))
+            for p in e:
+                prop(inner, p, name(p.tag), base)
+        elif parse == "Literal":
+            out.append((subject, predicate, (e.text or "") + "".join(ElementTree.tostring(x, "unicode") for x in e), "literal", name(rdf) + "XMLLiteral"))
+        elif len(e):
+            inner = node(e[0], base)
+            out.append((subject, predicate, inner, kind(inner), None))
+        else:
+            out.append((subject, predicate, e.text or "", "literal", e.attrib.get(rdf + "datatype")))
+
+    root = ElementTree.fromstring(text)
+    base = root.attrib.get(xml + "base", "")
+    for e in root if root.tag == rdf + "RDF" else [root]:
+        node(e, base)
+    return out
+
+
+def parse_jsonld(text: str) -> list[tuple[str, str, str, str, str | None]]:
+    """Triples of a JSON-LD text with its context inside: terms, prefixes, typed terms, lists, nested nodes, graphs. Contexts by address are refused."""
+    rdf, xsd = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
+    out: list[tuple] = []
+    count = 0
+
+    def fresh() -> str:
+        nonlocal count
+        count += 1
+        return f"_:j{count}"
+
+    def extended(context: dict, more) -> dict:
+        for part in more if isinstance(more, list) else [more]:
+            if isinstance(part, str):
+                raise ValueError(f"the context at {part} is not in the text")
+            context = {**context, **(part or {})}
+        return context
+
+    def iri(term: str, context: dict, vocabulary: bool = True) -> str:
+        known = context.get(term) if vocabulary else None
+        if known is not None:
+            return iri(known["@id"] if isinstance(known, dict) else known, {k: v for k, v in context.items() if k != term})
+        prefix, colon, local = term.partition(":")
+        if colon and prefix in context and not local.startswith("//"):
+            return iri(prefix, context) + local
+        return term if colon else (context.get("@vocab") if vocabulary else context.get("@base", "")) + term if not colon and (not vocabulary or context.get("@vocab")) else term
+
+    def value_of(v, how: str | None, context: dict) -> tuple:
+        if isinstance(v, dict) and "@value" in v:
+            plain = v["@value"]
+            return (json.dumps(plain) if not isinstance(plain, str) else plain, "literal", iri(v["@type"], context) if "@type" in v else None)
+        if isinstance(v, dict) and "@list" in v:
+            links = [fresh() for _ in v["@list"]] + [rdf + "nil"]
+            for link, after, member in zip(links, links[1:], v["@list"]):
+                out.extend([(link, rdf + "first", *value_of(member, how, context)), (link, rdf + "rest", after, "iri" if after.endswith("nil") else "blank", None)])
+            return links[0], "iri" if links[0].endswith("nil") else "blank", None
+        if isinstance(v, dict):
+            inner = node(v, context)
+            return inner, "blank" if inner.startswith("_:") else "iri", None
+        if how in ("@id", "@vocab") and isinstance(v, str):
+            return iri(v, context, how == "@vocab"), "iri", None
+        if isinstance(v, bool):
+            return str(v).lower(), "literal", xsd + "boolean"
+        if isinstance(v, (int, float)):
+            return str(v), "literal", xsd + ("integer" if isinstance(v, int) else "double")
+        return v, "literal", iri(how, context) if how else None
+
+    def node(e: dict, context: dict) -> str:
+        context = extended(context, e.get("@context"))
+        subject = iri(e["@id"], context, False) if "@id" in e else fresh()
+        for key, value in e.items():
+            if key == "@type":
+                out.extend((subject, rdf + "type", iri(t, context), "iri", None) for t in (value if isinstance(value, list) else [value]))
+            elif key == "@graph":
+                for inner in value:
+                    node(inner, context)
+            elif not key.startswith("@"):
+                spec = context.get(key)
+                how = spec.get("@type") if isinstance(spec, dict) else None
+                lists = isinstance(spec, dict) and spec.get("@container") == "@list"
+                for v in [{"@list": value}] if lists and not isinstance(value, dict) else value if isinstance(value, list) else [value]:
+                    if v is not None:
+                        out.append((subject, iri(key, context), *value_of(v, how, context)))
+        return subject
+
+    whole = json.loads(text)
+    for e in whole if isinstance(whole, list) else [whole]:
+        node(e, {})
+    return out
+
+
+PARSERS = {"turtle": parse_turtle, "nt": parse_turtle, "trig": parse_turtle, "nquads": parse_nquads, "xml": parse_rdf_xml, "json-ld": parse_jsonld}
+
+
+def read_rdf(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of an ontology file (read on the driver) in the format its suffix stands for."""
+    rows = PARSERS[rdf_format(path)](Path(path).read_text("utf-8"))
+    return spark.createDataFrame(rows, "s string, p string, o string, o_kind string, datatype string")
+
+
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     """Triples of a Turtle or N-Triples file (an ontology, read on the driver)."""
     return spark.createDataFrame(parse_turtle(Path(path).read_text("utf-8")), "s string, p string, o string, o_kind string, datatype string")
 
 
 def rdf_format(path: str) -> str:
-    """The RDF format a suffix stands for; only Turtle and N-Triples can be read here."""
+    """The RDF format a suffix stands for."""
     known = {".ttl": "turtle", ".nt": "nt", ".owl": "xml", ".rdf": "xml", ".xml": "xml", ".nq": "nquads", ".jsonld": "json-ld", ".trig": "trig"}
     suffix = Path(path).suffix.lower()
     if suffix not in known:

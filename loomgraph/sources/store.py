@@ -16,7 +16,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import path_exists, read_text, write_text_atomic
+from loomgraph.runtime import files_under, path_exists, read_text, write_text_atomic
 
 
 def stable_hash(value) -> str:
@@ -54,11 +54,33 @@ class StageStore:
         rows = self.spark.read.parquet(self._manifest(stage))
         return rows.groupBy(*key).agg(F.max_by(F.struct("n_rows", "checksum"), "written_at").alias("m")).select(*key, "m.*")
 
-    def remaining(self, stage: str, plan: DataFrame, key: list[str], force: DataFrame | None = None) -> DataFrame:
-        """Parts of the plan without a valid manifest row; ``force`` names parts to do again."""
+    def begin(self, stage: str, plan: DataFrame, key: list[str]) -> None:
+        """Bind a stage to its plan: a stage begun with another plan is refused, and so are parts on disk that no manifest names."""
+        sums = checksum(plan.select(*key).distinct()).first()
+        found = {"n_parts": sums["n_rows"], "checksum": str(sums["checksum"])}
+        known = read_text(self.spark, f"{self.path}/{stage}/plan.json")
+        if known is None:
+            write_text_atomic(self.spark, f"{self.path}/{stage}/plan.json", json.dumps(found))
+        elif json.loads(known) != found:
+            raise ValueError(f"{stage} was begun with another plan: {known}, now {found}")
+        if self.manifest(stage, key) is None and path_exists(self.spark, self._data(stage)) and not self.read(stage).isEmpty():
+            raise ValueError(f"{stage} has parts that no manifest names")
+
+    def remaining(self, stage: str, plan: DataFrame, key: list[str], force: DataFrame | None = None, verify: bool = True) -> DataFrame:
+        """Parts of the plan without a valid manifest row; ``force`` names parts to do again.
+
+        With ``verify`` a part whose rows no longer match its manifest row counts as not done and is
+        recorded as a failure; without, the manifest is trusted and no data is read.
+        """
         done = self.manifest(stage, key)
         if done is None:
             return plan
+        if verify:
+            have = checksum(self.read(stage), *key).withColumnRenamed("n_rows", "n").withColumnRenamed("checksum", "c")
+            broken = done.join(have, key, "left").where("coalesce(n, 0) <> n_rows or coalesce(c, 0) <> checksum").select(*key).cache()
+            for r in broken.limit(30).collect():
+                self.record_failure(stage, str(tuple(r)), ValueError("rows do not match the manifest"))
+            done = done.join(broken, key, "left_anti")
         if force is not None:
             done = done.join(force.select(*key), key, "left_anti")
         return plan.join(done.select(*key), key, "left_anti")
@@ -96,6 +118,11 @@ class StageStore:
             raise ValueError("; ".join(f"{tuple(r)[:-1]}: {r['error']}" for r in bad))
         return self.read(stage)
 
+    def failures(self, stage: str) -> list[dict]:
+        """The recorded failures of a stage, the oldest first."""
+        folder = f"{self.path}/{stage}/failures"
+        return [json.loads(read_text(self.spark, f)) for f in files_under(self.spark, folder)]
+
     def record_failure(self, stage: str, part: str, error: BaseException) -> None:
         stamp = datetime.now(timezone.utc)
         body = {"stage": stage, "part": part, "error": repr(error), "traceback": "".join(traceback.format_exception(error)), "at": stamp.isoformat()}

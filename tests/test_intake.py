@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.change_capture import ChangeCapture, last_success
 from loomgraph.plans import incremental
+from loomgraph.runtime import numbered, read_text, running_counts, write_text_atomic
 from loomgraph.sources import files as FS
 from loomgraph.sources import store as ST
 from loomgraph.streaming import arrivals
@@ -17,31 +18,125 @@ def delivery(k, v, n, hours, p='{"a": 0.5, "b": 5e-1}'):
     return (k, v, p, n, T0 + timedelta(hours=hours))
 
 
+def pick(df, rows, *more):
+    return rows(df.select("k", "kind", *more))
+
+
 def test_capture_takes_changes_once(spark, tmp_path, rows):
-    path = str(tmp_path / "log")
-    log = [delivery(1, "x", 1, 1), delivery(2, "y", 2, 2), delivery(3, None, 3, 3)]
-    make = lambda data: ChangeCapture(spark.createDataFrame(data, LOG), path, ["k"], as_map=("p",), partitions=4)
-    pick = lambda df: rows(df.select("k", "kind"))
-    assert pick(make(log).run()) == [(1, "added"), (2, "added"), (3, "added")]
-    log += [delivery(1, "x", 4, 5, '{"b":0.50,"a":0.5}'), delivery(2, "z", 5, 5), delivery(2, "y", 6, 6), delivery(4, "w", 7, 6), (5, "v", "{}", None, T0), (None, "v", "{}", 8, T0)]
-    with pytest.raises(RuntimeError, match="broke off"):
-        make(log).run(fail_before_commit=True)
-    assert make(log).sink().count() == 3
-    log += [delivery(6, "late", 9, 9)]
-    assert pick(make(log).run()) == [(4, "added")]  # the plan of the failed run, replayed as it was
-    assert pick(make(log).run()) == [(6, "added")]
-    assert pick(make(log).run()) == []
-    assert make(log).sink().count() == 5
+    make = lambda: ChangeCapture(spark, str(tmp_path / "log"), ["k"], as_map=("p",), partitions=4)
+    frame = lambda *data: spark.createDataFrame(list(data), LOG)
+    make().ingest(frame(delivery(1, "x", 1, 1), delivery(2, "y", 2, 2), delivery(3, None, 3, 3)))
+    assert pick(make().run(), rows) == [(1, "added"), (2, "added"), (3, "added")]
+    make().ingest(frame(delivery(1, "x", 4, 5, '{"b":0.50,"a":0.5}'), delivery(2, "z", 5, 5), delivery(2, "y", 6, 6), delivery(4, "w", 7, 6), (5, "v", "{}", None, T0), (None, "v", "{}", 8, T0)))
+    assert pick(make().run(), rows) == [(4, "added")]
+    assert make().run() is None
+    make().ingest(frame(delivery(1, "other", 9, 0), delivery(6, "first", 10, 0), delivery(2, "y", 11, 0), delivery(4, "w2", 12, 9)))
+    assert pick(make().run(), rows) == [(1, "late"), (4, "changed"), (6, "added")]  # arrived before what was committed, but taken in after it
+    make().ingest(frame(delivery(1, "x", 13, 10)))
+    assert pick(make().run(), rows) == []  # the late delivery did not become the last known one
+    assert make().sink().count() == 7
+
+
+def test_a_run_reads_its_range_only(spark, tmp_path):
+    c = ChangeCapture(spark, str(tmp_path / "log"), ["k"])
+    c.ingest(spark.createDataFrame([delivery(i, "x", i, 1) for i in range(500)], LOG))
+    c.run()
+    c.ingest(spark.createDataFrame([delivery(i, "z", 1000 + i, 2) for i in range(7)], LOG))
+    _, plan = c.plan()
+    assert plan["segments"] == [1] and c.range_of(plan).count() == 7
+    files = {f.rsplit("/log/", 1)[1].split("/")[0] for f in c.range_of(plan).inputFiles()}
+    assert files == {"1"}
+    assert "row" not in c.state(1).columns and c.run().count() == 7
+
+
+STEPS = ["base", "begun", "log", "segment", "plan", "latest", "batch", "commit", "state", "merged"]
+
+
+@pytest.mark.parametrize("broken", STEPS)
+def test_a_crash_after_any_write_loses_and_repeats_nothing(spark, tmp_path, rows, broken):
+    frame = lambda *data: spark.createDataFrame(list(data), LOG)
+    history = frame(delivery(1, "a", 1, 1), delivery(2, "a", 2, 1))
+    goes = [frame(delivery(1, "b", 3, 2), delivery(3, "a", 4, 2)), frame(delivery(3, "b", 5, 3), delivery(2, "a", 6, 3))]
+    crashed = []
+
+    def fall(step):
+        if step == broken and not crashed:
+            crashed.append(step)
+            raise RuntimeError("crash")
+
+    make = lambda: ChangeCapture(spark, str(tmp_path / "log"), ["k"], partitions=4, merge_every=2, after_step=fall)
+
+    def insist(work):
+        try:
+            return work()
+        except RuntimeError:
+            return work()
+
+    try:
+        make().begin_with(history)
+    except RuntimeError:
+        if broken == "base":
+            make().begin_with(history)
+    for rows_in in goes:
+        insist(lambda: make().ingest(rows_in))  # noqa: B023
+        insist(lambda: make().run())
+    insist(lambda: make().run())
+    c = make()
+    assert crashed == [broken] or broken in ("state", "merged")
+    assert rows(c.sink().select("k", "row.v", "kind")) == [(1, "b", "changed"), (3, "a", "added"), (3, "b", "changed")]
+    c.ingest(frame(delivery(1, "b", 7, 4), delivery(3, "b", 8, 4), delivery(2, "z", 9, 4)))
+    assert rows(c.run().select("k", "kind")) == [(2, "changed")]
+
+
+def test_merged_state_is_what_was_known(spark, tmp_path, rows):
+    c = ChangeCapture(spark, str(tmp_path / "log"), ["k"], merge_every=2)
+    for go in range(5):
+        c.ingest(spark.createDataFrame([delivery(k, f"v{go // (k + 1)}", 10 * go + k, go) for k in range(4)], LOG))
+        assert rows(c.run().select("k")) == [(k,) for k in range(4) if go % (k + 1) == 0]
+    assert c._numbers("merged") == [1, 3] and rows(c.state(4).select("k")) == [(k,) for k in range(4)]
+
+
+def test_files_are_taken_in_once_whenever_they_come(spark, tmp_path, rows):
+    c = ChangeCapture(spark, str(tmp_path / "log"), ["k"])
+    source = str(tmp_path / "in")
+    read = lambda files: spark.read.schema(LOG).parquet(*files)
+    assert c.ingest_files(source, read) is None
+    spark.createDataFrame([delivery(1, "a", 1, 5)], LOG).write.parquet(source)
+    assert c.ingest_files(source, read) == 0 and c.ingest_files(source, read) is None
+    spark.createDataFrame([delivery(2, "a", 2, 1)], LOG).write.mode("append").parquet(source)
+    assert c.ingest_files(source, read) == 1 and pick(c.run(), rows) == [(1, "added"), (2, "added")]
 
 
 def test_capture_of_ties_and_empty_tables(spark, tmp_path, rows):
-    empty = ChangeCapture(spark.createDataFrame([], LOG), str(tmp_path / "e"), ["k"])
+    empty = ChangeCapture(spark, str(tmp_path / "e"), ["k"])
+    assert empty.run() is None and empty.sink() is None
+    empty.ingest(spark.createDataFrame([], LOG))
     assert empty.run().count() == 0
-    c = ChangeCapture(spark.createDataFrame([delivery(1, "a", 1, 1), delivery(1, "b", 2, 1), delivery(1, "b", 2, 1)], LOG), str(tmp_path / "t"), ["k"])
-    c.begin_at(T0)
+    c = ChangeCapture(spark, str(tmp_path / "t"), ["k"])
+    c.begin_with(spark.createDataFrame([], LOG))
+    c.ingest(spark.createDataFrame([delivery(1, "a", 1, 1), delivery(1, "b", 2, 1), delivery(1, "b", 2, 1)], LOG))
     assert rows(c.run().select("k", "row.v", "kind")) == [(1, "b", "added")]
-    with pytest.raises(ValueError, match="commits"):
-        c.begin_at(T0)
+    with pytest.raises(ValueError, match="begun"):
+        c.begin_with(spark.createDataFrame([], LOG))
+
+
+def test_a_small_file_is_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "f" / "0.json")
+    write_text_atomic(spark, path, "old")
+    write_text_atomic(spark, path, "new")
+    assert read_text(spark, path) == "new" and numbered(spark, str(tmp_path / "f")) == [0]
+    with pytest.raises(Exception, match="AlreadyExists"):
+        write_text_atomic(spark, path, "third", once=True)
+    assert read_text(spark, path) == "new"
+
+
+def test_running_counts_over_partitions(spark, rows):
+    df = spark.createDataFrame([("a" if i % 3 else None, i, "x") for i in range(60)], "g string, x int, _note string")
+    for parts in (1, 5, 40):
+        got = rows(running_counts(df, ["g"], [F.col("x")], partitions=parts).select("g", "x", "_upto"))
+        want = {g: sorted(i for i in range(60) if (i % 3 != 0) == (g == "a")) for g in ("a", None)}
+        assert got == sorted(((g, x, k + 1) for g, xs in want.items() for k, x in enumerate(xs)), key=lambda r: (r[0] is not None, r[1]))
+    assert running_counts(df.limit(0), ["g"], [F.col("x")]).count() == 0
 
 
 def test_mention_moved_to_another_chunk_is_a_change(spark, tmp_path, rows):
