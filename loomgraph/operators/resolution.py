@@ -51,6 +51,11 @@ def shared_key_pairs(evidence: DataFrame, condition: str, by: tuple[str, ...] =
     return left.join(right, ["doc_id", "key", *by]).where("left_uid < right_uid").groupBy("doc_id", "left_uid", "right_uid").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def relevant_text_counts(rows: DataFrame) -> DataFrame:
+    """(doc_id, uid, text_key, n): how often each relevant mention text stands in a local cluster."""
+    return mention_evidence(rows).where("relevant").groupBy("doc_id", "uid", X.normalize("text").alias("text_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _sided(sets: DataFrame, side: str, *columns: str) -> DataFrame:
     return sets.select("doc_id", F.col("uid").alias(f"{side}_uid"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import anchors as A
+from loomgraph.operators import exports as E
 from loomgraph.operators import resolution as R
 from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
@@ -89,6 +90,29 @@ def er_names(spark: SparkSession, folder: str) -> DataFrame:
     return R.representative_names(*_by_anchor(spark, folder))
 
 
+def _resolved(spark: SparkSession, folder: str) -> DataFrame:
+    return E.resolved_clusters(*_by_anchor(spark, folder))
+
+
+def export_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The exchanged table of kept clusters, entities being clusters of equal anchors."""
+    return E.split_by_salience(_resolved(spark, folder))[0].drop("component")
+
+
+def export_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit table of the clusters the salience policy rejects."""
+    return E.split_by_salience(_resolved(spark, folder), 0.5, None)[1]
+
+
+def er_non_singletons(spark: SparkSession, folder: str) -> DataFrame:
+    return E.non_singletons(_resolved(spark, folder)).select("doc_id", "global_cluster_uid", "n_local_clusters", "n_mentions", "canonical_name", "local_cluster_uids")
+
+
+def er_relevant_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each relevant mention text stands in a local cluster."""
+    return R.relevant_text_counts(_rows(spark, folder))
+
+
 def er_salience(spark: SparkSession, folder: str) -> DataFrame:
     """The salience split of all clusters of a document."""
     kept = table(spark, folder, "global_clusters").select("doc_id", F.col("global_cluster_uid").alias("uid"), "n_mentions")
@@ -97,7 +121,7 @@ def er_salience(spark: SparkSession, folder: str) -> DataFrame:
     return R.salience_split(sizes, order=("uid",))
 
 
-QUERIES = {f.__name__: f for f in (anchor_bank, anchor_bank_by_document, anchor_hits, er_evidence, er_stitching, er_adjacent_overlap, er_overlap_coefficient, er_same_anchor, er_head_alias, er_greedy, er_components, er_numbered, er_names, er_salience)}
+QUERIES = {f.__name__: f for f in (anchor_bank, anchor_bank_by_document, anchor_hits, er_evidence, er_stitching, er_adjacent_overlap, er_overlap_coefficient, er_same_anchor, er_head_alias, er_greedy, er_components, er_numbered, er_names, er_non_singletons, er_relevant_texts, er_salience, export_clusters, export_rejected)}
 
 _KEY = TX.sql_key("canonical_name")
 _CANDIDATE = f"(k <> '' AND k NOT IN ({TX._list(X.ANCHOR_PRONOUNS)}) AND k NOT IN ({TX._list(X.GENERIC_ANCHORS)}) AND NOT regexp_matches(k, '^[0-9 ]+$') AND NOT (k NOT LIKE '% %' AND length(k) <= 2))"
@@ -157,6 +181,33 @@ p AS (SELECT *, count(*) FILTER (n_mentions >= cutoff) OVER (PARTITION BY doc_id
 SELECT doc_id, uid, n_mentions, cutoff, CASE WHEN passing < 10 THEN r <= 10 ELSE n_mentions >= cutoff END AS kept FROM p""",
 }
 
+_NUMBERED = f"""{_ROWS},
+m AS (SELECT doc_id, uid, CASE WHEN anchor IS NOT NULL THEN min(uid) OVER (PARTITION BY doc_id, anchor) ELSE uid END AS component FROM named),
+g AS (SELECT r.doc_id, component, count(*) AS n_mentions, count(DISTINCT r.uid) AS n_local_clusters, min(chunk_index) AS chunk_min, max(chunk_index) AS chunk_max, min((chunk_index, start)) AS f, arg_min(start, (chunk_index, start)) AS first_start FROM r JOIN m ON r.doc_id = m.doc_id AND r.uid = m.uid GROUP BY r.doc_id, component),
+ids AS (SELECT *, printf('global_cluster_%06d', row_number() OVER (PARTITION BY doc_id ORDER BY f, component) - 1) AS global_cluster_uid FROM g),
+own AS (SELECT doc_id, uid, max(name) AS name, min((chunk_index, start, uid)) AS f FROM r WHERE name IS NOT NULL GROUP BY doc_id, uid),
+cand AS (SELECT m.doc_id, component, name, count(*) AS n, min(f) AS f FROM own JOIN m ON own.doc_id = m.doc_id AND own.uid = m.uid GROUP BY m.doc_id, component, name),
+nm AS (SELECT doc_id, component, name AS canonical_name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, component ORDER BY n DESC, f, name) AS k FROM cand) WHERE k = 1),
+st AS (SELECT m.doc_id, component, coalesce(array_to_string(list_sort(list(DISTINCT name) FILTER (name IS NOT NULL)), '|'), '') AS canonical_names, array_to_string(list_sort(list(DISTINCT m.uid)), '|') AS local_cluster_uids FROM m JOIN r ON m.doc_id = r.doc_id AND m.uid = r.uid GROUP BY m.doc_id, component),
+res AS (SELECT ids.*, canonical_name, canonical_names, local_cluster_uids FROM ids JOIN st ON ids.doc_id = st.doc_id AND ids.component = st.component LEFT JOIN nm ON ids.doc_id = nm.doc_id AND ids.component = nm.component)"""
+
+
+def _split(percentile: float, least: int | None) -> str:
+    kept = f"CASE WHEN passing < {least} THEN k <= {least} ELSE n_mentions >= cutoff END" if least else "n_mentions >= cutoff"
+    return f"""{_NUMBERED},
+c AS (SELECT *, CAST(ceil(quantile_cont(CAST(n_mentions AS DOUBLE), {percentile}) OVER (PARTITION BY doc_id)) AS BIGINT) AS cutoff, row_number() OVER (PARTITION BY doc_id ORDER BY n_mentions DESC, chunk_min, first_start, component) AS k FROM res),
+s AS (SELECT *, count(*) FILTER (n_mentions >= cutoff) OVER (PARTITION BY doc_id) AS passing FROM c), split AS (SELECT *, {kept} AS kept FROM s)"""
+
+
+ORACLES |= {
+    "er_names": f"WITH {_NUMBERED} SELECT doc_id, component, canonical_name FROM nm",
+    "er_non_singletons": f"WITH {_NUMBERED} SELECT doc_id, global_cluster_uid, n_local_clusters, n_mentions, canonical_name, local_cluster_uids FROM res WHERE n_local_clusters >= 2",
+    "er_relevant_texts": f"WITH {_ROWS} SELECT doc_id, uid, t AS text_key, count(*) AS n FROM e WHERE relevant GROUP BY doc_id, uid, t",
+    "export_clusters": f"WITH {_split(0.95, 10)} SELECT doc_id, printf('global_cluster_%06d', row_number() OVER (PARTITION BY doc_id ORDER BY chunk_min, first_start, component) - 1) AS global_cluster_uid, n_local_clusters, n_mentions, canonical_name, canonical_names, local_cluster_uids, chunk_min, chunk_max FROM split WHERE kept",
+    "export_rejected": f"""WITH {_split(0.5, None)} SELECT doc_id, printf('rejected_global_cluster_%06d', row_number() OVER (PARTITION BY doc_id ORDER BY chunk_min, first_start, component) - 1) AS rejected_global_cluster_uid, global_cluster_uid AS would_be_global_cluster_uid, component AS merge_component_uid,
+  '{E.REASON}' AS rejection_reason, CAST(0.5 AS DOUBLE) AS salience_percentile, cutoff AS salience_cutoff, n_local_clusters, n_mentions, canonical_name, canonical_names, local_cluster_uids, chunk_min, chunk_max FROM split WHERE NOT kept""",
+}
+
 for _name, _column in (("er_adjacent_overlap", "overlap_coefficient"), ("er_overlap_coefficient", "overlap_coefficient"), ("er_head_alias", "score")):
     QUERIES[_name] = rounded(QUERIES[_name])
     ORACLES[_name] = rounded_sql(ORACLES[_name], _column)

@@ -452,10 +452,116 @@ SELECT doc_id, uid FROM l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = l.d
     "stream_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
 }
 
+
+# SQL of the walks down the class graph, on the same stand-in scores
+
+_W = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _options_sql() -> str:
+    readable = {c: "".join(f" {ch}" if k and ch.isupper() and c[k - 1].islower() else ch for k, ch in enumerate(c)).lower() for c in sorted({x for pair in _PARENTS for x in pair})}
+    below: dict[str, list[str]] = {}
+    for c, p in _PARENTS:
+        below.setdefault(p, []).append(c)
+    rows = []
+    for p, cs in sorted(below.items()):
+        rows += [(BASE + p, k, BASE + c, "{} is a " + readable[c]) for k, c in enumerate(sorted(cs, key=lambda c: (readable[c], c)), 1)]
+        rows.append((BASE + p, 1_000_000, S.STAY, "{} is only a " + readable[p]))
+    return ", ".join(f"('{p}', {k}, '{c}', '{h}')" for p, k, c, h in rows)
+
+
+_WALK = f"""
+opts(parent, ordinal, child, hyp) AS (VALUES {_options_sql()}),
+ment AS (SELECT doc_id, cluster_id, mention_id, coalesce(max(subject), 'the character') AS name, {_W.format(x='max(context_text)')} AS cw,
+    arg_max(struct_pack(h := ocean_weight_high_probability, m := ocean_weight_medium_probability), (arrived_at, chunk_index)) AS w FROM trait_evidence GROUP BY doc_id, cluster_id, mention_id),
+asked AS (SELECT doc_id, cluster_id, mention_id, parent, ordinal, child, cw, list_distinct({_W.format(x="replace(hyp, '{}', name)").replace('{{}}', '{}')}) AS hw FROM ment, opts),
+logits AS (SELECT *, 4.0 * len(list_intersect(hw, cw)) / greatest(len(hw), 1) - 2.0 AS l FROM asked),
+tops AS (SELECT *, exp(l - max(l) OVER (PARTITION BY doc_id, cluster_id, mention_id, parent)) AS e FROM logits),
+soft AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id, cluster_id, mention_id, parent) AS p FROM tops),
+choice AS (SELECT doc_id, cluster_id, mention_id, parent, arg_max(child, (e, -ordinal)) AS child, arg_max(p, (e, -ordinal)) AS p FROM soft GROUP BY doc_id, cluster_id, mention_id, parent),
+walk AS (
+  SELECT doc_id, cluster_id, mention_id, 0 AS k, '{BASE}NarrativeEntity' AS at, CAST([] AS VARCHAR[]) AS path FROM ment
+  UNION ALL
+  SELECT w.doc_id, w.cluster_id, w.mention_id, k + 1, CASE WHEN child = '{S.STAY}' THEN '(end)' ELSE child END, list_append(path, split_part(parent, '#', -1) || '>' || CASE WHEN child = '{S.STAY}' THEN child ELSE split_part(child, '#', -1) END)
+  FROM walk w JOIN choice c ON w.doc_id = c.doc_id AND w.cluster_id = c.cluster_id AND w.mention_id = c.mention_id AND w.at = c.parent),
+walks AS (SELECT doc_id, cluster_id, mention_id, arg_max(path, k) AS path FROM walk GROUP BY doc_id, cluster_id, mention_id)"""
+_TYPED = f"""{_WALK},
+steps AS (SELECT w.doc_id, w.cluster_id, c.parent, c.child, (coalesce(m.w.h, 0) + 0.5 * coalesce(m.w.m, 0)) * c.p AS s FROM walk w JOIN choice c ON w.doc_id = c.doc_id AND w.cluster_id = c.cluster_id AND w.mention_id = c.mention_id AND w.at = c.parent
+    JOIN ment m ON w.doc_id = m.doc_id AND w.cluster_id = m.cluster_id AND w.mention_id = m.mention_id),
+summed AS (SELECT doc_id, cluster_id, parent, child, sum(s) AS s FROM steps GROUP BY doc_id, cluster_id, parent, child),
+per AS (SELECT s.doc_id, s.cluster_id, s.parent, arg_max(s.child, (s.s, -o.ordinal)) FILTER (s.child <> '{S.STAY}') AS best, max(s.s) FILTER (s.child <> '{S.STAY}') AS best_s, coalesce(sum(s.s) FILTER (s.child = '{S.STAY}'), 0) AS stay, sum(s.s) AS total
+    FROM summed s JOIN opts o ON s.parent = o.parent AND s.child = o.child GROUP BY s.doc_id, s.cluster_id, s.parent),
+down AS (
+  SELECT DISTINCT doc_id, cluster_id, 0 AS k, '{BASE}NarrativeEntity' AS class_iri, CAST(NULL AS DOUBLE) AS confidence, false AS done FROM per
+  UNION ALL
+  SELECT d.doc_id, d.cluster_id, k + 1, CASE WHEN stop THEN class_iri ELSE best END, CASE WHEN best IS NULL THEN confidence WHEN stop THEN stay / nullif(total, 0) ELSE best_s / nullif(total, 0) END, stop
+  FROM (SELECT d.*, best, best_s, stay, total, (best IS NULL OR (stay > 0 AND stay >= best_s) OR best_s <= 0) AS stop FROM down d LEFT JOIN per p ON d.doc_id = p.doc_id AND d.cluster_id = p.cluster_id AND d.class_iri = p.parent WHERE NOT done AND k < 8) d),
+typed AS (SELECT doc_id, cluster_id, arg_max(class_iri, k) AS class_iri, arg_max(struct_pack(c := confidence), k).c AS confidence FROM down GROUP BY doc_id, cluster_id)"""
+_cent = lambda x: f"CAST(round(CAST({x} AS DECIMAL(30, 16)), 2) AS DOUBLE)"
+_ROUND2 = [f"{_cent(_bipolar(t))} AS {t}_score, {t}_neutral_probability AS {t}_neutral" for t in S.TRAITS]
+_PROFILE = f"""{_LATEST}, scored AS (SELECT doc_id, cluster_id, {', '.join(_ROUND2)}, {_cent('100 * ocean_weight_high_probability + 50 * ocean_weight_medium_probability')} AS weight FROM last WHERE {_DONE}),
+prof AS (SELECT doc_id, cluster_id, {', '.join(_cent(_mean(t).removesuffix(f" AS {t}")) + f" AS {t}" for t in S.TRAITS)}, count(*) AS n_mentions_scored FROM scored GROUP BY doc_id, cluster_id)"""
+_NAME_IRI = _IRI.replace("{x}", "canonical_name")
+_TRIPLES = f"""{_TYPED}, {_EDGES}, {_PROFILE},
+who AS (SELECT e.doc_id, {_NAME_IRI} AS iri, canonical_name, class_iri, {', '.join(S.TRAITS)} FROM ent e LEFT JOIN typed t ON e.doc_id = t.doc_id AND e.cluster_id = t.cluster_id LEFT JOIN prof p ON e.doc_id = p.doc_id AND e.cluster_id = p.cluster_id),
+triples AS (
+  SELECT iri AS s, '{O.TYPE}' AS p, '{O.OWL}NamedIndividual' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS datatype FROM who
+  UNION SELECT iri, '{O.RDFS}label', canonical_name, 'literal', NULL FROM who
+  UNION SELECT iri, '{O.TYPE}', class_iri, 'iri', NULL FROM who WHERE class_iri IS NOT NULL
+  UNION SELECT source, p, target, 'iri', NULL FROM rel
+  {' '.join(f"UNION SELECT iri, '{BASE}hasOcean{t.capitalize()}', CAST({t} AS VARCHAR), 'literal', '{O.XSD}double' FROM who WHERE {t} IS NOT NULL" for t in S.TRAITS)})"""
+_LINE = "'<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'literal' THEN '\"' || replace(replace(o, '\\', '\\\\'), '\"', '\\\"') || '\"' || coalesce('^^<' || datatype || '>', '') ELSE '<' || o || '>' END || ' .'"
+_CLASSES = f"SELECT s AS id, list_sort(list(DISTINCT o)) AS classes FROM triples WHERE p = '{O.TYPE}' AND NOT starts_with(o, '{O.OWL}') AND NOT starts_with(o, '{O.RDFS}') GROUP BY s"
+_ROUTED = f"""{_TYPED.replace('opts(parent', _ONTO.strip() + ', opts(parent', 1)}, {_RELATIONS},
+route AS (SELECT DISTINCT a.descendant AS sc, b.descendant AS tc, p.iri FROM props p JOIN closed a ON a.ancestor = p.d JOIN closed b ON b.ancestor = p.r),
+pairs AS (SELECT sc, tc, count(*) AS n FROM route GROUP BY sc, tc),
+x AS (SELECT r.doc_id, relation_id, s.class_iri AS sc, t.class_iri AS tc FROM lastrel r LEFT JOIN typed s ON r.doc_id = s.doc_id AND r.source_cluster_id = s.cluster_id LEFT JOIN typed t ON r.doc_id = t.doc_id AND r.target_cluster_id = t.cluster_id)"""
+_INDEXED = f"WITH {_RELATIONS}, {_ASSERTED}, a AS (SELECT *, 'assertion_' || source_cluster_id || '_' || split_part(object_property_iri, '#', -1) || '_' || target_cluster_id AS id FROM grp WHERE n >= 1 AND aggregated_score >= 0.5)"
+_TREE = [(BASE + c, BASE + p) for c, p in _PARENTS]
+ORACLES |= {
+    "typing_walks": f"WITH RECURSIVE {_WALK} SELECT doc_id, cluster_id, mention_id, array_to_string(path, ' ') AS walk, len(path) AS n_steps FROM walks",
+    "typing_classes": f"WITH RECURSIVE {_TYPED} SELECT doc_id, cluster_id, class_iri, confidence FROM typed",
+    "relation_routed": f"""WITH RECURSIVE {_ROUTED} SELECT doc_id, relation_id, coalesce(n, 0) AS n_properties, CASE WHEN x.sc IS NULL THEN 'source cluster has no class' WHEN x.tc IS NULL THEN 'target cluster has no class' WHEN n IS NULL THEN 'no property from ' || split_part(x.sc, '#', -1) || ' to ' || split_part(x.tc, '#', -1) END AS reason
+FROM x LEFT JOIN pairs ON x.sc = pairs.sc AND x.tc = pairs.tc""",
+    "relation_index": f"""{_INDEXED} SELECT "by", doc_id, key, array_to_string(list_sort(list(DISTINCT id)), '|') AS assertion_ids FROM (
+  SELECT 'source' AS "by", doc_id, CAST(source_cluster_id AS VARCHAR) AS key, id FROM a UNION ALL SELECT 'target', doc_id, CAST(target_cluster_id AS VARCHAR), id FROM a UNION ALL SELECT 'property', doc_id, object_property_iri, id FROM a) GROUP BY ALL""",
+    "relation_counts": f"""{_INDEXED}, i AS (SELECT doc_id, count(DISTINCT relation_id) AS n FROM relation_assignments GROUP BY doc_id),
+g AS (SELECT doc_id, count(DISTINCT relation_id) AS n FROM lastrel WHERE object_property_probabilities_json IS NOT NULL GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n, count(DISTINCT source_cluster_id) AS ns, count(DISTINCT target_cluster_id) AS nt, count(DISTINCT object_property_iri) AS np FROM a GROUP BY doc_id)
+SELECT i.doc_id, i.n AS n_relation_instances, coalesce(g.n, 0) AS n_relation_assignments, coalesce(c.n, 0) AS n_relation_assertions, coalesce(ns, 0) AS n_source_cluster_indexes, coalesce(nt, 0) AS n_target_cluster_indexes, coalesce(np, 0) AS n_property_indexes
+FROM i LEFT JOIN g ON i.doc_id = g.doc_id LEFT JOIN c ON i.doc_id = c.doc_id""",
+    "trait_alignment": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '\S+')) > 0),
+m AS (SELECT DISTINCT t.doc_id, mention_id, cluster_id, mention_start, mention_end, array_to_string(w.w[mention_start + 1:mention_end], ' ') AS x FROM trait_evidence t JOIN w ON t.doc_id = w.doc_id),
+j AS (SELECT t.doc_id, t.mention_id, m.cluster_id IS NULL AS lost, m.cluster_id <> t.cluster_id AS c, m.mention_start <> t.mention_start OR m.mention_end <> t.mention_end AS s, m.x <> t.mention_text AS x FROM trait_evidence t LEFT JOIN m ON t.doc_id = m.doc_id AND t.mention_id = m.mention_id)
+SELECT doc_id, mention_id, error, count(*) AS n FROM (SELECT doc_id, mention_id, 'unknown_mention' AS error FROM j WHERE lost UNION ALL SELECT doc_id, mention_id, 'cluster' FROM j WHERE c UNION ALL SELECT doc_id, mention_id, 'span' FROM j WHERE s UNION ALL SELECT doc_id, mention_id, 'text' FROM j WHERE x) GROUP BY ALL""",
+    "onto_tree": f"""WITH RECURSIVE {_ONTO}, shown AS (SELECT iri, {_LABEL.replace('{x}', 'iri')} AS label FROM nodes),
+t AS (SELECT iri, lower(label) AS path, 0 AS depth, label FROM shown WHERE iri NOT IN (SELECT child_iri FROM edges)
+  UNION ALL SELECT e.child_iri, t.path || '/' || lower(s.label), depth + 1, s.label FROM t JOIN edges e ON e.parent_iri = t.iri JOIN shown s ON s.iri = e.child_iri)
+SELECT path, depth, repeat('  ', depth) || label AS line FROM t""",
+    "onto_aliases": f"""WITH RECURSIVE {_ONTO}, f AS (SELECT iri, split_part(iri, '#', -1) AS l, {_LABEL.replace('{x}', 'iri')} AS h FROM nodes),
+a AS (SELECT iri, unnest([iri, l, h, lower(h), lower(l)]) AS alias FROM f) SELECT alias, max(iri) AS iri FROM a GROUP BY alias""",
+    "kg_triples": f"WITH RECURSIVE {_TRIPLES} SELECT s, p, o, o_kind, datatype FROM triples",
+    "kg_ntriples": f"WITH RECURSIVE {_TRIPLES} SELECT {_LINE} AS line FROM triples",
+    "kg_class_counts": f"WITH RECURSIVE {_TRIPLES}, c AS ({_CLASSES}) SELECT class_iri, count(*) AS n FROM (SELECT unnest(classes) AS class_iri FROM c) GROUP BY class_iri",
+    "kg_nodes": f"""WITH RECURSIVE {_TRIPLES}, c AS ({_CLASSES}),
+deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM kedges UNION ALL SELECT target FROM kedges) GROUP BY id),
+top AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 200),
+kept AS (SELECT * FROM kedges WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top)),
+d2 AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM kept UNION ALL SELECT target FROM kept) GROUP BY id),
+lab AS (SELECT s AS id, min(o) AS label FROM triples WHERE p = '{O.RDFS}label' GROUP BY s),
+tr AS (SELECT s AS id, count(DISTINCT p) AS n FROM triples WHERE datatype IS NOT NULL GROUP BY s)
+SELECT d2.id, coalesce(label, split_part(d2.id, '#', -1)) AS label, coalesce(array_to_string(classes, '|'), '') AS classes, degree, tr.n AS n_traits FROM d2 LEFT JOIN lab ON d2.id = lab.id LEFT JOIN c ON d2.id = c.id LEFT JOIN tr ON d2.id = tr.id""",
+    "store_redone": """
+WITH p AS (SELECT doc_id, lower(trim(regexp_replace(source, '[ -]', '_', 'g'))) AS part FROM documents),
+hurt AS (SELECT min(part) AS part FROM p WHERE part < 's')
+SELECT DISTINCT part FROM p WHERE part >= 's' OR part IN (SELECT part FROM hurt) OR part IS NULL""",
+}
+
 _DOUBLES = {
     "score_tasks": _COLUMNS, "score_margins": ["confidence", "margin"], "score_softmax": ["share"], "trait_latest": ["openness_positive_probability"],
     "trait_mention_scores": [f"{t}_{x}" for t in S.TRAITS for x in ("score", "neutral")] + ["weight"], "trait_profiles": S.TRAITS, "relation_properties": ["p"], "relation_assertions": ["aggregated_score"],
-    "relation_assertions_by_sum": ["aggregated_score"], "relation_report": ["aggregated_score"], "stream_windows": ["total"],
+    "relation_assertions_by_sum": ["aggregated_score"], "relation_report": ["aggregated_score"], "stream_windows": ["total"], "typing_classes": ["confidence"],
 }
 for _name, _columns in _DOUBLES.items():
     QUERIES[_name] = rounded(QUERIES[_name])

@@ -148,14 +148,17 @@ def files_under(spark: SparkSession, folder: str) -> list[str]:
 
 
 def partitions_for(df: DataFrame, target: int = 32 << 20, growth: float = 4.0) -> int:
-    """Partitions of about ``target`` bytes for a sort of ``df``, from the optimizer's size of its input.
+    """Partitions of about ``target`` bytes for a sort of ``df``, from the sizes of the tables it reads.
 
-    ``growth`` is what the rows weigh in memory against their compressed columns. Where the plan knows
-    no size the session's shuffle partitions are used.
+    ``growth`` is what the rows weigh in memory against their compressed columns. The optimizer's size
+    of the whole plan is no help, as it multiplies the sides of every join. Where a table's size is
+    not known the session's shuffle partitions are used.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return default if size >= 1 << 60 else max(1, min(int(size * growth / target) + 1, 100_000))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    if any(size >= 1 << 60 for size in sizes):
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(int(sum(sizes) * growth / target) + 1, 100_000))
 
 
 def running_counts(df: DataFrame, group: list[str], order: list, weight: Column | None = None, partitions: int | None = None, name: str = "running") -> DataFrame:
