@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.operators import anchors as A
 from loomgraph.operators import resolution as R
-from loomgraph.runtime import running_counts
+from loomgraph.runtime import cut, running_counts
 from loomgraph.sources import files as FS
 
 # Columns of the exchanged files, in order.
@@ -37,20 +37,32 @@ def resolved_clusters(members: DataFrame, rows: DataFrame) -> DataFrame:
     return whole.select("doc_id", "component", "first_start", *CLUSTER_COLUMNS)
 
 
-def split_by_salience(clusters: DataFrame, percentile: float = 0.95, least_kept: int | None = 10) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected): the salience policy on resolved clusters, the kept ones renumbered in document order.
+def _place() -> list[Column]:
+    return [F.col("chunk_min").asc_nulls_last(), F.col("first_start").asc_nulls_last(), F.col("component")]
 
-    Rejected clusters carry the number they would have had and the policy that rejected them.
-    """
-    marked = R.salience_split(clusters, "n_mentions", percentile, least_kept)
-    place = [F.col("chunk_min").asc_nulls_last(), F.col("first_start").asc_nulls_last(), F.col("component")]
-    numbered = lambda df, name: running_counts(df, ["doc_id"], place, name=name)
-    kept = numbered(marked.where("kept"), "kept").withColumn("global_cluster_uid", X.global_cluster_uid(F.col("_upto") - 1)).select("doc_id", "component", *CLUSTER_COLUMNS)
-    lost = numbered(marked.where("not kept"), "rejected").select(
+
+def kept_clusters(marked: DataFrame) -> DataFrame:
+    """(doc_id, component, the cluster columns) of the clusters a salience policy keeps, renumbered in document order."""
+    return running_counts(marked.where("kept"), ["doc_id"], _place(), name="kept").withColumn("global_cluster_uid", X.global_cluster_uid(F.col("_upto") - 1)).select("doc_id", "component", *CLUSTER_COLUMNS)
+
+
+def rejected_clusters(marked: DataFrame, percentile: float) -> DataFrame:
+    """(doc_id, the rejected columns) of the others, with the number each would have had and the policy that rejected it."""
+    return running_counts(marked.where("not kept"), ["doc_id"], _place(), name="rejected").select(
         "doc_id", F.format_string("rejected_global_cluster_%06d", F.col("_upto") - 1).alias("rejected_global_cluster_uid"), F.col("global_cluster_uid").alias("would_be_global_cluster_uid"), F.col("component").alias("merge_component_uid"),
         F.lit(REASON).alias("rejection_reason"), F.lit(percentile).alias("salience_percentile"), F.col("cutoff").alias("salience_cutoff"), *CLUSTER_COLUMNS[1:],
     )
-    return kept, lost
+
+
+def marked_by_salience(clusters: DataFrame, percentile: float = 0.95, least_kept: int | None = 10) -> DataFrame:
+    """Resolved clusters with ``cutoff`` and ``kept``, computed once."""
+    return cut(R.salience_split(cut(clusters, "resolved"), "n_mentions", percentile, least_kept), "marked")
+
+
+def split_by_salience(clusters: DataFrame, percentile: float = 0.95, least_kept: int | None = 10) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected): the salience policy on resolved clusters."""
+    marked = marked_by_salience(clusters, percentile, least_kept)
+    return kept_clusters(marked), rejected_clusters(marked, percentile)
 
 
 def resolved_mentions(clusters: DataFrame, members: DataFrame, local_mentions: DataFrame) -> DataFrame:
@@ -69,7 +81,7 @@ def merge_local_clusters(rows: DataFrame, strategy: str = "greedy", veto: bool =
 
     ``rows`` as :mod:`loomgraph.operators.resolution` reads them.
     """
-    members = R.resolve(rows, strategy, veto).cache()
+    members = cut(R.resolve(rows, strategy, veto), "members")
     kept, rejected = split_by_salience(resolved_clusters(members, rows), percentile, least_kept)
     return {"members": members, "clusters": kept, "rejected": rejected}
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -274,7 +276,7 @@ def vetoed(a: Group, b: Group, strong_overlap: bool) -> str | None:
 
 def _block_keys(sieve: int, g: Group) -> set:
     if sieve == 0:
-        return {(n, k) for n in g.names for k in g.overlap} if len(g.names) * len(g.overlap) < 2000 else g.overlap
+        return {(n, k) for n in g.names for k in g.overlap}
     if sieve in (1, 2):
         return g.overlap & g.relevant if sieve == 1 else g.relevant
     if sieve == 3:
@@ -282,6 +284,254 @@ def _block_keys(sieve: int, g: Group) -> set:
     return {p.head for p in map(Phrase.of, g.names) if not p.generic_head}
 
 
+def _allowed(sieve: int, a: Group, b: Group, veto: bool) -> tuple | None:
+    """The strength of a pair that may merge, None otherwise."""
+    edge = _edge(sieve, a, b)
+    return None if edge is None or (veto and vetoed(a, b, edge[1])) else edge[0]
+
+
+class _Index:
+    """The groups of a block by the keys a sieve compares them on, kept up to date while they merge."""
+
+    def __init__(self, sieve: int, groups: dict[str, Group]):
+        self.sieve, self.groups = sieve, groups
+        self.keys = {u: _block_keys(sieve, g) for u, g in groups.items()}
+        self.at: dict = {}
+        for u, ks in self.keys.items():
+            for k in ks:
+                self.at.setdefault(k, set()).add(u)
+
+    def near(self, u: str) -> set[str]:
+        return set().union(*(self.at[k] for k in self.keys[u])) - {u}
+
+    def merge(self, x: str, y: str) -> None:
+        """``y`` becomes part of ``x``."""
+        self.groups[x].absorb(self.groups.pop(y))
+        for k in self.keys.pop(y):
+            self.at[k].discard(y)
+        keys = _block_keys(self.sieve, self.groups[x])
+        for k in self.keys[x] - keys:
+            self.at[k].discard(x)
+        for k in keys - self.keys[x]:
+            self.at.setdefault(k, set()).add(x)
+        self.keys[x] = keys
+
+
+def _ordered(groups: dict[str, Group], x: str, y: str) -> tuple[str, str]:
+    return (x, y) if groups[x].order() < groups[y].order() else (y, x)
+
+
+def _greedy_by_evidence(groups: dict[str, Group], sieve: int, veto: bool) -> None:
+    """Merge the strongest allowed pair of groups that share evidence until none is left.
+
+    Allowed pairs wait in a heap; a merge judges only the pairs of the merged group anew, and what
+    the heap holds of older states is passed over.
+    """
+    index, state = _Index(sieve, groups), dict.fromkeys(groups, 0)
+    heap: list[tuple] = []
+
+    def offer(u: str, v: str) -> None:
+        x, y = _ordered(groups, u, v)
+        s = _allowed(sieve, groups[x], groups[y], veto)
+        if s:
+            heappush(heap, (-s[0], -s[1], -s[2], groups[x].order(), groups[y].order(), x, y, state[x], state[y]))
+
+    for u in list(groups):
+        for v in index.near(u):
+            if u < v:
+                offer(u, v)
+    while heap:
+        *_, x, y, sx, sy = heappop(heap)
+        if state.get(x) != sx or state.get(y) != sy:
+            continue
+        index.merge(x, y)
+        del state[y]
+        state[x] += 1
+        for v in index.near(x):
+            offer(x, v)
+
+
+def _name_strength(a: frozenset, b: frozenset) -> float | None:
+    """How alike two sets of names are at best, None where no two of them match."""
+    best, accepted = 0.0, False
+    for x in map(Phrase.of, a):
+        for y in map(Phrase.of, b):
+            score, contained = x.likeness(y)
+            best = max(best, score)
+            accepted |= contained or score >= 0.50
+    return best if accepted else None
+
+
+class _Classes:
+    """Groups by what alone decides a pair's strength in the last two sieves: their anchors, or their names."""
+
+    def __init__(self, sieve: int, groups: dict[str, Group]):
+        self.sieve, self.groups = sieve, groups
+        self.of = {u: self.label(g) for u, g in groups.items()}
+        self.members: dict[frozenset, set[str]] = {}
+        for u, c in self.of.items():
+            self.members.setdefault(c, set()).add(u)
+        self.heads: dict[str, set[frozenset]] = {}
+        self.known: dict[tuple, float | None] = {}
+        for c in self.members:
+            self._note(c)
+
+    def label(self, g: Group) -> frozenset:
+        return frozenset(g.anchors if self.sieve == 3 else g.names)
+
+    def _note(self, c: frozenset) -> None:
+        if self.sieve == 4:
+            for p in map(Phrase.of, c):
+                if not p.generic_head:
+                    self.heads.setdefault(p.head, set()).add(c)
+
+    def matching(self, c: frozenset) -> list[tuple[frozenset, float]]:
+        """The classes a class may merge with, itself included, and how strongly."""
+        if self.sieve == 3:
+            return [(c, 1.0)] if len(c) == 1 else []
+        near = set().union(*(self.heads[p.head] for p in map(Phrase.of, c) if not p.generic_head)) if c else set()
+        out = []
+        for d in near:
+            pair = (c, d)
+            if pair not in self.known:
+                self.known[pair] = self.known[d, c] = _name_strength(c, d)
+            if self.known[pair] is not None:
+                out.append((d, self.known[pair]))
+        return out
+
+    def merge(self, x: str, y: str) -> bool:
+        """``y`` becomes part of ``x``; whether that moves ``x`` to another class."""
+        self.groups[x].absorb(self.groups.pop(y))
+        self.members[self.of.pop(y)].discard(y)
+        before, after = self.of[x], self.label(self.groups[x])
+        if before == after:
+            return False
+        self.members[before].discard(x)
+        if after not in self.members:
+            self.members[after] = set()
+            self._note(after)
+        self.members[after].add(x)
+        self.of[x] = after
+        return True
+
+    def sorted(self, *classes: frozenset) -> list[str]:
+        return sorted(set().union(*(self.members[c] for c in classes)), key=lambda u: self.groups[u].order())
+
+
+def _pairs_between(rows: list[str], of: dict[str, frozenset], a: frozenset, b: frozenset) -> Iterator[tuple[str, str]]:
+    """Pairs of groups of two classes (or of one), in document order, as long as both are alive and in their class."""
+    for i, x in enumerate(rows):
+        for y in rows[i + 1:]:
+            c, d = of.get(x), of.get(y)
+            if c is None or c not in (a, b):
+                break
+            if (c, d) in ((a, b), (b, a)):
+                yield x, y
+
+
+def _greedy_by_class(groups: dict[str, Group], sieve: int, veto: bool) -> None:
+    """The same where classes decide the strength: pairs are drawn lazily, class by class, the strongest and earliest first.
+
+    As long as no veto stands against it, a class of any size costs one look per member; vetoed pairs
+    are looked at again when one of their groups has changed.
+    """
+    classes = _Classes(sieve, groups)
+    heap: list[tuple] = []
+    refused: dict[str, set[str]] = {}
+    tick = count()
+
+    def follow(s: float, pairs: Iterator[tuple[str, str]]) -> None:
+        for x, y in pairs:
+            if x in groups and y in groups:
+                heappush(heap, (-s, groups[x].order(), groups[y].order(), next(tick), x, y, classes.of[x], classes.of[y], pairs))
+                return
+
+    def one(u: str, v: str) -> None:
+        s = dict(classes.matching(classes.of[u])).get(classes.of[v])
+        if s is not None:
+            follow(s, iter([_ordered(groups, u, v)]))
+
+    def against(x: str, rows: list[str]) -> Iterator[tuple[str, str]]:
+        for y in rows:
+            if x not in groups:
+                return
+            if y in groups and y != x:
+                yield _ordered(groups, x, y)
+
+    done = set()
+    for c in list(classes.members):
+        for d, s in classes.matching(c):
+            if (d, c) not in done:
+                done.add((c, d))
+                follow(s, _pairs_between(classes.sorted(c, d), classes.of, c, d))
+    while heap:
+        s, _, _, _, x, y, cx, cy, rest = heappop(heap)
+        if classes.of.get(x) == cx and classes.of.get(y) == cy:
+            if veto and vetoed(groups[x], groups[y], False):
+                refused.setdefault(x, set()).add(y)
+                refused.setdefault(y, set()).add(x)
+            else:
+                moved = classes.merge(x, y)
+                again = (refused.pop(x, set()) | refused.pop(y, set())) & groups.keys() - {x}
+                if moved:
+                    for d, strength in classes.matching(classes.of[x]):
+                        follow(strength, against(x, classes.sorted(d)))
+                else:
+                    for v in again:
+                        one(x, v)
+        follow(-s, rest)
+
+
+def _merge_components(groups: dict[str, Group], sieve: int, veto: bool) -> None:
+    """Merge every connected component of the allowed pairs at once, into its first group, until none is left.
+
+    Pairs of groups that are connected already in a round need no look, so a class of any size
+    costs one look per member as long as no veto stands against it.
+    """
+    refused: set[tuple[str, str]] = set()
+    while True:
+        root = {u: u for u in groups}
+
+        def find(u: str) -> str:
+            while root[u] != u:
+                root[u] = root[root[u]]
+                u = root[u]
+            return u
+
+        def look(pairs: Iterator[tuple[str, str]]) -> None:
+            for x, y in pairs:
+                a, b = find(x), find(y)
+                if a != b and (x, y) not in refused:
+                    if _allowed(sieve, groups[x], groups[y], veto):
+                        a, b = _ordered(groups, a, b)
+                        root[b] = a
+                    else:
+                        refused.add((x, y))
+
+        if sieve < 3:
+            index = _Index(sieve, groups)
+            for u in list(groups):
+                look(_ordered(groups, u, v) for v in index.near(u) if u < v)
+        else:
+            classes = _Classes(sieve, groups)
+            done = set()
+            for c in list(classes.members):
+                for d, _ in classes.matching(c):
+                    if (d, c) not in done:
+                        done.add((c, d))
+                        look(_pairs_between(classes.sorted(c, d), classes.of, c, d))
+        merged = [u for u in sorted(groups, key=lambda u: groups[u].order()) if find(u) != u]
+        if not merged:
+            return
+        touched = set()
+        for u in merged:
+            groups[find(u)].absorb(groups[u])
+            touched |= {u, find(u)}
+        for u in merged:
+            del groups[u]
+        refused = {p for p in refused if not touched & set(p)}
+
+
 def merge_block(groups: dict[str, Group], strategy: str, veto: bool) -> dict[str, Group]:
     """Run the five sieves in order, each to its fixed point.
 
@@ -289,45 +539,12 @@ def merge_block(groups: dict[str, Group], strategy: str, veto: bool) -> dict[str
     component of the allowed pairs at once and looks again. Only pairs whose ends changed are judged anew.
     """
     for sieve in range(5):
-        judged: dict[tuple[str, str], tuple | None] = {}
-        while True:
-            index: dict = {}
-            for g in groups.values():
-                for k in _block_keys(sieve, g):
-                    index.setdefault(k, []).append(g.uid)
-            pairs = {(x, y) if groups[x].order() < groups[y].order() else (y, x) for us in index.values() for i, x in enumerate(us) for y in us[i + 1:]}
-            ready = []
-            for pair in pairs:
-                if pair not in judged:
-                    a, b = groups[pair[0]], groups[pair[1]]
-                    edge = _edge(sieve, a, b)
-                    judged[pair] = None if edge is None or (veto and vetoed(a, b, edge[1])) else edge
-                if judged[pair]:
-                    s = judged[pair][0]
-                    ready.append((-s[0], -s[1], -s[2], groups[pair[0]].order(), groups[pair[1]].order(), pair))
-            if not ready:
-                break
-            if strategy == "greedy":
-                merges = [min(ready)[-1]]
-            else:
-                merges = [r[-1] for r in sorted(ready)]
-            alias: dict[str, str] = {}
-
-            def root(u: str) -> str:
-                while u in alias:
-                    u = alias[u]
-                return u
-
-            touched = set()
-            for x, y in merges:
-                x, y = sorted((root(x), root(y)), key=lambda u: groups[u].order())
-                if x == y:
-                    continue
-                groups[x].absorb(groups[y])
-                del groups[y]
-                alias[y] = x
-                touched |= {x, y}
-            judged = {p: e for p, e in judged.items() if not touched & set(p)}
+        if strategy == "components":
+            _merge_components(groups, sieve, veto)
+        elif sieve < 3:
+            _greedy_by_evidence(groups, sieve, veto)
+        else:
+            _greedy_by_class(groups, sieve, veto)
     return groups
 
 

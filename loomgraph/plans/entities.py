@@ -96,12 +96,12 @@ def _resolved(spark: SparkSession, folder: str) -> DataFrame:
 
 def export_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """The exchanged table of kept clusters, entities being clusters of equal anchors."""
-    return E.split_by_salience(_resolved(spark, folder))[0].drop("component")
+    return E.kept_clusters(E.marked_by_salience(_resolved(spark, folder))).drop("component")
 
 
 def export_rejected(spark: SparkSession, folder: str) -> DataFrame:
     """The audit table of the clusters the salience policy rejects."""
-    return E.split_by_salience(_resolved(spark, folder), 0.5, None)[1]
+    return E.rejected_clusters(E.marked_by_salience(_resolved(spark, folder), 0.5, None), 0.5)
 
 
 def er_non_singletons(spark: SparkSession, folder: str) -> DataFrame:

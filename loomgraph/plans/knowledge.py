@@ -235,7 +235,7 @@ def kg_degrees(spark: SparkSession, folder: str) -> DataFrame:
 def kg_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """The 200 best linked resources for display."""
     nodes, _ = V.project(_triples(spark, folder), max_nodes=200)
-    return nodes.select("id", "label", F.array_join("classes", "|").alias("classes"), "degree", F.size("ocean_traits").alias("n_traits"))
+    return nodes.select("id", "label", F.array_join("classes", "|").alias("classes"), "degree", F.coalesce(F.size("ocean_traits"), F.lit(0)).alias("n_traits"))
 
 
 def kg_class_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -551,7 +551,7 @@ kept AS (SELECT * FROM kedges WHERE source IN (SELECT id FROM top) AND target IN
 d2 AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM kept UNION ALL SELECT target FROM kept) GROUP BY id),
 lab AS (SELECT s AS id, min(o) AS label FROM triples WHERE p = '{O.RDFS}label' GROUP BY s),
 tr AS (SELECT s AS id, count(DISTINCT p) AS n FROM triples WHERE datatype IS NOT NULL GROUP BY s)
-SELECT d2.id, coalesce(label, split_part(d2.id, '#', -1)) AS label, coalesce(array_to_string(classes, '|'), '') AS classes, degree, tr.n AS n_traits FROM d2 LEFT JOIN lab ON d2.id = lab.id LEFT JOIN c ON d2.id = c.id LEFT JOIN tr ON d2.id = tr.id""",
+SELECT d2.id, coalesce(label, split_part(d2.id, '#', -1)) AS label, coalesce(array_to_string(classes, '|'), '') AS classes, degree, coalesce(tr.n, 0) AS n_traits FROM d2 LEFT JOIN lab ON d2.id = lab.id LEFT JOIN c ON d2.id = c.id LEFT JOIN tr ON d2.id = tr.id""",
     "store_redone": """
 WITH p AS (SELECT doc_id, lower(trim(regexp_replace(source, '[ -]', '_', 'g'))) AS part FROM documents),
 hurt AS (SELECT min(part) AS part FROM p WHERE part < 's')
