@@ -137,3 +137,35 @@ def token_export(tokens: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.col("lemma") if "lemma" in have else blank, blank), F.col("text")).alias("lemma"), "char_start", "char_end", "byte_start", "byte_end",
         pick("pos", blank), pick("fine_pos", blank), pick("dependency_relation", blank), pick("syntactic_head_id", F.col("token_id")), pick("ent_iob", blank), pick("ent_type", blank), pick("in_quote", F.lit(False)), pick("event", F.lit("O")),
     )
+
+
+# Fixed values of the rule-based syntax below.
+PREPOSITIONS = ["to", "in", "on", "at", "by", "with", "from", "for", "of", "into", "over", "under", "through", "against"]
+PARTICLES = ["up", "out", "off", "down", "away", "back"]
+PASSIVE = ["was", "were", "been", "be", "is", "are"]
+
+
+def rule_syntax(tokens: DataFrame) -> DataFrame:
+    """(doc_id, token_i, head_i, text, lemma, pos, dep, sentence_id): a stand-in for a syntax provider.
+
+    Lower-case words in -ed are verbs; a capitalized word is the subject of the next verb of its
+    sentence, or else an object of the last one, through a preposition right before it; particles,
+    negations and forms of *be* hang on the verb they stand next to. It makes no claim to a parser's
+    quality. ``tokens`` carry sentence_id; a sentence is the unit of work.
+    """
+    bare = F.regexp_replace("text", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    rows = tokens.where("token_id is not null").select("doc_id", "sentence_id", F.col("token_id").alias("token_i"), bare.alias("text")).withColumn("lemma", F.lower("text"))
+    rows = rows.withColumn("verb", F.when(F.col("text").rlike("^[a-z]{2,}ed$"), F.col("token_i"))).withColumn("prep", F.col("lemma").isin(PREPOSITIONS))
+    line = Window.partitionBy("doc_id", "sentence_id").orderBy("token_i")
+    past = line.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = line.rowsBetween(1, Window.unboundedFollowing)
+    near = rows.withColumn("last", F.last("verb", True).over(past)).withColumn("next", F.first("verb", True).over(ahead)).withColumn("after_prep", F.coalesce(F.lag("prep").over(line), F.lit(False)))
+    here = F.col("token_i")
+    name = F.col("text").rlike(r"^\p{Lu}\p{L}+")
+    dep = (
+        F.when(F.col("verb").isNotNull(), "ROOT").when((F.col("lemma") == "not") & (F.col("next") == here + 1), "neg").when(F.col("lemma").isin(PASSIVE) & (F.col("next") == here + 1), "auxpass").when(F.col("lemma").isin(PARTICLES) & (F.col("last") == here - 1), "prt")
+        .when(F.col("prep") & F.col("last").isNotNull(), "prep").when(name & F.col("next").isNotNull(), "nsubj").when(name & F.col("last").isNotNull(), F.when(F.col("after_prep"), "pobj").otherwise("dobj"))
+    )
+    tagged = near.withColumn("dep", F.coalesce(dep, F.lit("")))
+    head = F.when(F.col("dep").isin("neg", "auxpass", "nsubj"), F.col("next")).when(F.col("dep").isin("prt", "prep", "dobj"), F.col("last")).when(F.col("dep") == "pobj", here - 1).otherwise(here)
+    return tagged.select("doc_id", "token_i", head.alias("head_i"), "text", "lemma", F.when(F.col("verb").isNotNull(), "VERB").when(name, "PROPN").otherwise("X").alias("pos"), "dep", "sentence_id")

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import anchors as A
+from loomgraph.operators import chunks as C
 from loomgraph.operators import exports as E
+from loomgraph.operators import mentions as M
 from loomgraph.operators import resolution as R
+from loomgraph.operators import tokens as T
 from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
-from loomgraph.plans.documents import _EVIDENCE, _evidence
+from loomgraph.plans.documents import _EVIDENCE, _PIECES, _evidence
 from loomgraph.runtime import table
 
 
@@ -24,6 +27,19 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", X.local_cluster_uid(F.format_string("chunk_%03d", "chunk_index"), "cluster_id").alias("uid"), F.col("subject").alias("name"), start.alias("start"), end.alias("end"), F.col("mention_text").alias("text"), zone.alias("zone"), "chunk_index")
 
 
+def _name_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Capitalized runs in the recorded chunks as local mentions; what stands in an overlap stands in two chunks."""
+    plan = table(spark, folder, "chunks").dropDuplicates(["doc_id", "chunk_id"])
+    found = M.name_mentions(C.chunk_tokens(T.tokenize(table(spark, folder, "documents")), plan))
+    rows = M.local_mention_rows(found, plan)
+    names = rows.groupBy("doc_id", "local_cluster_uid").agg(F.max("text").alias("name"))
+    return rows.join(names, ["doc_id", "local_cluster_uid"]).select("doc_id", F.col("local_cluster_uid").alias("uid"), "name", F.col("global_start").alias("start"), F.col("global_end").alias("end"), "text", "zone", "chunk_index")
+
+
+def name_mentions_recorded(spark: SparkSession, folder: str) -> DataFrame:
+    return _name_rows(spark, folder)
+
+
 def anchor_bank(spark: SparkSession, folder: str) -> DataFrame:
     clusters = table(spark, folder, "global_clusters").select("doc_id", F.concat_ws(":", "doc_id", "global_cluster_uid").alias("uid"), "canonical_name", "n_mentions").distinct()
     return A.anchor_bank(clusters, 0.95, 2, uid="uid")
@@ -45,15 +61,15 @@ def er_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def er_stitching(spark: SparkSession, folder: str) -> DataFrame:
-    return R.stitching_edges(_rows(spark, folder))
+    return R.stitching_edges(_name_rows(spark, folder))
 
 
 def er_adjacent_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    return R.adjacent_overlap_edges(_rows(spark, folder), 1, 0.2)
+    return R.adjacent_overlap_edges(_name_rows(spark, folder))
 
 
 def er_overlap_coefficient(spark: SparkSession, folder: str) -> DataFrame:
-    return R.coefficient_edges(_rows(spark, folder), 1, 0.5)
+    return R.coefficient_edges(_name_rows(spark, folder))
 
 
 def er_same_anchor(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,7 +137,7 @@ def er_salience(spark: SparkSession, folder: str) -> DataFrame:
     return R.salience_split(sizes, order=("uid",))
 
 
-QUERIES = {f.__name__: f for f in (anchor_bank, anchor_bank_by_document, anchor_hits, er_evidence, er_stitching, er_adjacent_overlap, er_overlap_coefficient, er_same_anchor, er_head_alias, er_greedy, er_components, er_numbered, er_names, er_non_singletons, er_relevant_texts, er_salience, export_clusters, export_rejected)}
+QUERIES = {f.__name__: f for f in (name_mentions_recorded, anchor_bank, anchor_bank_by_document, anchor_hits, er_evidence, er_stitching, er_adjacent_overlap, er_overlap_coefficient, er_same_anchor, er_head_alias, er_greedy, er_components, er_numbered, er_names, er_non_singletons, er_relevant_texts, er_salience, export_clusters, export_rejected)}
 
 _KEY = TX.sql_key("canonical_name")
 _CANDIDATE = f"(k <> '' AND k NOT IN ({TX._list(X.ANCHOR_PRONOUNS)}) AND k NOT IN ({TX._list(X.GENERIC_ANCHORS)}) AND NOT regexp_matches(k, '^[0-9 ]+$') AND NOT (k NOT LIKE '% %' AND length(k) <= 2))"
@@ -141,11 +157,24 @@ _ROWS = f"""
 {_EVIDENCE}, spec AS (SELECT doc_id, chunk_index, min(core_start) AS core_start, arg_min(core_end, (core_start, core_end)) AS core_end FROM chunks GROUP BY doc_id, chunk_index),
 r AS (SELECT ev.doc_id, printf('chunk_%03d::cluster_%03d', ev.chunk_index, cluster_id) AS uid, subject AS name, mention_start AS start, mention_end AS "end", ev.chunk_index, {TX.sql_normalize('mention_text')} AS t, {TX.sql_content('mention_text')} AS c,
     CASE WHEN mention_end <= core_start THEN 'left_overlap' WHEN mention_start >= core_end THEN 'right_overlap' ELSE 'core' END AS zone
-  FROM ev LEFT JOIN spec ON ev.doc_id = spec.doc_id AND ev.chunk_index = spec.chunk_index),
-e AS (SELECT *, start || ':' || "end" || ':' || t AS key, (t NOT IN ({TX._list(X.PRONOUNS)}) AND len(c) > 0) AS relevant, zone <> 'core' AS overlap FROM r),
+  FROM ev LEFT JOIN spec ON ev.doc_id = spec.doc_id AND ev.chunk_index = spec.chunk_index),"""
+_SETS = f"""
+e AS (SELECT *, start || ':' || "end" || ':' || t AS key, (t NOT IN ({TX._list(X.PRONOUNS)}) AND len(c) > 0) AS relevant, zone IN ('left_overlap', 'right_overlap') AS overlap FROM r),
 sets AS (SELECT doc_id, uid, max(name) AS name, count(*) AS n_mentions, min(chunk_index) AS chunk_min, max(chunk_index) AS chunk_max, min(start) AS first_start, count(DISTINCT key) AS n_keys, count(DISTINCT key) FILTER (relevant) AS n_relevant,
     count(DISTINCT key) FILTER (overlap) AS n_overlap, count(DISTINCT key) FILTER (overlap AND relevant) AS n_overlap_relevant FROM e GROUP BY doc_id, uid),
 named AS (SELECT *, CASE WHEN regexp_matches(name, '(^|[^A-Za-z])[A-Z]') AND {TX.sql_normalize('name')} NOT IN ({TX._list(X.PRONOUNS)}) THEN {TX.sql_normalize('name')} END AS anchor, {TX.sql_content('name')} AS nc FROM sets)"""
+_NAME_ROWS = rf"""{_PIECES},
+c AS (SELECT DISTINCT doc_id, chunk_id, chunk_index, global_start, global_end, core_start, core_end FROM chunks),
+ct AS (SELECT c.*, t.token_id - global_start AS li, t.text FROM c JOIN toks t ON c.doc_id = t.doc_id AND t.token_id >= global_start AND t.token_id < global_end),
+w AS (SELECT *, regexp_replace(text, '^[^\p{{L}}\p{{N}}]+|([''’]s)?[^\p{{L}}\p{{N}}]+$|[''’]s$', '', 'g') AS word, coalesce(regexp_matches(lag(text) OVER (PARTITION BY doc_id, chunk_id ORDER BY li), '[^\p{{L}}\p{{N}}]$'), true) AS eb FROM ct),
+n AS (SELECT *, regexp_matches(word, '^\p{{Lu}}\p{{L}}+') AND {TX.sql_normalize('word')} NOT IN ({TX._list(X.PRONOUNS)}) AS nm FROM w),
+u AS (SELECT *, sum(CASE WHEN NOT nm OR eb THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, chunk_id ORDER BY li) AS run FROM n),
+g AS (SELECT doc_id, chunk_id, chunk_index, global_start, core_start, core_end, run, min(li) AS ls, max(li) + 1 AS le, string_agg(word, ' ' ORDER BY li) AS text, bool_or(eb) AS initial FROM u WHERE nm GROUP BY ALL),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, chunk_id ORDER BY lower(text)) - 1 AS cluster FROM g WHERE NOT initial OR le - ls > 1),
+o AS (SELECT doc_id, chunk_id || printf('::cluster_%03d', cluster) AS uid, ls + global_start AS start, le + global_start AS "end", text, chunk_index, core_start, core_end FROM k),
+q AS (SELECT *, max(text) OVER (PARTITION BY doc_id, uid) AS name, CASE WHEN start >= core_start AND "end" <= core_end THEN 'core' WHEN "end" <= core_start THEN 'left_overlap' WHEN start >= core_end THEN 'right_overlap' ELSE 'cross_zone' END AS zone FROM o),
+r AS (SELECT doc_id, uid, name, start, "end", chunk_index, {TX.sql_normalize('text')} AS t, {TX.sql_content('text')} AS c, zone, text FROM q),{_SETS}"""
+_ROWS += _SETS
 
 
 def _pairs(condition: str, by: str = "") -> str:
@@ -157,12 +186,12 @@ ORACLES = {
     "anchor_bank": _bank("doc_id || ':' || global_cluster_uid", "", 0.95),
     "anchor_bank_by_document": _bank("global_cluster_uid", "doc_id", 0.5),
     "er_evidence": f"WITH {_ROWS} SELECT doc_id, uid, name, n_mentions, chunk_min, chunk_max, first_start, n_keys, n_relevant, n_overlap, n_overlap_relevant, anchor, CASE WHEN len(nc) > 0 THEN {TX.sql_singular('nc[-1]')} ELSE '' END AS head FROM named",
-    "er_stitching": f"WITH {_ROWS}, {_pairs('overlap AND ' + TX.sql_normalize('name') + chr(32) + '<> ' + chr(39) * 2, TX.sql_normalize('name'))} SELECT doc_id, left_uid, right_uid, shared AS shared_overlap_mention_count FROM pairs",
-    "er_adjacent_overlap": f"""WITH {_ROWS}, {_pairs('overlap AND relevant')}
+    "er_stitching": f"WITH {_NAME_ROWS}, {_pairs('overlap AND ' + TX.sql_normalize('name') + chr(32) + '<> ' + chr(39) * 2, TX.sql_normalize('name'))} SELECT doc_id, left_uid, right_uid, shared AS shared_overlap_mention_count FROM pairs",
+    "er_adjacent_overlap": f"""WITH {_NAME_ROWS}, {_pairs('overlap AND relevant')}
 SELECT p.doc_id, left_uid, right_uid, shared, shared / least(a.n_overlap_relevant, b.n_overlap_relevant) AS overlap_coefficient FROM pairs p JOIN sets a ON p.doc_id = a.doc_id AND left_uid = a.uid JOIN sets b ON p.doc_id = b.doc_id AND right_uid = b.uid
-WHERE (a.chunk_max + 1 = b.chunk_min OR b.chunk_max + 1 = a.chunk_min) AND shared / least(a.n_overlap_relevant, b.n_overlap_relevant) >= 0.2""",
-    "er_overlap_coefficient": f"""WITH {_ROWS}, {_pairs('relevant')}
-SELECT p.doc_id, left_uid, right_uid, shared, shared / least(a.n_relevant, b.n_relevant) AS overlap_coefficient FROM pairs p JOIN sets a ON p.doc_id = a.doc_id AND left_uid = a.uid JOIN sets b ON p.doc_id = b.doc_id AND right_uid = b.uid WHERE shared / least(a.n_relevant, b.n_relevant) >= 0.5""",
+WHERE (a.chunk_max + 1 = b.chunk_min OR b.chunk_max + 1 = a.chunk_min) AND shared >= 2 AND shared / least(a.n_overlap_relevant, b.n_overlap_relevant) >= 0.8""",
+    "er_overlap_coefficient": f"""WITH {_NAME_ROWS}, {_pairs('relevant')}
+SELECT p.doc_id, left_uid, right_uid, shared, shared / least(a.n_relevant, b.n_relevant) AS overlap_coefficient FROM pairs p JOIN sets a ON p.doc_id = a.doc_id AND left_uid = a.uid JOIN sets b ON p.doc_id = b.doc_id AND right_uid = b.uid WHERE shared >= 2 AND shared / least(a.n_relevant, b.n_relevant) >= 0.75""",
     "er_same_anchor": f"WITH {_ROWS} SELECT doc_id, uid, anchor, representative, n - 1 AS n_linked FROM (SELECT doc_id, uid, anchor, min(uid) OVER w AS representative, count(*) OVER w AS n FROM named WHERE anchor IS NOT NULL WINDOW w AS (PARTITION BY doc_id, anchor)) WHERE n > 1",
     "er_head_alias": f"""
 WITH n AS (SELECT DISTINCT doc_id, unnest(string_split(canonical_names, '|')) AS name FROM global_clusters),
@@ -200,6 +229,7 @@ s AS (SELECT *, count(*) FILTER (n_mentions >= cutoff) OVER (PARTITION BY doc_id
 
 
 ORACLES |= {
+    "name_mentions_recorded": f"WITH {_NAME_ROWS} SELECT doc_id, uid, name, start, \"end\", text, zone, chunk_index FROM r",
     "er_names": f"WITH {_NUMBERED} SELECT doc_id, component, canonical_name FROM nm",
     "er_non_singletons": f"WITH {_NUMBERED} SELECT doc_id, global_cluster_uid, n_local_clusters, n_mentions, canonical_name, local_cluster_uids FROM res WHERE n_local_clusters >= 2",
     "er_relevant_texts": f"WITH {_ROWS} SELECT doc_id, uid, t AS text_key, count(*) AS n FROM e WHERE relevant GROUP BY doc_id, uid, t",

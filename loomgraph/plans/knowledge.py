@@ -13,9 +13,11 @@ from loomgraph.operators import graphview as V
 from loomgraph.operators import ontology as O
 from loomgraph.operators import relations as L
 from loomgraph.operators import scoring as S
+from loomgraph.operators import tokens as T
 from loomgraph.operators.layer import with_profiles
 from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
+from loomgraph.plans.documents import _PIECES, _SENTENCES
 from loomgraph.runtime import evaluated_once, scratch_path, table
 from loomgraph.sources import files as FS
 from loomgraph.sources import store as ST
@@ -169,6 +171,42 @@ def relation_routed(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "relation_id", F.size("properties").alias("n_properties"), F.lit(None).cast("string").alias("reason")).union(dropped.select("doc_id", "relation_id", F.lit(0), "reason"))
 
 
+def _syntax(spark: SparkSession, folder: str) -> DataFrame:
+    return T.rule_syntax(T.tokenize(table(spark, folder, "documents"), starts="sentence_starts"))
+
+
+def syntax_predicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicates of all sentences under the rule-based syntax."""
+    return L.predicates(_syntax(spark, folder)).drop("sentence_id")
+
+
+def syntax_arguments(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects and objects of the predicates."""
+    subjects, objects = L.arguments(_syntax(spark, folder))
+    none = F.lit(None).cast("string")
+    return subjects.select("doc_id", "predicate_i", "token_i", F.lit("subject").alias("dep"), none.alias("prep")).union(objects.select("doc_id", "predicate_i", "token_i", "dep", "prep"))
+
+
+def syntax_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Relation candidates: predicates between mentions of different clusters, the mentions being the capitalized arguments themselves."""
+    syntax = _syntax(spark, folder)
+    names = syntax.where("pos = 'PROPN'").select("doc_id", F.col("token_i").alias("mention_id"), F.conv(F.substring(F.md5("lemma"), 1, 15), 16, 10).cast("bigint").alias("cluster_id"), F.col("token_i").alias("start"), (F.col("token_i") + 1).alias("end"), F.col("token_i").alias("head_token_i"))
+    return L.relation_candidates(syntax, names).select("doc_id", "relation_id", "source_mention_id", "predicate_token_i", "predicate_start", "predicate_end", "target_mention_id", "predicate_label", "object_dep", "is_passive", "is_negated")
+
+
+def relation_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Properties of the latest relations scored anew among the candidates their clusters' classes allow, under the stand-in scorer."""
+    triples, classes, edges = _ontology(spark)
+    closed = O.closure(classes, edges)
+    props = O.property_table(triples, closed)
+    routes = O.routes_by_pair(O.route_table(props, closed), props)
+    rows = L.latest_relations(table(spark, folder, "relation_assignments")).select("doc_id", "relation_id", "source_cluster_id", "target_cluster_id")
+    routed, _ = L.route_candidates(rows, _typed(spark, folder).select("doc_id", "cluster_id", "class_iri"), routes)
+    premise = L.premise(F.concat(F.lit("of relation "), "relation_id"), X.local_name("source_class"), F.lit("to"), X.local_name("target_class"))
+    scored = L.assign_properties(routed.withColumn("premise", premise))
+    return scored.select("doc_id", "relation_id", "selection_method", F.size("probabilities").alias("n_properties"), F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
 def onto_closure(spark: SparkSession, folder: str) -> DataFrame:
     _, classes, edges = _ontology(spark)
     return O.closure(classes, edges)
@@ -325,7 +363,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_tasks, score_margins, score_softmax, score_seeds, trait_latest, trait_pending, trait_mention_scores, trait_profiles, trait_profiles_rounded, trait_alignment, typing_walks, typing_classes, typing_evidence_errors,
-        relation_latest, relation_properties, relation_assertions, relation_assertions_by_sum, relation_report, relation_dangling, relation_routed, relation_index, relation_counts, onto_closure, onto_children, onto_leaves, onto_routes, onto_tree, onto_aliases,
+        relation_latest, relation_properties, relation_assertions, relation_assertions_by_sum, relation_report, relation_dangling, relation_routed, relation_index, relation_counts, relation_scored, syntax_predicates, syntax_arguments, syntax_candidates, onto_closure, onto_children, onto_leaves, onto_routes, onto_tree, onto_aliases,
         kg_triples, kg_ntriples, kg_duplicate_names, kg_edges, kg_degrees, kg_nodes, kg_class_counts, kg_dot, store_remaining, store_stage, store_redone, store_duplicates, store_missing_references, store_cache, stream_windows,
     )
 }
@@ -558,10 +596,32 @@ hurt AS (SELECT min(part) AS part FROM p WHERE part < 's')
 SELECT DISTINCT part FROM p WHERE part >= 's' OR part IN (SELECT part FROM hurt) OR part IS NULL""",
 }
 
+_SYNTAX = rf"""{_PIECES}, {_SENTENCES},
+words AS (SELECT t.doc_id, s.sentence_index AS sid, t.token_id AS i, regexp_replace(t.text, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS x FROM toks t ASOF JOIN sents s ON t.doc_id = s.doc_id AND t.token_id >= s.start),
+v AS (SELECT *, lower(x) AS l, CASE WHEN regexp_matches(x, '^[a-z]{{2,}}ed$') THEN i END AS verb, lower(x) IN ({TX._list(T.PREPOSITIONS)}) AS prep FROM words),
+n AS (SELECT *, last_value(verb IGNORE NULLS) OVER (PARTITION BY doc_id, sid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, first_value(verb IGNORE NULLS) OVER (PARTITION BY doc_id, sid ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next,
+    coalesce(lag(prep) OVER (PARTITION BY doc_id, sid ORDER BY i), false) AS ap, regexp_matches(x, '^\p{{Lu}}\p{{L}}+') AS nm FROM v),
+d AS (SELECT *, CASE WHEN verb IS NOT NULL THEN 'ROOT' WHEN l = 'not' AND next = i + 1 THEN 'neg' WHEN l IN ({TX._list(T.PASSIVE)}) AND next = i + 1 THEN 'auxpass' WHEN l IN ({TX._list(T.PARTICLES)}) AND last = i - 1 THEN 'prt' WHEN prep AND last IS NOT NULL THEN 'prep'
+    WHEN nm AND next IS NOT NULL THEN 'nsubj' WHEN nm AND last IS NOT NULL AND ap THEN 'pobj' WHEN nm AND last IS NOT NULL THEN 'dobj' ELSE '' END AS dep FROM n),
+syn AS (SELECT *, CASE WHEN dep IN ('neg', 'auxpass', 'nsubj') THEN next WHEN dep IN ('prt', 'prep', 'dobj') THEN last WHEN dep = 'pobj' THEN i - 1 ELSE i END AS head FROM d),
+preds AS (SELECT v.doc_id, v.i AS predicate_i, v.l || coalesce(max('_' || c.l) FILTER (c.dep = 'prt'), '') AS label, coalesce(bool_or(c.dep = 'auxpass'), false) AS is_passive, coalesce(bool_or(c.dep = 'neg'), false) AS is_negated, v.i AS predicate_start, v.i + 1 + count(*) FILTER (c.dep = 'prt') AS predicate_end
+  FROM syn v LEFT JOIN syn c ON v.doc_id = c.doc_id AND c.head = v.i AND c.i <> c.head WHERE v.verb IS NOT NULL GROUP BY v.doc_id, v.i, v.l),
+subj AS (SELECT doc_id, head AS predicate_i, i AS token_i, l FROM syn WHERE dep = 'nsubj'),
+obj AS (SELECT doc_id, head AS predicate_i, i AS token_i, l, dep, CAST(NULL AS BIGINT) AS prep_i, CAST(NULL AS VARCHAR) AS prep FROM syn WHERE dep = 'dobj'
+  UNION ALL SELECT o.doc_id, p.head, o.i, o.l, 'pobj', p.i, p.l FROM syn o JOIN syn p ON o.doc_id = p.doc_id AND o.head = p.i WHERE o.dep = 'pobj' AND p.dep = 'prep')"""
+ORACLES |= {
+    "syntax_predicates": f"WITH {_SYNTAX} SELECT doc_id, predicate_i, label, is_passive, is_negated, predicate_start, predicate_end FROM preds",
+    "syntax_arguments": f"WITH {_SYNTAX} SELECT doc_id, predicate_i, token_i, 'subject' AS dep, CAST(NULL AS VARCHAR) AS prep FROM subj UNION ALL SELECT doc_id, predicate_i, token_i, dep, prep FROM obj",
+    "syntax_candidates": f"""WITH {_SYNTAX} SELECT DISTINCT p.doc_id, 'rel_' || s.token_i || '_' || p.predicate_i || '_' || o.token_i AS relation_id, s.token_i AS source_mention_id, p.predicate_i AS predicate_token_i, least(predicate_start, coalesce(prep_i, predicate_start)) AS predicate_start,
+  greatest(predicate_end, coalesce(prep_i + 1, predicate_end)) AS predicate_end, o.token_i AS target_mention_id, label || coalesce('_' || prep, '') AS predicate_label, o.dep AS object_dep, is_passive, is_negated
+FROM preds p JOIN subj s ON p.doc_id = s.doc_id AND p.predicate_i = s.predicate_i JOIN obj o ON p.doc_id = o.doc_id AND p.predicate_i = o.predicate_i WHERE s.l <> o.l""",
+    "relation_scored": f"""WITH RECURSIVE {_ROUTED} SELECT doc_id, relation_id, CASE WHEN n = 1 THEN 'single_candidate_router' ELSE 'nli_grouped_softmax' END AS selection_method, n AS n_properties, 1.0 AS total FROM x JOIN pairs ON x.sc = pairs.sc AND x.tc = pairs.tc""",
+}
+
 _DOUBLES = {
     "score_tasks": _COLUMNS, "score_margins": ["confidence", "margin"], "score_softmax": ["share"], "trait_latest": ["openness_positive_probability"],
     "trait_mention_scores": [f"{t}_{x}" for t in S.TRAITS for x in ("score", "neutral")] + ["weight"], "trait_profiles": S.TRAITS, "relation_properties": ["p"], "relation_assertions": ["aggregated_score"],
-    "relation_assertions_by_sum": ["aggregated_score"], "relation_report": ["aggregated_score"], "stream_windows": ["total"], "typing_classes": ["confidence"],
+    "relation_assertions_by_sum": ["aggregated_score"], "relation_report": ["aggregated_score"], "stream_windows": ["total"], "typing_classes": ["confidence"], "relation_scored": ["total"],
 }
 for _name, _columns in _DOUBLES.items():
     QUERIES[_name] = rounded(QUERIES[_name])
