@@ -183,9 +183,10 @@ def placed_span(start: int, end: int, words: list[str], sentences: list[int], ex
         return None
     readings = [(start, last + 1) for last in ((end, end - 1) if end > start else (end,)) if last < len(words) and (not within_sentence or sentences[start] == sentences[last])]
     if expected is not None:
-        for a, b in readings:
-            if plain(" ".join(words[a:b])) == plain(expected):
-                return a, b
+        for form in (" ".join, lambda ws: plain(" ".join(ws))):  # as written, then by letters and digits alone
+            for a, b in readings:
+                if form(words[a:b]) == form(expected.split()):
+                    return a, b
     same = [r for r in readings if sentences[r[0]] == sentences[r[1] - 1]]
     return (same or readings or [None])[0]
 

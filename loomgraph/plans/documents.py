@@ -10,21 +10,25 @@ from loomgraph.operators import chunks as C
 from loomgraph.operators import mentions as M
 from loomgraph.operators import tokens as T
 from loomgraph.plans.text import _list, sql_context_key, sql_normalize, sql_squeeze, sql_strip
-from loomgraph.runtime import evaluated_once, table
+from loomgraph.runtime import evaluated_once, spread, table
 
 LIMIT, OVERLAP = 400, 2
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "sentence_starts"))
+
+
 def tok_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return T.tokenize(table(spark, folder, "documents")).where("not is_space").select("doc_id", "token_id", "text", "char_start", "char_end", "byte_start", "byte_end", "paragraph_id")
+    return T.tokenize(_documents(spark, folder)).where("not is_space").select("doc_id", "token_id", "text", "char_start", "char_end", "byte_start", "byte_end", "paragraph_id")
 
 
 def tok_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return T.sentences(table(spark, folder, "documents"))
+    return T.sentences(_documents(spark, folder))
 
 
 def _with_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return T.tokenize(table(spark, folder, "documents"), starts="sentence_starts")
+    return T.tokenize(_documents(spark, folder), starts="sentence_starts")
 
 
 def tok_sentence_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,11 +48,11 @@ def tok_export(spark: SparkSession, folder: str) -> DataFrame:
 def tok_span_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Compact token ranges of the mentions' spans, read as spans over all tokens."""
     spans = table(spark, folder, "trait_evidence").select("doc_id", F.col("mention_id").alias("span_id"), F.col("mention_start").alias("start"), F.col("mention_end").alias("end")).distinct()
-    return T.span_token_ranges(spans, T.tokenize(table(spark, folder, "documents")))
+    return T.span_token_ranges(spans, T.tokenize(_documents(spark, folder)))
 
 
 def chunk_plan(spark: SparkSession, folder: str) -> DataFrame:
-    return C.plan_chunks(T.sentences(table(spark, folder, "documents")), LIMIT, OVERLAP)
+    return C.plan_chunks(T.sentences(_documents(spark, folder)), LIMIT, OVERLAP)
 
 
 def chunk_cover(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +71,7 @@ def chunk_model_cover(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return T.sentences(table(spark, folder, "documents")).groupBy("doc_id").agg(F.max("end").alias("n_doc_tokens"))
+    return T.sentences(_documents(spark, folder)).groupBy("doc_id").agg(F.max("end").alias("n_doc_tokens"))
 
 
 def chunk_plan_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +82,7 @@ def chunk_plan_violations(spark: SparkSession, folder: str) -> DataFrame:
 def chunk_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Materialized chunks of the recorded plan: tokens, core tokens and first word."""
     spans = table(spark, folder, "chunks").dropDuplicates(["doc_id", "chunk_id"])
-    rows = C.chunk_tokens(T.tokenize(table(spark, folder, "documents")).where("token_id is not null"), spans)
+    rows = C.chunk_tokens(T.tokenize(_documents(spark, folder)).where("token_id is not null"), spans)
     return rows.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_core").alias("n_core"), F.min_by("text", "local_i").alias("first_word"))
 
 
@@ -105,7 +109,7 @@ def mention_zones(spark: SparkSession, folder: str) -> DataFrame:
 def mention_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence that contains each mention, -1 where none does."""
     spans = _evidence(spark, folder).select("doc_id", F.col("mention_id").alias("span_id"), F.col("mention_start").alias("start"), F.col("mention_end").alias("end"))
-    return M.sentence_of_spans(spans, T.sentences(table(spark, folder, "documents"))).select("doc_id", F.col("span_id").alias("mention_id"), F.coalesce(F.col("sentence_index").cast("bigint"), F.lit(-1).cast("bigint")).alias("sentence_index"))
+    return M.sentence_of_spans(spans, T.sentences(_documents(spark, folder))).select("doc_id", F.col("span_id").alias("mention_id"), F.coalesce(F.col("sentence_index").cast("bigint"), F.lit(-1).cast("bigint")).alias("sentence_index"))
 
 
 def mention_contexts(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,7 +178,7 @@ def mention_name_index(spark: SparkSession, folder: str) -> DataFrame:
 def name_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """Stand-in coreference over the planned chunks, as local mentions."""
     plan = chunk_plan(spark, folder)
-    return M.local_mention_rows(M.name_mentions(C.chunk_tokens(T.tokenize(table(spark, folder, "documents")), plan)), plan)
+    return M.local_mention_rows(M.name_mentions(C.chunk_tokens(T.tokenize(_documents(spark, folder)), plan)), plan)
 
 
 QUERIES = {

@@ -14,7 +14,7 @@ from loomgraph.operators import resolution as R
 from loomgraph.operators import tokens as T
 from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
-from loomgraph.plans.documents import _EVIDENCE, _PIECES, _evidence
+from loomgraph.plans.documents import _EVIDENCE, _PIECES, _documents, _evidence
 from loomgraph.runtime import table
 
 
@@ -30,7 +30,7 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 def _name_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Capitalized runs in the recorded chunks as local mentions; what stands in an overlap stands in two chunks."""
     plan = table(spark, folder, "chunks").dropDuplicates(["doc_id", "chunk_id"])
-    found = M.name_mentions(C.chunk_tokens(T.tokenize(table(spark, folder, "documents")), plan))
+    found = M.name_mentions(C.chunk_tokens(T.tokenize(_documents(spark, folder)), plan))
     rows = M.local_mention_rows(found, plan)
     names = rows.groupBy("doc_id", "local_cluster_uid").agg(F.max("text").alias("name"))
     return rows.join(names, ["doc_id", "local_cluster_uid"]).select("doc_id", F.col("local_cluster_uid").alias("uid"), "name", F.col("global_start").alias("start"), F.col("global_end").alias("end"), "text", "zone", "chunk_index")

@@ -17,8 +17,8 @@ from loomgraph.operators import tokens as T
 from loomgraph.operators.layer import with_profiles
 from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
-from loomgraph.plans.documents import _PIECES, _SENTENCES
-from loomgraph.runtime import evaluated_once, scratch_path, table
+from loomgraph.plans.documents import _PIECES, _SENTENCES, _documents
+from loomgraph.runtime import cut, evaluated_once, scratch_path, table
 from loomgraph.sources import files as FS
 from loomgraph.sources import store as ST
 from loomgraph.streaming.arrivals import windowed_counts
@@ -165,14 +165,14 @@ def relation_routed(spark: SparkSession, folder: str) -> DataFrame:
     closed = O.closure(classes, edges)
     props = O.property_table(triples, closed)
     routes = O.routes_by_pair(O.route_table(props, closed), props)
-    typing = _typed(spark, folder).select("doc_id", "cluster_id", "class_iri")
+    typing = cut(_typed(spark, folder).select("doc_id", "cluster_id", "class_iri"), "typing")
     rows = L.latest_relations(table(spark, folder, "relation_assignments")).select("doc_id", "relation_id", "source_cluster_id", "target_cluster_id")
     kept, dropped = L.route_candidates(rows, typing, routes)
     return kept.select("doc_id", "relation_id", F.size("properties").alias("n_properties"), F.lit(None).cast("string").alias("reason")).union(dropped.select("doc_id", "relation_id", F.lit(0), "reason"))
 
 
 def _syntax(spark: SparkSession, folder: str) -> DataFrame:
-    return T.rule_syntax(T.tokenize(table(spark, folder, "documents"), starts="sentence_starts"))
+    return T.rule_syntax(T.tokenize(_documents(spark, folder), starts="sentence_starts"))
 
 
 def syntax_predicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,7 +201,7 @@ def relation_scored(spark: SparkSession, folder: str) -> DataFrame:
     props = O.property_table(triples, closed)
     routes = O.routes_by_pair(O.route_table(props, closed), props)
     rows = L.latest_relations(table(spark, folder, "relation_assignments")).select("doc_id", "relation_id", "source_cluster_id", "target_cluster_id")
-    routed, _ = L.route_candidates(rows, _typed(spark, folder).select("doc_id", "cluster_id", "class_iri"), routes)
+    routed, _ = L.route_candidates(rows, cut(_typed(spark, folder).select("doc_id", "cluster_id", "class_iri"), "typing"), routes)
     premise = L.premise(F.concat(F.lit("of relation "), "relation_id"), X.local_name("source_class"), F.lit("to"), X.local_name("target_class"))
     scored = L.assign_properties(routed.withColumn("premise", premise))
     return scored.select("doc_id", "relation_id", "selection_method", F.size("probabilities").alias("n_properties"), F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, v: a + v).alias("total"))
@@ -245,7 +245,7 @@ def _entities(spark: SparkSession, folder: str) -> DataFrame:
 
 def _triples(spark: SparkSession, folder: str) -> DataFrame:
     profiles = S.trait_profiles(S.latest(table(spark, folder, "trait_evidence")), 2)
-    entities = _entities(spark, folder).join(profiles, ["doc_id", "cluster_id"], "left")
+    entities = cut(_entities(spark, folder).join(profiles, ["doc_id", "cluster_id"], "left"), "entities")
     facts = L.assertions(L.latest_relations(table(spark, folder, "relation_assignments")), 1, 0.5)
     return O.entity_triples(entities, BASE, S.TRAITS).union(O.relation_triples(facts, entities, BASE)).distinct()
 
@@ -272,16 +272,16 @@ def kg_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 def kg_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """The 200 best linked resources for display."""
-    nodes, _ = V.project(_triples(spark, folder), max_nodes=200)
+    nodes, _ = V.project(cut(_triples(spark, folder), "triples"), max_nodes=200)
     return nodes.select("id", "label", F.array_join("classes", "|").alias("classes"), "degree", F.coalesce(F.size("ocean_traits"), F.lit(0)).alias("n_traits"))
 
 
 def kg_class_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return V.class_counts(V.project(_triples(spark, folder), isolated=True)[0])
+    return V.class_counts(V.project(cut(_triples(spark, folder), "triples"), isolated=True)[0])
 
 
 def kg_dot(spark: SparkSession, folder: str) -> DataFrame:
-    return V.dot_lines(*V.project(_triples(spark, folder), max_nodes=200))
+    return V.dot_lines(*V.project(cut(_triples(spark, folder), "triples"), max_nodes=200))
 
 
 def store_remaining(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.functions.matching import with_lexical_match, word_match
 from loomgraph.plans import rounded, rounded_sql
-from loomgraph.runtime import table
+from loomgraph.runtime import spread, table
 
 WS = X.BLANK
 
@@ -19,7 +19,7 @@ def _mentions(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned documents."""
-    return table(spark, folder, "documents").select("doc_id", X.clean_text("text").alias("clean_text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", X.clean_text("text").alias("clean_text"))
 
 
 def text_keys(spark: SparkSession, folder: str) -> DataFrame:

@@ -236,6 +236,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many parts as there are cores, for steps that cost far more than a shuffle of their input.
+
+    Only input that comes in fewer files than there are cores is moved; of a large table nothing is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.tokens import tokenize
-from loomgraph.runtime import path_exists
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
@@ -14,25 +13,20 @@ def document_stream(spark: SparkSession, folder: str, schema: str, files_per_tri
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def append_new(batch: DataFrame, target: str, key: str, number: int) -> None:
-    """Append the records of a micro-batch that the target lacks; a replayed batch replaces itself."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
-    if path_exists(spark, target):
-        seen = spark.read.parquet(target).where(F.col("batch") != number).select(key).distinct()
-        fresh = fresh.join(seen, key, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-
 def run_intake(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, key: str = "doc_id"):
-    """Drain what has arrived into ``target``/documents and ``target``/tokens; state is in ``checkpoint``."""
+    """Drain what has arrived into ``target``/documents and ``target``/tokens, once per key; state is in ``checkpoint``.
+
+    Which keys have been seen is the stream's own state, so a micro-batch reads nothing of what was
+    written before; a replayed one replaces itself. Records without key are ignored.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
-        append_new(batch, f"{target}/documents", key, number)
-        done = spark.read.parquet(f"{target}/documents").where(F.col("batch") == number)
+        batch.write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
+        done = spark.read.parquet(f"{target}/documents/batch={number}")
         tokenize(done).write.mode("overwrite").parquet(f"{target}/tokens/batch={number}")
 
-    query = document_stream(spark, folder, schema).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = document_stream(spark, folder, schema).where(F.col(key).isNotNull()).dropDuplicates([key])
+    query = fresh.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
