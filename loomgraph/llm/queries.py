@@ -9,29 +9,33 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import canonical, contamination, cutoff, dedup, grouping, mixture, pii, sampling, splitting
 from loomgraph.operators.change_capture import last_success
-from loomgraph.runtime import evaluated_once, shared_dir, table
+from loomgraph.runtime import evaluated_once, shared_dir, spread, table
 from loomgraph.sources.store import stable_hash
 
 SAMPLE_SHARE = 0.1
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source", "sentence_starts"))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     edges = grouping.edges_of_pairs(table(spark, folder, "merge_edges")).union(grouping.edges_of_lists(table(spark, folder, "global_clusters")))
     return grouping.link_groups(edges).select(F.col("scope").alias("doc_id"), F.col("member").alias("component_uid"), F.col("group").alias("group_uid"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = splitting.split_chunks(table(spark, folder, "chunks"), table(spark, folder, "documents"))
+    pieces = splitting.split_chunks(table(spark, folder, "chunks"), _documents(spark, folder))
     return pieces.where("size(pieces) > 1").select("doc_id", "chunk_id")
 
 
 def p2_chunk_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = splitting.split_chunks(table(spark, folder, "chunks"), table(spark, folder, "documents"))
+    pieces = splitting.split_chunks(table(spark, folder, "chunks"), _documents(spark, folder))
     return pieces.select("doc_id", "chunk_id", F.inline("pieces"))
 
 
 def p2_document_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return splitting.split_documents(table(spark, folder, "documents")).select("doc_id", F.inline("pieces"))
+    return splitting.split_documents(_documents(spark, folder)).select("doc_id", F.inline("pieces"))
 
 
 def _cover(pieces: DataFrame, key: list[str]) -> DataFrame:
@@ -52,7 +56,7 @@ def p2_document_cover(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_document_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """Sentence starts among the cores, and sentences that the overlaps hold, of documents without a sentence over the limit."""
-    docs = evaluated_once(table(spark, folder, "documents").select("doc_id", "text", "sentence_starts"), "n", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint"))
+    docs = evaluated_once(_documents(spark, folder).select("doc_id", "text", "sentence_starts"), "n", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("bigint"))
     inner = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.filter("sentence_starts", lambda x: (x > 0) & (x < F.col("n"))), F.array("n"))))
     lengths = F.zip_with(F.slice("b", 2, F.size("b") - 1), F.slice("b", 1, F.size("b") - 1), lambda x, y: x - y)
     bounded = evaluated_once(docs.select("doc_id", "n", "sentence_starts"), "b", inner).where(F.array_max(lengths) <= 300).select("doc_id", "b")
@@ -119,20 +123,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination.leaked_documents(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return contamination.leaked_documents(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return contamination.leaked_spans(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p8_removals(spark: SparkSession, folder: str) -> DataFrame:
     """What to take out of each document, in characters: passages of all items, merged."""
-    return contamination.removal_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "char_start", "char_end", F.size("item_ids").alias("n_items"))
+    return contamination.removal_spans(_documents(spark, folder), table(spark, folder, "eval_items")).select("doc_id", "char_start", "char_end", F.size("item_ids").alias("n_items"))
 
 
 def _mixture(spark: SparkSession, folder: str) -> mixture.Mixture:
-    return mixture.Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mixture.Mixture(_documents(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,11 +148,11 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.find_pii(table(spark, folder, "documents"), table(spark, folder, "name_lexicon")).select("doc_id", "pii_kind", "char_start")
+    return pii.find_pii(_documents(spark, folder), table(spark, folder, "name_lexicon")).select("doc_id", "pii_kind", "char_start")
 
 
 def p10_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.redact_documents(table(spark, folder, "documents"), table(spark, folder, "name_lexicon"))
+    return pii.redact_documents(_documents(spark, folder), table(spark, folder, "name_lexicon"))
 
 
 QUERIES = {
