@@ -9,6 +9,7 @@ from loomgraph.operators import ontology as O
 from loomgraph.operators import relations as L
 from loomgraph.operators import resolution as R
 from loomgraph.operators import scoring as S
+from loomgraph.plans import knowledge
 
 BASE = "https://example.org/narrative#"
 
@@ -40,7 +41,7 @@ def test_typing_descent_golden(spark, golden):
     records = [json.loads(x) for x in block(golden("X2"), "json").strip().splitlines()]
     paths = [(1, 8, r["w"]["high"] + 0.5 * r["w"]["medium"], [(p, c or S.STAY, k, w) for p, c, k, w in r["path"]]) for r in records]
     evidence = spark.createDataFrame(paths, "doc_id bigint, cluster_id bigint, weight double, path array<struct<parent string, child string, edge_kind string, edge_weight double>>")
-    edges = [(p, i, c) for i, (c, p) in enumerate(sorted(O.PARENTS.items()))] + [(p, 1_000_000, S.STAY) for p in sorted(set(O.PARENTS.values()))]
+    edges = [(p, i, c) for i, (c, p) in enumerate(sorted(knowledge._PARENTS))] + [(p, 1_000_000, S.STAY) for p in sorted({p for _, p in knowledge._PARENTS})]
     options = spark.createDataFrame(edges, "parent string, ordinal int, child string")
     roots = spark.createDataFrame([("NarrativeEntity",)], "iri string")
     scores = S.edge_scores(evidence)
