@@ -116,7 +116,7 @@ def mention_contexts(spark: SparkSession, folder: str) -> DataFrame:
     """Contexts and rendered contexts of the mentions whose document is at hand."""
     docs = table(spark, folder, "documents")
     rows = _evidence(spark, folder).select("doc_id", "mention_id", F.col("mention_start").alias("start"), F.col("mention_end").alias("end"), F.col("mention_text").alias("text"), "subject")
-    return M.mention_contexts(rows, _with_sentences(spark, folder), T.sentences(docs), before=1, after=1, mark=True)
+    return M.mention_contexts(rows, T.tokenize(_documents(spark, folder)), T.sentences(docs), before=1, after=1, mark=True)
 
 
 def mention_windows(spark: SparkSession, folder: str) -> DataFrame:
