@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.tokens import per_document, starts_within, with_spans, words_of
+
 SPECS = "array<struct<global_start:bigint,global_end:bigint,core_start:bigint,core_end:bigint,sentence_start:bigint,sentence_end:bigint>>"
 
 
@@ -156,3 +159,56 @@ def model_input(chunk_token_table: DataFrame, sentence_of: DataFrame) -> DataFra
     rows = chunk_token_table.join(sentence_of.select("doc_id", "token_id", "sentence_id"), ["doc_id", "token_id"])
     packed = rows.groupBy("doc_id", "chunk_id", F.col("sentence_id").alias("sentence_index")).agg(F.array_sort(F.collect_list(F.struct("token_id", "text"))).alias("w"))
     return packed.select("doc_id", "chunk_id", "sentence_index", F.transform("w", lambda x: x["text"]).alias("words"), F.transform("w", lambda x: x["token_id"]).alias("token_ids"))
+
+
+# The same from whole documents.
+
+
+def planned_input(documents: DataFrame, limit: int = 8000, overlap: int = 80, prefix: str = "chunk") -> DataFrame:
+    """The :func:`model_input` of the plan of :func:`plan_chunks`, made document by document (doc_id, text, sentence_starts) without a shuffle."""
+
+    def sentences_of(doc: int, text: str | None, begins: list | None) -> Iterator[tuple]:
+        words = words_of(text)
+        starts = starts_within(begins, len(words))
+        bounds = [*starts, len(words)]
+        for k, (left, right, *_) in enumerate(covering_ranges(starts, len(words), limit, overlap)):
+            at = bisect_right(starts, left) - 1
+            while at < len(starts) and starts[at] < right:
+                a, b = max(left, bounds[at]), min(right, bounds[at + 1])
+                yield doc, f"{prefix}_{k:03d}", at, words[a:b], list(range(a, b))
+                at += 1
+
+    return per_document(documents.select("doc_id", "text", "sentence_starts"), sentences_of, "doc_id bigint, chunk_id string, sentence_index bigint, words array<string>, token_ids array<bigint>", 5_000)
+
+
+def input_cover(model_input_table: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, first_token, last_token): the tokens that stand in any chunk's input, each counted once.
+
+    A sentence's ascending numbers travel as the run they form, or one by one where they form none.
+    """
+    ids = F.col("token_ids")
+    first, last = F.get(ids, 0), F.element_at(ids, -1)
+    run = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    runs = F.when(last - first + 1 == F.size(ids), F.array(run(first, last + 1))).otherwise(F.transform(ids, lambda t: run(t, t + 1)))
+    packed = model_input_table.where("size(token_ids) > 0").select("doc_id", F.explode(runs).alias("r")).groupBy("doc_id").agg(F.array_sort(F.collect_set("r")).alias("r"))
+    step = lambda held, r: F.struct((held["n"] + F.greatest(r["b"] - F.greatest(r["a"], held["upto"]), F.lit(0))).alias("n"), F.greatest(held["upto"], r["b"]).alias("upto"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.get("r", 0)["a"].alias("upto"))
+    return packed.select("doc_id", F.get("r", 0)["a"].alias("first_token"), F.aggregate("r", start, step).alias("s")).select("doc_id", F.col("s.n").alias("n_tokens"), "first_token", (F.col("s.upto") - 1).alias("last_token"))
+
+
+def token_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, n, n_core, first_word) of the chunks that hold a token of their document (doc_id, text)."""
+
+    def counts(doc: int, text: str, spans: list[dict]) -> Iterator[tuple]:
+        words = words_of(text)
+        for s in spans:
+            if s["global_start"] is None or s["global_end"] is None:
+                continue
+            a, b = max(s["global_start"], 0), min(s["global_end"], len(words))
+            if a < b:
+                core = 0 if s["core_start"] is None or s["core_end"] is None else max(0, min(b, s["core_end"]) - max(a, s["core_start"]))
+                yield doc, s["chunk_id"], b - a, core, a, words[a]
+
+    spans = chunks.select("doc_id", "chunk_id", "global_start", "global_end", "core_start", "core_end")
+    rows = per_document(with_spans(documents.select("doc_id", "text"), spans), counts, "doc_id bigint, chunk_id string, n bigint, n_core bigint, first bigint, first_word string")
+    return rows.groupBy("doc_id", "chunk_id").agg(F.sum("n").alias("n"), F.sum("n_core").alias("n_core"), F.min_by("first_word", "first").alias("first_word"))

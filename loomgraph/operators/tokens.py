@@ -7,13 +7,15 @@ delivers the same columns (``pos``, ``dep``, ``head_i`` and ``lemma`` are null i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import evaluated_once
+from loomgraph.runtime import evaluated_once, partitions_for
 
 TOKENS = "doc_id bigint, token_i bigint, token_id bigint, text string, char_start bigint, char_end bigint, byte_start bigint, byte_end bigint, paragraph_id bigint, is_space boolean"
 _PIECES = re.compile(r"\S+|\s+")
@@ -94,6 +96,47 @@ def sentences(documents: DataFrame, starts: str = "sentence_starts") -> DataFram
     )
 
 
+# Work on whole documents: only its result leaves the task, never a row per token.
+
+_WORD = re.compile(r"\S+", re.ASCII)
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text by token_id, divided at the blanks at which :func:`sentences` counts them."""
+    return _WORD.findall(text or "")
+
+
+def starts_within(begins: list[int | None] | None, size: int) -> list[int]:
+    """The sentence starts of a text of ``size`` words, as :func:`sentences` has them."""
+    return sorted({0, *(s for s in begins or () if s is not None and 0 < s < size)}) if size else []
+
+
+def per_document(documents: DataFrame, work: Callable[..., Iterator[tuple]], schema: str, size: int = 20_000) -> DataFrame:
+    """The rows that ``work`` makes of the columns of each document, ``size`` of them at a time; no shuffle."""
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = (row for document in zip(*(c.to_pylist() for c in batch.columns)) for row in work(*document))
+            while held := list(islice(made, size)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*held), types)], names=list(names))
+
+    return documents.mapInArrow(run, schema)
+
+
+def with_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """Documents (doc_id first) with ``spans``, the array of the distinct rows of the span table (doc_id, ..) that lie in them; those without any are left out.
+
+    A merge join, as the size of neither side is known beforehand: the optimizer takes documents for as
+    small as their files, and would send them to the driver.
+    """
+    columns = [c for c in spans.columns if c != "doc_id"]
+    packed = spans.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(*columns))).alias("spans"))
+    parts = max(documents.sparkSession.sparkContext.defaultParallelism, partitions_for(documents))
+    return documents.where("text is not null").repartition(parts, "doc_id").join(packed.hint("merge"), "doc_id")
+
+
 def with_sentences(tokens: DataFrame, sentence_table: DataFrame) -> DataFrame:
     """Tokens with sentence_id and token_id_in_sentence; blank tokens keep both null.
 
@@ -124,6 +167,25 @@ def span_token_ranges(spans: DataFrame, tokens: DataFrame, inclusive: bool = Fal
     return inside.join(words, ["doc_id", "token_i"]).groupBy("doc_id", "span_id").agg(F.min("token_id").alias("token_start"), (F.max("token_id") + (0 if inclusive else 1)).alias("token_end"))
 
 
+def document_span_ranges(documents: DataFrame, spans: DataFrame, inclusive: bool = False) -> DataFrame:
+    """The same as :func:`span_token_ranges` from the documents' texts (doc_id, text) instead of their tokens."""
+
+    def ranges(doc: int, text: str, asked: list[dict]) -> Iterator[tuple]:
+        places, before, wide = [], 0, 0
+        for k, m in enumerate(_WORD.finditer(text)):
+            wide += m.start() - before > 1
+            places.append(k + wide)
+            before = m.end()
+        for span in asked:
+            if span["start"] is not None and span["end"] is not None and span["end"] > span["start"]:
+                first, stop = bisect_left(places, span["start"]), bisect_left(places, span["end"])
+                if stop > first:
+                    yield doc, span["span_id"], first, stop - 1 if inclusive else stop
+
+    found = per_document(with_spans(documents.select("doc_id", "text"), spans.select("doc_id", F.col("span_id").cast("string"), "start", "end")), ranges, "doc_id bigint, span_id string, token_start bigint, token_end bigint")
+    return found.groupBy("doc_id", F.col("span_id").cast(spans.schema["span_id"].dataType).alias("span_id")).agg(F.min("token_start").alias("token_start"), F.max("token_end").alias("token_end"))
+
+
 def token_export(tokens: DataFrame) -> DataFrame:
     """The 18 export columns; lemma falls back to the text, recognizer columns are blank where absent."""
     have = set(tokens.columns)
