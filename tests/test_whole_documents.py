@@ -37,3 +37,11 @@ def test_model_cover_counts_each_token_once(spark, docs, rows):
     assert rows(C.input_cover(table).select("doc_id", "n_tokens", "first_token", "last_token")) == [(1, 5, 3, 9), (2, 4, 7, 12)]
     sizes = [(i, len(T.words_of(t)), 0, len(T.words_of(t)) - 1) for i, t in enumerate(TEXTS) if T.words_of(t)]
     assert rows(C.input_cover(C.planned_input(docs, 10, 1)).select("doc_id", "n_tokens", "first_token", "last_token")) == sizes
+
+
+def test_planned_input_is_that_of_the_plan(spark, docs, rows):
+    assert not sends_tokens(spark, "chunk_model_input")
+    tokens = T.tokenize(docs, starts="sentence_starts")
+    for limit, overlap in ((10, 1), (6, 2), (400, 2)):
+        old = C.model_input(C.chunk_tokens(tokens, C.plan_chunks(T.sentences(docs), limit, overlap)), tokens)
+        assert rows(C.planned_input(docs, limit, overlap)) == rows(old)
