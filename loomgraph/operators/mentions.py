@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +15,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.functions.probability import cluster_seed
+from loomgraph.operators.chunks import covering_ranges
+from loomgraph.operators.tokens import per_document, starts_within, with_spans, words_of
 from loomgraph.runtime import running_counts
 
 NAME_RUN = r"(?<![\p{L}\p{N}'’-])\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*)*"
@@ -30,12 +36,16 @@ def local_mention_rows(extracted: DataFrame, chunks: DataFrame) -> DataFrame:
     head = F.col("head_local_i") if "head_local_i" in extracted.columns else F.lit(None).cast("bigint")
     order = Window.partitionBy("doc_id", "chunk_id", "local_cluster_id").orderBy("local_start", "local_end", "text")
     spec = chunks.dropDuplicates(["doc_id", "chunk_id"]).select("doc_id", "chunk_id", "chunk_index", "global_start", "core_start", "core_end")
-    rows = extracted.withColumn("head_local_i", head).join(spec.withColumnRenamed("global_start", "base"), ["doc_id", "chunk_id"]).withColumn("local_mention_id", (F.row_number().over(order) - 1).cast("bigint"))
+    return _placed_rows(extracted.withColumn("head_local_i", head).join(spec.withColumnRenamed("global_start", "base"), ["doc_id", "chunk_id"]).withColumn("local_mention_id", (F.row_number().over(order) - 1).cast("bigint")))
+
+
+def _placed_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """Numbered mentions of chunks (with ``base`` and core) with global offsets, zones and formatted ids."""
     start, end = F.col("local_start") + F.col("base"), F.col("local_end") + F.col("base")
     rows = rows.withColumn("global_start", start).withColumn("global_end", end).withColumn("zone", zone_of(start, end, F.col("core_start"), F.col("core_end"))).withColumn("local_cluster_uid", X.local_cluster_uid("chunk_id", "local_cluster_id"))
     return rows.select(
         "doc_id", X.local_mention_uid("local_cluster_uid", "local_mention_id").alias("local_mention_uid"), "local_cluster_uid", "chunk_id", "chunk_index", F.col("local_cluster_id").cast("bigint").alias("local_cluster_id"), "local_mention_id",
-        "local_start", "local_end", "global_start", "global_end", "text", "head_local_i", (F.col("head_local_i") + F.col("base")).alias("head_global_i"), "zone", X.overlap_span_key("zone", "global_start", "global_end", "text").alias("overlap_exact_span_key"),
+        "local_start", "local_end", "global_start", "global_end", "text", "head_local_i", (F.col("head_local_i") + F.col("base")).alias("head_global_i"), "zone", X.overlap_span_key("zone", "global_start", "global_end", "text").alias("overlap_exact_span_key"), *more,
     )
 
 
@@ -56,6 +66,83 @@ def name_mentions(chunk_token_table: DataFrame) -> DataFrame:
     return kept.withColumn("local_cluster_id", (F.dense_rank().over(Window.partitionBy("doc_id", "chunk_id").orderBy(F.lower("text"))) - 1).cast("bigint")).withColumn("head_local_i", F.col("local_end") - 1)
 
 
+_ENDS = re.compile(r"\A[\W_]+|(?:['’]s)?[\W_]+\Z|['’]s\Z")
+_BLANKS = re.compile(X.BLANK + "+", re.ASCII)
+
+
+@lru_cache(200_000)
+def _name_word(token: str) -> tuple[str, bool, bool]:
+    """(word, whether it may be part of a name, whether a run ends behind the token), as in :func:`name_mentions`."""
+    word = _ENDS.sub("", token)
+    name = len(word) > 1 and unicodedata.category(word[0]) == "Lu" and word[1].isalpha() and _BLANKS.sub(" ", word).strip(" ").lower() not in X.PRONOUNS
+    return word, name, not token[-1].isalnum()
+
+
+def name_runs(facts: list[tuple[str, bool, bool]]) -> list[tuple[int, int, str]]:
+    """(start, end, text) of the capitalized runs in a chunk's words; a lone word that begins a stretch is none."""
+    out, run, first, initial, ended = [], [], 0, True, True
+    for k, (word, name, ends) in enumerate([*facts, ("", False, True)]):
+        if run and (not name or ended):
+            if len(run) > 1 or not initial:
+                out.append((first, first + len(run), " ".join(run)))
+            run = []
+        if name:
+            if not run:
+                first, initial = k, ended
+            run.append(word)
+        ended = ends
+    return out
+
+
+_NAMED = "doc_id bigint, chunk_id string, chunk_index bigint, base bigint, core_start bigint, core_end bigint, local_cluster_id bigint, local_mention_id bigint, local_start bigint, local_end bigint, text string, name string"
+
+
+def _named_mentions(doc: int, words: list[str], chunks: Iterator[tuple]) -> Iterator[tuple]:
+    """The rows of ``_NAMED`` of a document's chunks (id, index, start and end, core start and end)."""
+    facts = [_name_word(w) for w in words]
+    for chunk, index, start, stop, core_start, core_end in chunks:
+        left = max(start, 0)
+        groups: dict[str, list] = {}
+        for a, b, text in name_runs(facts[left:max(stop, 0)]):
+            groups.setdefault(text.lower(), []).append((a + left - start, b + left - start, text))
+        for cluster, key in enumerate(sorted(groups)):
+            name = max(text for *_, text in groups[key])
+            for number, (a, b, text) in enumerate(sorted(groups[key])):
+                yield doc, chunk, index, start, core_start, core_end, cluster, number, a, b, text, name
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    return _placed_rows(rows.withColumn("head_local_i", F.col("local_end") - 1), "name")
+
+
+def planned_name_mentions(documents: DataFrame, limit: int = 8000, overlap: int = 80, prefix: str = "chunk") -> DataFrame:
+    """:func:`name_mentions` over the chunks of ``plan_chunks`` as local mentions, document by document (doc_id, text, sentence_starts) without a shuffle.
+
+    Also with ``name``, the greatest text of the local cluster.
+    """
+
+    def found(doc: int, text: str | None, begins: list | None) -> Iterator[tuple]:
+        words = words_of(text)
+        ranges = covering_ranges(starts_within(begins, len(words)), len(words), limit, overlap)
+        yield from _named_mentions(doc, words, ((f"{prefix}_{k:03d}", k, *r[:4]) for k, r in enumerate(ranges)))
+
+    return _described(per_document(documents.select("doc_id", "text", "sentence_starts"), found, _NAMED))
+
+
+def recorded_name_mentions(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same over a chunk table; of several spans under one chunk id the first counts."""
+
+    def found(doc: int, text: str, spans: list[dict]) -> Iterator[tuple]:
+        first = {}
+        for s in spans:
+            if s["chunk_id"] is not None and s["global_start"] is not None and s["global_end"] is not None:
+                first.setdefault(s["chunk_id"], tuple(s.values()))
+        yield from _named_mentions(doc, words_of(text), iter(first.values()))
+
+    spans = chunks.select("doc_id", "chunk_id", "chunk_index", "global_start", "global_end", "core_start", "core_end")
+    return _described(per_document(with_spans(documents.select("doc_id", "text"), spans), found, _NAMED))
+
+
 def canonical_names(mentions: DataFrame, *key: str) -> DataFrame:
     """(key, canonical_name, n_mentions): the text with the best score of cleanness, frequency and length."""
     counted = mentions.groupBy(*key, "text").agg(F.count(F.lit(1)).alias("n"))
@@ -95,7 +182,11 @@ def mention_contexts(mentions: DataFrame, tokens: DataFrame, sentences: DataFram
     part = lambda cond: F.array_join(F.transform(F.filter("w", cond), lambda x: x["word"]), " ")
     left, target, right = part(lambda x: x["token_id"] < F.col("start")), part(lambda x: (x["token_id"] >= F.col("start")) & (x["token_id"] < F.col("end"))), part(lambda x: x["token_id"] >= F.col("end"))
     following = F.get(F.transform(F.filter("w", lambda x: x["token_id"] >= F.col("end")), lambda x: x["word"]), 0)
-    rows = packed.withColumn("_l", left).withColumn("_t", target).withColumn("_r", right).withColumn("_m", X.rendered_mention("text", "subject", following))
+    return _rendered_contexts(packed.withColumn("_l", left).withColumn("_t", target).withColumn("_r", right).withColumn("_f", following), mark)
+
+
+def _rendered_contexts(rows: DataFrame, mark: bool) -> DataFrame:
+    rows = rows.withColumn("_m", X.rendered_mention("text", "subject", F.col("_f")))
     shown = F.concat(F.lit("[["), F.col("_t"), F.lit("]]")) if mark else F.col("_t")
     return rows.select(
         "doc_id", "mention_id", "sentence_index", X.context_key(F.concat_ws(" ", "_l", shown, "_r")).alias("context_text"), X.context_key(F.concat_ws(" ", "_l", "_m.replacement", "_r")).alias("rendered_context_text"),
@@ -103,6 +194,31 @@ def mention_contexts(mentions: DataFrame, tokens: DataFrame, sentences: DataFram
     )
 
 
+def _window_of(starts: list[int], size: int, start: int | None, end: int | None, before: int, after: int) -> tuple[int, int, int] | None:
+    """(sentence, first and last end of the window) of the first sentence that contains a span."""
+    ends = [*starts[1:], size]
+    k = bisect_left(ends, end) if start is not None and end is not None else len(ends)
+    return (k, starts[max(0, k - before)], ends[min(len(ends) - 1, k + after)]) if k < len(ends) and starts[k] <= start else None
+
+
+def document_contexts(mentions: DataFrame, documents: DataFrame, before: int = 0, after: int = 0, mark: bool = False) -> DataFrame:
+    """The same as :func:`mention_contexts` from whole documents (doc_id, text, sentence_starts); equal mentions have one row."""
+
+    def windows(doc: int, text: str, begins: list | None, asked: list[dict]) -> Iterator[tuple]:
+        words = words_of(text)
+        starts = starts_within(begins, len(words))
+        for m in asked:
+            found = _window_of(starts, len(words), m["start"], m["end"], before, after)
+            if found:
+                k, a, b = found
+                left, right = min(max(m["start"], a), b), min(max(m["end"], a), b)
+                yield doc, m["mention_id"], k, m["text"], m["subject"], " ".join(words[a:left]), " ".join(words[left:right]), " ".join(words[right:b]), words[right] if right < b else None
+
+    asked = mentions.select("doc_id", F.col("mention_id").cast("string").alias("mention_id"), "start", "end", "text", "subject")
+    rows = per_document(with_spans(documents.select("doc_id", "text", "sentence_starts"), asked), windows, "doc_id bigint, mention_id string, sentence_index bigint, text string, subject string, _l string, _t string, _r string, _f string", 5_000)
+    return _rendered_contexts(rows.withColumn("mention_id", F.col("mention_id").cast(mentions.schema["mention_id"].dataType)), mark)
+
+
 def sample_mentions(mentions: DataFrame, n: int, seed: int = 0, cluster: str = "cluster_id", ident: str = "mention_id", group: tuple[str, ...] = ()) -> DataFrame:
     """``n`` mentions of each cluster, the same on every run: smallest seeded hashes first (all, where a cluster has fewer).
 

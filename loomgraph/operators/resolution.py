@@ -46,11 +46,25 @@ def component_sets(rows: DataFrame) -> DataFrame:
     ).withColumn("anchor", F.when(X.is_proper_name("name"), X.normalize("name"))).withColumn("head", X.head_word("name"))
 
 
+def _clusters_by_key(evidence: DataFrame, condition: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, uids): for every key satisfying ``condition`` (and ``by`` columns) its clusters, sorted. One shuffle of the keys serves all that is read from it."""
+    keys = evidence.where(condition).where(" and ".join(f"{c} is not null" for c in ("doc_id", *by)))
+    return keys.groupBy("doc_id", "key", *by).agg(F.array_sort(F.collect_set("uid")).alias("uids")).select("doc_id", "uids")
+
+
+def _pairs_of(clusters: DataFrame) -> DataFrame:
+    left = clusters.where("size(uids) > 1").select("doc_id", "uids", F.posexplode("uids").alias("p", "left_uid"))
+    return left.select("doc_id", "left_uid", F.explode(F.expr("slice(uids, p + 2, size(uids))")).alias("right_uid")).groupBy("doc_id", "left_uid", "right_uid").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _sizes_of(clusters: DataFrame, name: str) -> DataFrame:
+    """(doc_id, uid, name): the number of keys of each cluster."""
+    return clusters.select("doc_id", F.explode("uids").alias("uid")).groupBy("doc_id", "uid").agg(F.count(F.lit(1)).alias(name))
+
+
 def shared_key_pairs(evidence: DataFrame, condition: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, left_uid, right_uid, shared): clusters that share keys satisfying ``condition`` (and equal ``by`` columns)."""
-    keys = evidence.where(condition).select("doc_id", "key", *by, "uid").distinct()
-    left, right = keys.withColumnRenamed("uid", "left_uid"), keys.withColumnRenamed("uid", "right_uid")
-    return left.join(right, ["doc_id", "key", *by]).where("left_uid < right_uid").groupBy("doc_id", "left_uid", "right_uid").agg(F.count(F.lit(1)).alias("shared"))
+    return _pairs_of(_clusters_by_key(evidence, condition, by))
 
 
 def relevant_text_counts(rows: DataFrame) -> DataFrame:
@@ -59,7 +73,8 @@ def relevant_text_counts(rows: DataFrame) -> DataFrame:
 
 
 def _sided(sets: DataFrame, side: str, *columns: str) -> DataFrame:
-    return sets.select("doc_id", F.col("uid").alias(f"{side}_uid"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+    """A side of a merge join: the files of mentions are far smaller than what is made of them, so the optimizer's sizes are no guide."""
+    return sets.select("doc_id", F.col("uid").alias(f"{side}_uid"), *(F.col(c).alias(f"{side}_{c}") for c in columns)).hint("merge")
 
 
 def stitching_edges(rows: DataFrame) -> DataFrame:
@@ -70,8 +85,10 @@ def stitching_edges(rows: DataFrame) -> DataFrame:
 
 def adjacent_overlap_edges(rows: DataFrame, least: int = 2, threshold: float = 0.80) -> DataFrame:
     """Second sieve: neighbouring chunks whose overlap mentions mostly agree, whatever the names."""
-    sets = component_sets(rows)
-    pairs = shared_key_pairs(mention_evidence(rows), "overlap and relevant").where(f"shared >= {int(least)}")
+    clusters = _clusters_by_key(mention_evidence(rows), "overlap and relevant")
+    pairs = _pairs_of(clusters).where(f"shared >= {int(least)}")
+    places = rows.groupBy("doc_id", "uid").agg(F.min("chunk_index").alias("chunk_min"), F.max("chunk_index").alias("chunk_max"))
+    sets = places.join(_sizes_of(clusters, "n_overlap_relevant").hint("merge"), ["doc_id", "uid"])
     cols = ("chunk_min", "chunk_max", "n_overlap_relevant")
     both = pairs.join(_sided(sets, "left", *cols), ["doc_id", "left_uid"]).join(_sided(sets, "right", *cols), ["doc_id", "right_uid"])
     return both.where("left_chunk_max + 1 = right_chunk_min or right_chunk_max + 1 = left_chunk_min").withColumn("overlap_coefficient", F.col("shared") / F.least("left_n_overlap_relevant", "right_n_overlap_relevant")).where(F.col("overlap_coefficient") >= threshold).select("doc_id", "left_uid", "right_uid", "shared", "overlap_coefficient")
@@ -79,8 +96,8 @@ def adjacent_overlap_edges(rows: DataFrame, least: int = 2, threshold: float = 0
 
 def coefficient_edges(rows: DataFrame, least: int = 2, threshold: float = 0.75) -> DataFrame:
     """Third sieve: most of the smaller cluster's nominal mentions are the other's too."""
-    sets = component_sets(rows)
-    pairs = shared_key_pairs(mention_evidence(rows), "relevant").where(f"shared >= {int(least)}")
+    clusters = _clusters_by_key(mention_evidence(rows), "relevant")
+    pairs, sets = _pairs_of(clusters).where(f"shared >= {int(least)}"), _sizes_of(clusters, "n_relevant")
     both = pairs.join(_sided(sets, "left", "n_relevant"), ["doc_id", "left_uid"]).join(_sided(sets, "right", "n_relevant"), ["doc_id", "right_uid"])
     return both.withColumn("overlap_coefficient", F.col("shared") / F.least("left_n_relevant", "right_n_relevant")).where(F.col("overlap_coefficient") >= threshold).select("doc_id", "left_uid", "right_uid", "shared", "overlap_coefficient")
 

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import anchors as A
-from loomgraph.operators import chunks as C
 from loomgraph.operators import exports as E
 from loomgraph.operators import mentions as M
 from loomgraph.operators import resolution as R
-from loomgraph.operators import tokens as T
 from loomgraph.plans import rounded, rounded_sql
 from loomgraph.plans import text as TX
-from loomgraph.plans.documents import _EVIDENCE, _PIECES, _documents, _evidence
-from loomgraph.runtime import table
+from loomgraph.plans.documents import _EVIDENCE, _PIECES, _evidence
+from loomgraph.runtime import cut, table
 
 
 def _rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,11 +27,8 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _name_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Capitalized runs in the recorded chunks as local mentions; what stands in an overlap stands in two chunks."""
-    plan = table(spark, folder, "chunks").dropDuplicates(["doc_id", "chunk_id"])
-    found = M.name_mentions(C.chunk_tokens(T.tokenize(_documents(spark, folder)), plan))
-    rows = M.local_mention_rows(found, plan)
-    names = rows.groupBy("doc_id", "local_cluster_uid").agg(F.max("text").alias("name"))
-    return rows.join(names, ["doc_id", "local_cluster_uid"]).select("doc_id", F.col("local_cluster_uid").alias("uid"), "name", F.col("global_start").alias("start"), F.col("global_end").alias("end"), "text", "zone", "chunk_index")
+    rows = M.recorded_name_mentions(table(spark, folder, "documents"), table(spark, folder, "chunks"))
+    return rows.select("doc_id", F.col("local_cluster_uid").alias("uid"), "name", F.col("global_start").alias("start"), F.col("global_end").alias("end"), "text", "zone", "chunk_index")
 
 
 def name_mentions_recorded(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,15 +56,15 @@ def er_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def er_stitching(spark: SparkSession, folder: str) -> DataFrame:
-    return R.stitching_edges(_name_rows(spark, folder))
+    return R.stitching_edges(cut(_name_rows(spark, folder), "names"))
 
 
 def er_adjacent_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    return R.adjacent_overlap_edges(_name_rows(spark, folder))
+    return R.adjacent_overlap_edges(cut(_name_rows(spark, folder), "names"))
 
 
 def er_overlap_coefficient(spark: SparkSession, folder: str) -> DataFrame:
-    return R.coefficient_edges(_name_rows(spark, folder))
+    return R.coefficient_edges(cut(_name_rows(spark, folder), "names"))
 
 
 def er_same_anchor(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,9 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomgraph.operators import chunks as C
+from loomgraph.operators import mentions as M
+from loomgraph.operators import resolution as R
 from loomgraph.operators import tokens as T
 
 FOLDER = "/root/testdata/sf0.001"
@@ -61,3 +64,25 @@ def test_span_ranges_of_documents(spark, docs, rows):
     got = rows(T.document_span_ranges(docs, spans))
     assert got == rows(T.span_token_ranges(spans.where("start is not null"), T.tokenize(docs))) and len(got) == 6
     assert rows(T.document_span_ranges(docs, spans, True)) == [(*r[:3], r[3] - 1) for r in got]
+
+
+@pytest.fixture
+def recorded(spark, docs):
+    """Chunks of the texts with wide overlaps, one of them repeated."""
+    plan = C.plan_chunks(T.sentences(docs), 9, 1).select("doc_id", "chunk_id", "chunk_index", "global_start", "global_end", "core_start", "core_end")
+    return plan.union(plan.where("doc_id = 0")).union(spark.createDataFrame([(0, "odd", 90, 15, 99, 16, 20), (1, "odd", 0, 0, 5, 0, 5), (9, "odd", 0, 0, 5, 0, 5)], plan.schema))
+
+
+def test_adjacent_overlaps_send_no_tokens(spark):
+    assert not sends_tokens(spark, "er_adjacent_overlap")
+
+
+def test_overlap_coefficients_send_no_tokens(spark):
+    assert not sends_tokens(spark, "er_overlap_coefficient")
+
+
+def test_pairs_of_shared_keys(spark, rows):
+    data = [(1, "c", 1), (1, "a", 1), (1, "a", 1), (1, "b", 1), (1, "b", 2), (1, "a", 2), (1, "d", 3), (2, "a", 1), (None, "a", 1), (None, "b", 1)]
+    df = spark.createDataFrame([(doc, uid, "N", k, k + 1, f"Name{k}", "core", 0) for doc, uid, k in data], "doc_id bigint, uid string, name string, start bigint, end bigint, text string, zone string, chunk_index bigint")
+    assert rows(R.shared_key_pairs(R.mention_evidence(df), "relevant")) == [(1, "a", "b", 2), (1, "a", "c", 1), (1, "b", "c", 1)]
+    assert rows(R.coefficient_edges(df)) == [(1, "a", "b", 2, 1.0)]
