@@ -77,6 +77,12 @@ def test_adjacent_overlaps_send_no_tokens(spark):
     assert not sends_tokens(spark, "er_adjacent_overlap")
 
 
+def test_only_adjacent_chunks_overlap(spark, rows):
+    shared = [(1, "a", 0, "right_overlap"), (1, "b", 1, "left_overlap"), (1, "c", 2, "left_overlap"), (1, "d", 1, "core")]
+    df = spark.createDataFrame([(doc, uid, uid, k, k + 1, f"Name{k}", zone, chunk) for doc, uid, chunk, zone in shared for k in (1, 2)] + [(1, "b", "b", 3, 4, "he", "left_overlap", 1)], "doc_id bigint, uid string, name string, start bigint, end bigint, text string, zone string, chunk_index bigint")
+    assert rows(R.adjacent_overlap_edges(df)) == [(1, "a", "b", 2, 1.0), (1, "b", "c", 2, 1.0)]
+
+
 def test_overlap_coefficients_send_no_tokens(spark):
     assert not sends_tokens(spark, "er_overlap_coefficient")
 
