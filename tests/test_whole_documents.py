@@ -92,3 +92,7 @@ def test_pairs_of_shared_keys(spark, rows):
     df = spark.createDataFrame([(doc, uid, "N", k, k + 1, f"Name{k}", "core", 0) for doc, uid, k in data], "doc_id bigint, uid string, name string, start bigint, end bigint, text string, zone string, chunk_index bigint")
     assert rows(R.shared_key_pairs(R.mention_evidence(df), "relevant")) == [(1, "a", "b", 2), (1, "a", "c", 1), (1, "b", "c", 1)]
     assert rows(R.coefficient_edges(df)) == [(1, "a", "b", 2, 1.0)]
+
+
+def test_stitching_sends_no_tokens(spark):
+    assert not sends_tokens(spark, "er_stitching")
