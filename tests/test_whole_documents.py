@@ -96,3 +96,13 @@ def test_pairs_of_shared_keys(spark, rows):
 
 def test_stitching_sends_no_tokens(spark):
     assert not sends_tokens(spark, "er_stitching")
+
+
+def test_recorded_names_are_those_of_the_tokens(spark, docs, recorded, rows):
+    assert not sends_tokens(spark, "name_mentions_recorded")
+    got = M.recorded_name_mentions(docs, recorded)
+    once = recorded.dropDuplicates(["doc_id", "chunk_id"])
+    old = M.local_mention_rows(M.name_mentions(C.chunk_tokens(T.tokenize(docs), once)), once)
+    assert rows(got.select(old.columns)) == rows(old) and old.count() > 10
+    names = {r["local_cluster_uid"]: r["name"] for r in got.where("doc_id = 0").collect()}
+    assert names == {r[0]: r[1] for r in old.where("doc_id = 0").groupBy("local_cluster_uid").agg(F.max("text")).collect()}
