@@ -116,6 +116,16 @@ def test_planned_names_are_those_of_the_tokens(spark, docs, rows):
         assert rows(M.planned_name_mentions(docs, limit, overlap).select(old.columns)) == rows(old) and old.count() > 5
 
 
+SPANS = "doc_id bigint, mention_id bigint, start bigint, end bigint, text string, subject string"
+MENTIONS = [(0, 1, 0, 2, "Ann Lee", "Ann"), (0, 2, 3, 5, "Bob. Bob's", "Bob"), (0, 3, 17, 18, "Here", None), (0, 4, 17, 19, "Here", "x"), (0, 5, 6, 8, None, "Ann"), (4, 1, 5, 7, "York and", "York"), (5, 1, 0, 1, "one", "he"), (1, 1, 0, 1, "a", "b"), (9, 1, 0, 1, "a", "b"), (7, 1, 5, 6, "He", "Jean-Luc"), (0, 6, None, 3, "a", "b")]
+
+
+def test_windows_of_one_mention_with_several_texts(spark, docs, rows):
+    assert not sends_tokens(spark, "mention_windows")
+    asked = spark.createDataFrame([(5, 1, 0, 1, None, None), (5, 1, 0, 1, None, None), (7, 1, 5, 6, None, None)], SPANS)
+    assert rows(M.document_contexts(asked, docs, 1, 1, True).select("doc_id", "mention_id", "sentence_index", "context_text")) == [(5, 1, 0, "[[one]]"), (7, 1, 0, "Mary O'Neil asked Jean-Luc Picard. [[He]] helped Mary O'Neil not.")]
+
+
 def test_contexts_are_those_of_the_tokens(spark, docs, rows):
     assert not sends_tokens(spark, "mention_contexts")
     asked = spark.createDataFrame(MENTIONS, SPANS)
