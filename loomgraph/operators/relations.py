@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from loomgraph.functions import probability as P
 from loomgraph.functions import text as X
 from loomgraph.operators.mentions import mentions_at_tokens
 from loomgraph.operators.scoring import overlap_logit
+from loomgraph.operators.tokens import PARTICLES, PASSIVE, PREPOSITIONS, per_document, starts_within, words_of
 from loomgraph.runtime import checked_broadcast
 
 #: Pairs of classes a routing table may have.
@@ -65,6 +71,61 @@ def relation_candidates(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     ).distinct()
 
 
+_EDGES = re.compile(r"\A[\W_]+|[\W_]+\Z")
+_VERB = re.compile(r"[a-z]{2,}ed")
+
+
+@lru_cache(200_000)
+def _word_facts(token: str) -> tuple[str, bool, bool]:
+    """(lemma, whether a verb, whether a name) of a token under ``tokens.rule_syntax``."""
+    word = _EDGES.sub("", token)
+    return word.lower(), bool(_VERB.fullmatch(word)), len(word) > 1 and unicodedata.category(word[0]) == "Lu" and word[1].isalpha()
+
+
+def sentence_candidates(facts: list[tuple[str, bool, bool]]) -> Iterator[tuple]:
+    """(source, predicate, predicate's start and end, target, label, dep, passive, negated) of one sentence, its words counted from 0.
+
+    Under the rule-based syntax all objects hang on the last verb of their sentence, so no other has candidates.
+    """
+    verbs = [k for k, (_, verb, _) in enumerate(facts) if verb]
+    if not verbs:
+        return
+    at, after = verbs[-1], verbs[-2] + 1 if len(verbs) > 1 else 0
+    lemma = [f[0] for f in facts]
+    held = len(verbs) > 1  # a preposition behind a verb hangs on it
+    before = lemma[at - 1] if at > after else ""
+    particle = at + 1 < len(facts) and lemma[at + 1] in PARTICLES
+    subjects = [k for k in range(after, at) if facts[k][2] and not (k == at - 1 and (before == "not" or before in PASSIVE)) and not (held and (lemma[k] in PREPOSITIONS or k == after and lemma[k] in PARTICLES))]
+    label = f"{lemma[at]}_{lemma[at + 1]}" if particle else lemma[at]
+    for k in range(at + 1 + particle, len(facts)) if subjects else ():
+        if not facts[k][2] or lemma[k] in PREPOSITIONS:
+            continue
+        prep = lemma[k - 1] if lemma[k - 1] in PREPOSITIONS else None
+        start, end = (at, max(at + 1 + particle, k)) if prep else (at, at + 1 + particle)
+        for s in subjects:
+            if lemma[s] != lemma[k]:
+                yield s, at, start, end, k, f"{label}_{prep}" if prep else label, "pobj" if prep else "dobj", before in PASSIVE, before == "not"
+
+
+def rule_candidates(documents: DataFrame) -> DataFrame:
+    """:func:`relation_candidates` under ``tokens.rule_syntax``, the names themselves being the mentions of a cluster for each lemma.
+
+    Made sentence by sentence from whole documents (doc_id, text, sentence_starts): heads never leave a
+    sentence, so only candidates leave the task.
+    """
+
+    def found(doc: int, text: str | None, begins: list | None) -> Iterator[tuple]:
+        facts = [_word_facts(w) for w in words_of(text)]
+        starts = starts_within(begins, len(facts))
+        for a, b in zip(starts, [*starts[1:], len(facts)]):
+            for s, p, first, end, o, *rest in sentence_candidates(facts[a:b]):
+                yield doc, a + s, a + p, a + first, a + end, a + o, *rest
+
+    schema = "doc_id bigint, source_mention_id bigint, predicate_token_i bigint, predicate_start bigint, predicate_end bigint, target_mention_id bigint, predicate_label string, object_dep string, is_passive boolean, is_negated boolean"
+    rows = per_document(documents.select("doc_id", "text", "sentence_starts"), found, schema)
+    return rows.select("doc_id", X.relation_id("source_mention_id", "predicate_token_i", "target_mention_id").alias("relation_id"), *rows.columns[1:]).distinct()
+
+
 def route_candidates(candidates: DataFrame, typing: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(routed, discarded): candidates with the properties their clusters' classes allow, and those with a reason instead.
 

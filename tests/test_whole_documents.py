@@ -1,6 +1,7 @@
 """Operators that work on whole documents: the results of those over tokens, and no token table on its way to the driver."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomgraph.operators import chunks as C
 from loomgraph.operators import mentions as M
+from loomgraph.operators import relations as L
 from loomgraph.operators import resolution as R
 from loomgraph.operators import tokens as T
 
@@ -132,3 +134,16 @@ def test_contexts_are_those_of_the_tokens(spark, docs, rows):
     for before, after, mark in ((0, 0, False), (1, 1, True), (2, 0, True)):
         old = M.mention_contexts(asked.where("start is not null"), T.tokenize(docs), T.sentences(docs), before, after, mark)
         assert rows(M.document_contexts(asked, docs, before, after, mark)) == rows(old) and old.count() == 6
+
+
+def test_rule_candidates_are_those_of_the_syntax(spark, rows):
+    plan = entry.queries()["syntax_candidates"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString() if os.path.isdir(FOLDER) else "MapInArrow"
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan  # it was 18 passes over the texts and joins of their tokens
+    r, words = random.Random(4), ["Ann", "Bob", "ann", "In", "Not", "not", "Was", "was", "Up", "up", "to", "(To", "helped", "walked.", "Walked", "the", "-", "Éva,", "X", "Off", "with", "É9"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 14))) for _ in range(1500)] + [None, "", "Ann was helped up by Bob. Bob"]
+    docs = spark.createDataFrame([(i, t, r.choice([None, [3], [0, 5, 8, 99]])) for i, t in enumerate(texts)], "doc_id bigint, text string, sentence_starts array<bigint>")
+    syntax = T.rule_syntax(T.tokenize(docs, starts="sentence_starts")).localCheckpoint()
+    here = F.col("token_i")
+    names = syntax.where("pos = 'PROPN'").select("doc_id", here.alias("mention_id"), F.xxhash64("lemma").alias("cluster_id"), here.alias("start"), (here + 1).alias("end"), here.alias("head_token_i"))
+    got = L.rule_candidates(docs)
+    assert rows(got) == rows(L.relation_candidates(syntax, names).select(got.columns)) and got.count() > 100
